@@ -110,14 +110,26 @@ def histogram_quantiles(hist: DataFrame, groups: list[str], points: DataFrame, b
     return at.select(*[F.col(f"t.{g}").alias(g) for g in groups], "t.q", "t.n", "t.rank", key_value(low).alias("lower"), key_value(low.bitwiseOR(F.lit((1 << (64 - bits)) - 1))).alias("upper"))
 
 
+def banded(data: DataFrame, values: DataFrame, groups: list[str]) -> DataFrame:
+    """Adds latency_ms and band to ``data``: the least q whose value is not below the row's, null if there is none.
+
+    ``values`` is the result of quantiles() for the same groups: one row per
+    group and point, collected to one short array per group.
+    """
+    steps = values.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("q", order_key("lower").alias("at")))).alias("steps"))
+    joined = data.alias("d").join(steps.alias("s"), _same("d", "s", groups), "left").select("d.*", "s.steps")
+    first = F.try_element_at(F.filter("steps", lambda x: x["at"] >= F.col("radix")), F.lit(1))
+    return joined.select(*data.columns, key_value("radix").alias("latency_ms"), first["q"].alias("band"))
+
+
 def calls(events: DataFrame) -> DataFrame:
     """One row per event_id: the copy received first. Copies without an id are calls of their own."""
     first = F.min_by(F.struct("ts", "stage", "model", "latency_ms"), F.coalesce("received_at", F.col("ts")))
-    known = events.where("event_id is not null").groupBy("event_id").agg(first.alias("x")).select("x.*")
-    return known.unionByName(events.where("event_id is null").select("ts", "stage", "model", "latency_ms"))
+    known = events.where("event_id is not null").groupBy("event_id").agg(first.alias("x")).select("event_id", "x.*")
+    return known.unionByName(events.where("event_id is null").select("event_id", "ts", "stage", "model", "latency_ms"))
 
 
-def latencies(events: DataFrame) -> DataFrame:
-    """day, stage (lower case), model and radix of every call with a latency."""
-    groups = [F.to_date("ts").alias("day"), F.lower(F.trim("stage")).alias("stage"), F.col("model")]
+def latencies(events: DataFrame, *more: str) -> DataFrame:
+    """day, stage (lower case), model and radix of every call with a latency, and ``more`` columns of calls()."""
+    groups = [F.to_date("ts").alias("day"), F.lower(F.trim("stage")).alias("stage"), F.col("model"), *map(F.col, more)]
     return keyed(calls(events), groups, "latency_ms")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, quantiles, splitting, tokens
+from sparkloom.llm import conversations, mojibake, quantiles, splitting, tokens
 from sparkloom.tables import stored, table
 
 QUERIES = {}
@@ -34,6 +34,30 @@ def _latencies(spark, sf_dir):
     return stored(quantiles.latencies(table(spark, sf_dir, "usage_events")))
 
 
+@query
+def p3_calls(spark, sf_dir):
+    """Every call with its group's band: the first point whose exact percentile is not below the latency, null above all."""
+    calls = stored(quantiles.latencies(table(spark, sf_dir, "usage_events"), "event_id"))
+    values = quantiles.quantiles(calls, ["stage", "model"], table(spark, sf_dir, "quantile_points"))
+    return quantiles.banded(calls, values, ["stage", "model"]).select("event_id", "stage", "model", "latency_ms", "band")
+
+
+SQL["p3_calls"] = """
+with ranked as (
+  select *, row_number() over (partition by event_id order by received_at) as copy from usage_events),
+calls as (
+  select event_id, lower(trim(stage)) as stage, model, latency_ms from ranked where copy = 1 and latency_ms is not null and not isnan(latency_ms)),
+placed as (
+  select *, row_number() over (partition by stage, model order by latency_ms) as place, count(*) over (partition by stage, model) as n from calls),
+points as (
+  select p.stage, p.model, q.q, p.latency_ms as v
+  from placed p join (select distinct q from quantile_points) q on p.place = greatest(1, cast(ceil(q.q * p.n) as bigint)))
+select c.event_id, c.stage, c.model, c.latency_ms, min(p.q) as band
+from calls c left join points p on c.stage is not distinct from p.stage and c.model is not distinct from p.model and p.v >= c.latency_ms
+group by all
+"""
+
+
 @query
 def p3_percentiles(spark, sf_dir):
     """Exact percentiles per stage and model: lower equals upper."""
@@ -119,3 +143,15 @@ def p6_decoded(spark, sf_dir):
 
 
 SQL["p6_decoded"] = "select doc_id, coalesce(text, '') as text from documents"
+
+
+@query
+def p8_found(spark, sf_dir):
+    """Documents with damaged characters."""
+    return mojibake.restore(table(spark, sf_dir, "documents")).where("damaged > 0").select("doc_id")
+
+
+@query
+def p8_restored(spark, sf_dir):
+    """All documents, the damaged ones restored as far as possible."""
+    return mojibake.restore(table(spark, sf_dir, "documents"))
