@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, mojibake, quantiles, splitting, tokens
+from sparkloom.llm import conversations, mojibake, personal, quantiles, splitting, tokens
 from sparkloom.tables import stored, table
 
 QUERIES = {}
@@ -155,3 +155,23 @@ def p8_found(spark, sf_dir):
 def p8_restored(spark, sf_dir):
     """All documents, the damaged ones restored as far as possible."""
     return mojibake.restore(table(spark, sf_dir, "documents"))
+
+
+def _messages(spark, sf_dir):
+    a = table(spark, sf_dir, "memories").select(F.lit("memories").alias("source_table"), F.col("memory_id").alias("record_id"), F.col("content").alias("text"))
+    b = table(spark, sf_dir, "session_messages").select(F.lit("session_messages").alias("source_table"), F.col("message_id").alias("record_id"), F.col("content").alias("text"))
+    return a.unionByName(b)
+
+
+@query
+def p1_found(spark, sf_dir):
+    """Every mention of personal information."""
+    out = personal.find_mentions(_messages(spark, sf_dir), table(spark, sf_dir, "given_names"))
+    return out.select("source_table", "record_id", F.explode("found").alias("m")).select("source_table", "record_id", "m.pii_type", "m.start_pos")
+
+
+@query
+def p1_redacted(spark, sf_dir):
+    """All texts with placeholders."""
+    out = personal.find_mentions(_messages(spark, sf_dir), table(spark, sf_dir, "given_names"))
+    return out.select("source_table", "record_id", F.col("redacted").alias("content"))
