@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, mojibake, personal, quantiles, splitting, tokens
+from sparkloom.llm import conversations, mojibake, ocr, personal, quantiles, splitting, tokens
 from sparkloom.tables import stored, table
 
 QUERIES = {}
@@ -175,3 +175,23 @@ def p1_redacted(spark, sf_dir):
     """All texts with placeholders."""
     out = personal.find_mentions(_messages(spark, sf_dir), table(spark, sf_dir, "given_names"))
     return out.select("source_table", "record_id", F.col("redacted").alias("content"))
+
+
+def _scans(spark, sf_dir):
+    return ocr.examined(table(spark, sf_dir, "ocr_regions"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
+
+
+@query
+def p5_found(spark, sf_dir):
+    """Kinds of noise in regions and chunks of scanned files."""
+    regions, chunks = _scans(spark, sf_dir)
+    a = ocr.noise(regions).select(F.lit("ocr_regions").alias("source_table"), "record_id", "noise_type")
+    return a.unionByName(ocr.noise(chunks).select(F.lit("chunks").alias("source_table"), "record_id", "noise_type"))
+
+
+@query
+def p5_paragraphs(spark, sf_dir):
+    """The running text of every scanned page, and of the pages of chunks."""
+    regions, chunks = _scans(spark, sf_dir)
+    a = ocr.paragraphs(regions).withColumn("source_table", F.lit("ocr_regions"))
+    return a.unionByName(ocr.paragraphs(chunks).withColumn("source_table", F.lit("chunks")))
