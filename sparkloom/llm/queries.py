@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import conversations, mojibake, ocr, personal, quantiles, splitting, tokens
+from sparkloom.llm import conversations, mojibake, ocr, packing, personal, quantiles, splitting, tokens
 from sparkloom.tables import stored, table
 
 QUERIES = {}
@@ -195,3 +195,24 @@ def p5_paragraphs(spark, sf_dir):
     regions, chunks = _scans(spark, sf_dir)
     a = ocr.paragraphs(regions).withColumn("source_table", F.lit("ocr_regions"))
     return a.unionByName(ocr.paragraphs(chunks).withColumn("source_table", F.lit("chunks")))
+
+
+def _packed(spark, sf_dir):
+    sizes = stored(tokens.count_tokens(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size")))
+    containers = table(spark, sf_dir, "containers").where("tokenizer = 'byte_bpe_50k'")
+    items = packing.pieces(sizes, containers.select("container_kind", F.col("capacity_tokens").alias("capacity")))
+    return packing.packed(stored(items))
+
+
+@query
+def p7_assigned(spark, sf_dir):
+    """The container of every document, or of its pieces."""
+    out = _packed(spark, sf_dir)
+    return out.select("container_kind", "container_id", F.col("key").alias("doc_id"), "piece_no", F.col("size").alias("n_tokens"))
+
+
+@query
+def p7_fill(spark, sf_dir):
+    """Per kind: containers, tokens, and the share of the capacity that is filled."""
+    out = _packed(spark, sf_dir).groupBy("container_kind", "capacity").agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
+    return out.withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity")))
