@@ -30,7 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hash_buckets(text: str | Column, dimensions: int = 384) -> Column:
     """(bucket, sign) of every word: the first four bytes of its SHA-256 choose the bucket, the fifth the sign."""
-    words = matches(F.lower(col(text)), rf"[\p{{L}}\p{{N}}_{HAN}]+")
+    words = matches(F.lower(F.translate(col(text), "Σ", "σ")), rf"[\p{{L}}\p{{N}}_{HAN}]+")
 
     def place(w: Column) -> Column:
         code = F.sha2(w, 256)
