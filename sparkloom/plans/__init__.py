@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from sparkloom.plans import retrieval_queries, table_queries, text_queries  # noqa: F401
+from sparkloom.plans import etl_queries, retrieval_queries, table_queries, text_queries  # noqa: F401
 from sparkloom.plans.registry import QUERIES, SQL  # noqa: F401
