@@ -49,6 +49,7 @@ NUMBER = re.compile(rf"(?<![\w０-９.,@#/\-+])(?:[+＋]\s?)?[(（]?{D}(?:{SEP}{
 PHONE_LABEL = re.compile(r"(?:\b(?:(?i:tel|phone|fon|mobile|mobil|cell|call|fax|handy|móvil|portable|téléphone|teléfono|telefon)|T)|电话|手机|座机|传真|致电|拨打)\s*[.:：]?\s*$|(?:Reach .{2,40} on|unter|joindre .{2,40} au|llamar a .{2,40} al|(?:^|[.!?:]\s|\n)is)\s*$")
 ID_CODE = rf"(?=[A-Za-z0-9 .\-]*[0-9])[A-Za-z0-9](?:[ .\-]?[A-Za-z0-9]){{5,21}}"
 LABELLED_ID = re.compile(rf"(?<![A-Za-zÀ-ÿ]){ID_LABEL}\s*(?:is|lautet|est|es|number|no\.|Nr\.?|n°|是|为|为：)?\s*[:：#]?\s*({ID_CODE})(?![A-Za-z0-9])", re.I)
+NAMED_ID = re.compile(r"(?<![A-Za-z0-9])((?=[A-Z0-9 .\-]*[0-9])[A-Z0-9](?:[ .\-]?[A-Z0-9]){5,21})\s+(?:as|is|was)\s+(?:the|an?|his|her|their|my|our)\s+(?:identity|passport|ID|social security|national insurance|insurance)")
 FREE_ID = re.compile(
     r"(?<![A-Za-z0-9\-.])(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|[1278] ?\d{2} ?(?:0[1-9]|1[0-9]|[2-9]\d) ?\d[\dAB] ?\d{3} ?\d{3} ?\d{2}|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[TRWAGMYFPDXBNJZSQVHLCKE])(?![A-Za-z0-9\-])"
     r"|(?<![0-9A-Za-z])[1-9]\d{5}([- ]?)(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\1\d{3}[0-9Xx](?![0-9A-Za-z])"
@@ -228,6 +229,9 @@ def mentions(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     if re.search(r"\d", text):
         long = bool(MANY_DIGITS.search(text))
         if any(w in low for w in ID_WORDS):
+            for m in NAMED_ID.finditer(text):
+                if not overlaps(spans, *m.span(1)):
+                    spans.append((*m.span(1), "identity"))
             for m in LABELLED_ID.finditer(text):
                 a, b = m.span(1)
                 b -= len(text[a:b]) - len(re.sub(r"(?:\s[a-z]+)+$", "", text[a:b]))
