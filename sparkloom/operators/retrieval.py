@@ -144,6 +144,45 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
     return best_of(union(parts, docs.sparkSession.createDataFrame([], FOUND)), k)
 
 
+def dense_per_group(vectors: DataFrame, queries: DataFrame, group: str, k: int) -> DataFrame:
+    """query_id, id, score, group value: the k best rows of every group for each query, by cosine above 0.
+
+    ``vectors`` has id, vector and the group column, ``queries`` query_id and
+    vector. Each task keeps k rows per query and group it has seen.
+    """
+    kind = vectors.schema[group].dataType.simpleString()
+    parts = []
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector", group).where("vector is not null")
+    for block in blocks(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")):
+        if not block:
+            continue
+        matrix = np.array([q["vector"] for q in block], float).T
+        norms = np.linalg.norm(matrix, axis=0)
+        shared = vectors.sparkSession.sparkContext.broadcast(([q["query_id"] for q in block], matrix / np.where(norms > 0, norms, 1)))
+
+        def score(batches, shared=shared):
+            ids, matrix = shared.value
+            best: dict = {}
+            for batch in batches:
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column("vector")), matrix.shape[0]))
+                x = np.nan_to_num(pa.concat_arrays([batch.column("vector")]).flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[0]))
+                norms = np.linalg.norm(x, axis=1, keepdims=True)
+                scores = x / np.where(norms > 0, norms, 1) @ matrix
+                labels, own = np.array(batch.column(group).to_pylist(), object), batch.column("id").to_numpy()
+                for g in dict.fromkeys(labels.tolist()):
+                    rows = labels == g
+                    best.setdefault(g, Best(ids, k)).add(own[rows], scores[rows], 0.0)
+            for g, b in best.items():
+                out = b.rows()
+                yield out.append_column(group, pa.array([g] * out.num_rows, shared_type))
+
+        shared_type = vectors.select(group).limit(0).toArrow().schema.field(0).type
+        parts.append(rows.mapInArrow(score, f"{FOUND}, `{group}` {kind}"))
+    found = union(parts, vectors.sparkSession.createDataFrame([], f"{FOUND}, `{group}` {kind}"))
+    order = Window.partitionBy("query_id", group).orderBy(F.desc("score"), "id")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.0) -> DataFrame:
     """query_id, id, score, rank by cosine of ``vector`` (arrays of double of one length), above ``least``.
 
