@@ -91,11 +91,26 @@ def topic_terms(text: str | Column) -> Column:
     return F.array_except(F.array_distinct(every), F.array(*map(F.lit, TOPIC_STOP)))
 
 
-def word_bounded(text: Column, term: Column) -> Column:
-    """Whether the term occurs: an ASCII term not inside a longer word, any other as a substring. Both in lower case."""
-    plain = term.rlike("^[a-z0-9_.+-]+$")
+def padded_words(text: str | Column) -> Column:
+    """ASCII words and digits in lower case, one blank between and around them."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(col(text)), "[^a-z0-9]+", " "), F.lit(" "))
+
+
+def word_bounded(text: Column, term: Column, padded: Column | None = None) -> Column:
+    """Whether the term occurs: an ASCII term not inside a longer word, any other as a substring. Both in lower case.
+
+    ``padded`` is padded_words(text), to be given where many terms meet one text:
+    then only terms with signs inside need a regular expression.
+    """
+    padded = padded_words(text) if padded is None else padded
+    word = F.contains(padded, F.concat(F.lit(" "), term, F.lit(" ")))
     quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), term, F.lit(r"\E(?![a-z0-9])"))
-    return F.contains(text, term) & (~plain | F.regexp_like(text, quoted))
+    return F.when(term.rlike("^[a-z0-9]+$"), word).when(~F.contains(text, term), False).when(term.rlike("^[a-z0-9_.+-]+$"), F.regexp_like(text, quoted)).otherwise(True)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lexical_fraction(terms: Column, text: str | Column) -> Column:

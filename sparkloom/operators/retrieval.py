@@ -252,7 +252,8 @@ def rerank(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 12) -
     wanted = queries.select("query_id", X.rerank_tokens("text").alias("wanted"), F.array_join(X.matches(F.lower("text"), "[a-z0-9_.+-]+"), " ").alias("phrase"))
     both = found.join(texts, "id").join(wanted, "query_id")
     n = F.greatest(F.size("wanted"), F.lit(1))
-    coverage = F.size(F.filter("wanted", lambda t: X.word_bounded(F.col("body"), t))) / n
+    found_in = lambda padded: F.size(F.filter("wanted", lambda t: X.word_bounded(F.col("body"), t, padded)))
+    coverage = X.let(X.padded_words("body"), found_in) / n
     names = F.size(F.array_intersect("names", "wanted")) / n
     phrase = F.when((F.length("phrase") >= 6) & F.contains("body", F.col("phrase")), 0.12).otherwise(0.0)
     scored = both.select("query_id", "id", F.col("score").alias("before"), F.least(F.lit(1.0), 0.72 * coverage + 0.16 * names + phrase).alias("score"))

@@ -98,9 +98,11 @@ def trailing_sums(events: DataFrame) -> DataFrame:
 
 def token_f1(df: DataFrame, left: str, right: str) -> DataFrame:
     """Adds f1: twice the shared tokens, counted with their repetitions, over the tokens of both; 0 without any."""
-    a, b = X.answer_tokens(left), X.answer_tokens(right)
-    rows = df.withColumn("a", a).withColumn("b", b)
     times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
-    shared = F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda acc, t: acc + F.least(times(F.col("a"), t), times(F.col("b"), t)))
-    n = F.size("a") + F.size("b")
-    return rows.withColumn("f1", F.when(n > 0, 2 * shared / n).otherwise(0.0)).drop("a", "b")
+
+    def score(x: Column) -> Column:
+        n = F.size(x["a"]) + F.size(x["b"])
+        shared = F.aggregate(F.array_intersect(x["a"], x["b"]), F.lit(0), lambda acc, t: acc + F.least(times(x["a"], t), times(x["b"], t)))
+        return F.when(n > 0, 2 * shared / n).otherwise(0.0)
+
+    return df.withColumn("f1", X.let(F.struct(X.answer_tokens(left).alias("a"), X.answer_tokens(right).alias("b")), score))

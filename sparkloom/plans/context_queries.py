@@ -14,7 +14,7 @@ from sparkloom.operators import tables as O
 from sparkloom.plans.registry import query
 from sparkloom.plans.retrieval_queries import hybrid
 from sparkloom.plans.text_queries import sql_tokens
-from sparkloom.tables import table
+from sparkloom.tables import table, texts
 
 V = "v as (select vec_id as id, label, embedding::double[] as v from embeddings)"
 
@@ -22,7 +22,7 @@ V = "v as (select vec_id as id, label, embedding::double[] as v from embeddings)
 @query("select doc_id, source_type, title from documents where active = 1 and lower(coalesce(title, '')) like '%report%' and regexp_replace(lower(trim(source_type)), '^\\.', '') in ('pdf', 'docx', 'md') and lang = 'en'")
 def metadata_filter(spark, sf_dir):
     """Predicates on metadata, which reach the scan."""
-    docs = table(spark, sf_dir, "documents").where("active = 1 and lang = 'en'")
+    docs = texts(spark, sf_dir).where("active = 1 and lang = 'en'")
     return docs.where(F.lower(F.coalesce("title", F.lit(""))).contains("report") & F.regexp_replace(F.lower(F.trim("source_type")), r"^\.", "").isin("pdf", "docx", "md")).select("doc_id", "source_type", "title")
 
 
@@ -38,7 +38,7 @@ def reference_start(spark, sf_dir):
     lines = F.split("text", "\n")
     heading = r"(?i)^(references|bibliography|参考文献|引用文献|works cited|literatur|références|referencias|summary|appendix)\s*:?\s*$"
     hits = F.filter(F.transform("l", lambda x, i: F.struct((i + 1).alias("n"), F.trim(F.ltrim(F.trim(x), F.lit("#"))).rlike(heading).alias("ok"))), lambda h: h["ok"] & (h["n"] > F.size("l") / 2))
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", lines.alias("l"))
+    rows = texts(spark, sf_dir).where("text is not null").select("doc_id", lines.alias("l"))
     return rows.select("doc_id", F.get(hits, F.lit(0))["n"].alias("first_line"), F.size("l").alias("lines")).where("first_line is not null")
 
 
@@ -50,7 +50,7 @@ def reference_start(spark, sf_dir):
 def title_mentions(spark, sf_dir):
     """Chunks that name a document's title: runs of as many words as titles have meet titles in an equi-join, not every pair."""
     plain = lambda c: F.trim(F.lower(F.regexp_replace(c, f"[^A-Za-z0-9{HAN}]+", " ")))
-    names = table(spark, sf_dir, "documents").where("title is not null").select(plain("title").alias("name")).where(F.length("name") >= 6).distinct()
+    names = texts(spark, sf_dir).where("title is not null").select(plain("title").alias("name")).where(F.length("name") >= 6).distinct()
     longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1)).alias("n")).first()["n"]
     words = table(spark, sf_dir, "chunks").where("text is not null and chunk_id is not null").select("chunk_id", F.split(plain("text"), " ").alias("w")).distinct()
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))))
@@ -79,7 +79,7 @@ def cursor_scan(spark, sf_dir):
 def technical_entities(spark, sf_dir):
     """Technical names of the query set."""
     pattern = r"[A-Z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+|[A-Z]{2,}[0-9]*|v[0-9]+(?:\.[0-9]+)+"
-    return table(spark, sf_dir, "documents").where("text is not null and doc_id % 100 = 0").select("doc_id", F.array_sort(F.array_distinct(X.matches("text", pattern))).alias("entities"))
+    return texts(spark, sf_dir).where("text is not null and doc_id % 100 = 0").select("doc_id", F.array_sort(F.array_distinct(X.matches("text", pattern))).alias("entities"))
 
 
 #: Aspects of a question and the words that name them in the other language.
@@ -140,7 +140,7 @@ def position_buckets(spark, sf_dir):
 @query(f"select doc_id, case when {sql_tokens('text')} <= 200 then text end as whole, ({sql_tokens('text')}) > 200 as cut from documents where text is not null")
 def trimmed_documents(spark, sf_dir):
     """Documents cut to 200 estimated tokens; those that fit come out whole."""
-    rows = table(spark, sf_dir, "documents").where("text is not null").withColumn("short", C.trimmed("text", 200))
+    rows = texts(spark, sf_dir).where("text is not null").withColumn("short", C.trimmed("text", 200))
     cut = X.token_estimate("text") > 200
     return rows.select("doc_id", F.when(~cut, F.col("short")).alias("whole"), cut.alias("cut"))
 
@@ -297,14 +297,14 @@ def threshold_and_floor(spark, sf_dir):
 @query("select doc_id, substring(coalesce(text, ''), 1, 2000) as summary, length(coalesce(text, '')) > 2000 as more from documents")
 def bounded_summaries(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(t, 1, 2000).alias("summary"), (F.length(t) > 2000).alias("more"))
+    return texts(spark, sf_dir).select("doc_id", F.substring(t, 1, 2000).alias("summary"), (F.length(t) > 2000).alias("more"))
 
 
 @query("select split_part(coalesce(canonical_path, ''), '/', 1) as root, lower(regexp_extract(canonical_path, '\\.([A-Za-z0-9]+)$', 1)) as ending, count(*) as n, sum(coalesce(n_chars, 0)) as chars from documents group by all")
 def folder_counts(spark, sf_dir):
     root = F.split_part(F.coalesce("canonical_path", F.lit("")), F.lit("/"), F.lit(1))
     ending = F.lower(F.regexp_extract("canonical_path", r"\.([A-Za-z0-9]+)$", 1))
-    return table(spark, sf_dir, "documents").groupBy(root.alias("root"), ending.alias("ending")).agg(F.count("*").alias("n"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
+    return texts(spark, sf_dir).groupBy(root.alias("root"), ending.alias("ending")).agg(F.count("*").alias("n"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
 
 
 @query("with m as (select distinct memory_id, source_session_id, memory_type, confidence, updated_at from memories) select source_session_id, count(*) as items, count(*) filter (memory_type = 'task') as tasks, max(updated_at) as last_at, arg_max(memory_id, (confidence, memory_id)) as surest from m where source_session_id is not null group by 1")

@@ -11,14 +11,14 @@ from sparkloom.plans.registry import query
 from sparkloom.plans.text_queries import sql_sentences
 from sparkloom.sources import files
 from sparkloom.streaming import events as E
-from sparkloom.tables import shared_dir, stored, table
+from sparkloom.tables import shared_dir, stored, table, texts
 
 SQL_TYPE = r"regexp_replace(lower(trim(coalesce(source_type, ''))), '^\.', '')"
 
 
 @query()
 def document_blocks(spark, sf_dir):
-    return B.blocks(table(spark, sf_dir, "documents"))
+    return B.blocks(texts(spark, sf_dir))
 
 
 @query(
@@ -28,23 +28,23 @@ def document_blocks(spark, sf_dir):
  select doc_id, count(*) as blocks from m where regexp_matches(part, '[^\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]') group by doc_id"""
 )
 def marker_block_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~B.plain_type().isin(*B.MARKDOWN))
+    docs = texts(spark, sf_dir).where(~B.plain_type().isin(*B.MARKDOWN))
     return B.blocks(docs).groupBy("doc_id").agg(F.count("*").alias("blocks"))
 
 
 @query()
 def block_islands(spark, sf_dir):
-    return B.islands(B.blocks(table(spark, sf_dir, "documents")))
+    return B.islands(B.blocks(texts(spark, sf_dir)))
 
 
 @query()
 def document_chunks(spark, sf_dir):
-    return B.chunks(table(spark, sf_dir, "documents"))
+    return B.chunks(texts(spark, sf_dir))
 
 
 @query(f"select (select count(*) from documents where active = 1) as documents, (select count(distinct chunk_id) from chunks where active = 1) as chunks, (select coalesce(sum(len({sql_sentences('text')})), 0) from documents where active = 1 and text is not null) as sentences")
 def index_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("active = 1")
+    docs = texts(spark, sf_dir).where("active = 1")
     a = docs.agg(F.count("*").alias("documents"))
     b = table(spark, sf_dir, "chunks").where("active = 1").agg(F.countDistinct("chunk_id").alias("chunks"))
     c = B.sentence_rows(docs).agg(F.count("*").alias("sentences"))
@@ -61,7 +61,7 @@ CUT = "(select max(updated_at) - interval 30 day from documents)"
 )
 def incremental_skip(spark, sf_dir):
     """Documents of the last 30 days: unchanged if path, hash and parser are in the index of the time before."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     cut = docs.agg((F.max("updated_at") - F.expr("interval 30 days")).alias("cut"))
     path = F.concat(F.lower(F.trim("source")), F.lit("/"), F.coalesce("canonical_path", F.lit("")))
     rows = docs.crossJoin(F.broadcast(cut)).select("doc_id", path.alias("path"), F.md5(F.coalesce("text", F.lit(""))).alias("h"), F.col("parser_version").alias("v"), (F.col("updated_at") >= F.col("cut")).alias("new"))
@@ -74,7 +74,7 @@ def incremental_skip(spark, sf_dir):
 @query("with t as (select doc_id, lower(trim(source)) || '|' || coalesce(title, '') as k, updated_at, active from documents) select doc_id, (active = 1 and row_number() over (partition by k order by updated_at desc nulls last, doc_id desc) = 1)::int as active from t")
 def version_upsert(spark, sf_dir):
     """Older versions of a path become inactive: the newest per key is joined back, so no key is sorted in one task."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", F.lower(F.trim("source")), F.coalesce("title", F.lit(""))).alias("k"), F.lower(F.trim("source")).isNull().alias("no_source"), "updated_at", "active")
+    docs = texts(spark, sf_dir).select("doc_id", F.concat_ws("|", F.lower(F.trim("source")), F.coalesce("title", F.lit(""))).alias("k"), F.lower(F.trim("source")).isNull().alias("no_source"), "updated_at", "active")
     docs = docs.withColumn("k", F.when(~F.col("no_source"), F.col("k")))
     at = F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")), "doc_id")
     newest = docs.groupBy("k").agg(F.max_by("doc_id", at).alias("newest"))
@@ -86,7 +86,7 @@ def version_upsert(spark, sf_dir):
 def jsonl_round_trip(spark, sf_dir):
     """Documents written as JSON lines and read again."""
     path = f"{shared_dir(spark)}/jsonl/{uuid.uuid4().hex}"
-    files.append_jsonl(table(spark, sf_dir, "documents").select("doc_id", "title", "text", "n_chars"), path)
+    files.append_jsonl(texts(spark, sf_dir).select("doc_id", "title", "text", "n_chars"), path)
     return files.read_jsonl(spark, path, "doc_id long, title string, text string, n_chars long")
 
 

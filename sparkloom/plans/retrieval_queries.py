@@ -10,7 +10,7 @@ from sparkloom.functions.vectors import cosine, doubles
 from sparkloom.operators import retrieval as R
 from sparkloom.plans.registry import query
 from sparkloom.plans.text_queries import sql_collapse, sql_sentences
-from sparkloom.tables import stored, table
+from sparkloom.tables import stored, table, texts
 
 
 def sql_terms(x: str) -> str:
@@ -36,7 +36,7 @@ bm25 as (select *, row_number() over (partition by query_id order by score desc,
 
 
 def _bm25(spark, sf_dir, k=30):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return R.bm25(docs, R.query_set(docs), k)
 
 
@@ -77,13 +77,13 @@ def space_topk(spark, sf_dir):
 def hash_bucket_histogram(spark, sf_dir):
     from sparkloom.functions.vectors import hash_buckets
 
-    rows = table(spark, sf_dir, "documents").select(F.explode(hash_buckets(F.coalesce("text", F.lit("")))).alias("b"))
+    rows = texts(spark, sf_dir).select(F.explode(hash_buckets(F.coalesce("text", F.lit("")))).alias("b"))
     return rows.groupBy("b.bucket").agg(F.count("*").alias("words"), F.sum("b.sign").alias("balance"))
 
 
 def hybrid(spark, sf_dir, k=30):
     """Query set, hash vectors and fused candidates: BM25 and hashed vectors, 30 each."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     queries = R.query_set(docs)
     vectors = stored(R.hash_vectors(docs))
     asked = vectors.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "query_id")
@@ -161,7 +161,7 @@ def rank_metrics(spark, sf_dir):
 )
 def sentence_windows(spark, sf_dir):
     """Every sentence of the query set with its neighbours: taken from the document's own array, without a shuffle."""
-    rows = table(spark, sf_dir, "documents").where("doc_id % 100 = 0 and text is not null").select("doc_id", X.sentences("text").alias("s"))
+    rows = texts(spark, sf_dir).where("doc_id % 100 = 0 and text is not null").select("doc_id", X.sentences("text").alias("s"))
     flat = rows.select("doc_id", "s", F.posexplode("s").alias("pos", "sentence"))
     at = lambda i: F.coalesce(F.get("s", F.col("pos") + i), F.lit(""))
     return flat.select("doc_id", (F.col("pos") + 1).alias("sentence_no"), "sentence", at(-1).alias("before"), at(1).alias("after"))
@@ -197,7 +197,7 @@ def best_sentences(spark, sf_dir):
 )
 def text_dedup(spark, sf_dir):
     """One row per text, regardless of case and white space; copies meet by the hash of the key."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = texts(spark, sf_dir).where("text is not null")
     key = F.sha2(F.lower(X.collapse("text")), 256)
     return docs.select(key.alias("key"), "doc_id", "n_chars").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_chars").alias("n_chars")).drop("key")
 

@@ -11,7 +11,7 @@ from sparkloom.operators import memory as M
 from sparkloom.operators import tables as O
 from sparkloom.plans.registry import query
 from sparkloom.plans.text_queries import sql_tokens
-from sparkloom.tables import table
+from sparkloom.tables import table, texts
 
 # ---- aggregation ----
 
@@ -316,7 +316,7 @@ def memory_search(spark, sf_dir):
 def title_relevance(spark, sf_dir):
     """Share of the title's terms that the text holds."""
     terms = F.array_distinct(X.matches(F.lower("title"), f"[a-z0-9_.+-]+|[{HAN}]{{2,}}"))
-    return table(spark, sf_dir, "documents").where("title is not null").select("doc_id", F.round(X.lexical_fraction(terms, F.coalesce("text", F.lit(""))), 9).alias("relevance"))
+    return texts(spark, sf_dir).where("title is not null").select("doc_id", F.round(X.lexical_fraction(terms, F.coalesce("text", F.lit(""))), 9).alias("relevance"))
 
 
 @query(
@@ -327,5 +327,5 @@ def title_relevance(spark, sf_dir):
 )
 def token_f1(spark, sf_dir):
     """Multiset overlap of the tokens of title and text, where there is any: within the row, without a shuffle."""
-    rows = table(spark, sf_dir, "documents").where("title is not null and text is not null")
+    rows = texts(spark, sf_dir).where("title is not null and text is not null")
     return O.token_f1(rows, "title", "text").where("f1 > 0").select("doc_id", F.round("f1", 9).alias("f1"))

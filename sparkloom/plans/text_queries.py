@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.functions.text import HAN, WS
 from sparkloom.plans.registry import query
-from sparkloom.tables import table
+from sparkloom.tables import table, texts
 
 #: The same character classes in DuckDB's regular expressions.
 def sql_strip(x: str) -> str:
@@ -30,24 +30,24 @@ def sql_sentences(x: str) -> str:
 
 @query(f"select doc_id, {sql_tokens('text')} as tokens from documents")
 def token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
+    return texts(spark, sf_dir).select("doc_id", T.token_estimate("text").alias("tokens"))
 
 
 @query(f"select lang, count(*) as docs, sum({sql_tokens('text')}) as tokens, max({sql_tokens('text')}) as longest from documents group by lang")
 def tokens_by_language(spark, sf_dir):
     tokens = T.token_estimate("text")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("longest"))
+    return texts(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens"), F.max(tokens).alias("longest"))
 
 
 @query(f"select doc_id, unnest({sql_sentences('text')}) as sentence, generate_subscripts({sql_sentences('text')}, 1) as sentence_no from documents where text is not null")
 def sentences(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
+    rows = texts(spark, sf_dir).select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("sentence_no"), "sentence")
 
 
 @query(f"select doc_id, {sql_collapse('text')} as text from documents")
 def collapsed_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.collapse("text").alias("text"))
+    return texts(spark, sf_dir).select("doc_id", T.collapse("text").alias("text"))
 
 
 @query(
@@ -57,12 +57,12 @@ def collapsed_text(spark, sf_dir):
  select doc_id, round(case when n > 0 then good / (good + 3 * bad3 + n - bad3 - good)::double else 0 end, 9) as score from c"""
 )
 def text_quality(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.quality_score("text"), 9).alias("score"))
+    return texts(spark, sf_dir).select("doc_id", F.round(T.quality_score("text"), 9).alias("score"))
 
 
 @query()
 def garbled_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(T.is_garbled("text")).select("doc_id", F.length("text").alias("n_chars"))
+    return texts(spark, sf_dir).where(T.is_garbled("text")).select("doc_id", F.length("text").alias("n_chars"))
 
 
 @query(rf"select chunk_id, list_distinct(list_transform(regexp_extract_all(text, '\[(\d{{1,6}})\]', 1), lambda x: x::int)).list_filter(lambda x: x between 1 and 20).list_sort() as cited from chunks where text is not null")
@@ -72,12 +72,12 @@ def cited_numbers(spark, sf_dir):
 
 @query("select doc_id, nullif(regexp_extract(text, '(?m)^#[ \\t]+(.+?)[ \\t]*$', 1), '') as heading from documents")
 def first_heading(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.heading("text").alias("heading"))
+    return texts(spark, sf_dir).select("doc_id", T.heading("text").alias("heading"))
 
 
 @query(rf"select doc_id, regexp_replace(substring(regexp_replace(regexp_replace({sql_strip('title')}, '[^A-Za-z0-9_{HAN}-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 28), '-+$', '', 'g') as slug from documents")
 def title_slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug("title").alias("slug"))
+    return texts(spark, sf_dir).select("doc_id", T.slug("title").alias("slug"))
 
 
 @query(f"with t as (select message_id, {sql_collapse('content')} as t from session_messages) select message_id, case when length(t) > 28 then substring(t, 1, 28) || '...' else t end as title from t")
@@ -108,22 +108,22 @@ def memory_topic_terms(spark, sf_dir):
     rf"""select g as gram, count(*) as n from (select unnest(flatten(list_transform(regexp_extract_all(text, '[{HAN}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))) as g from documents) group by g"""
 )
 def han_pair_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.han_grams("text", 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return texts(spark, sf_dir).select(F.explode(T.han_grams("text", 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("select doc_id, regexp_replace(lower(text), '[^a-z0-9_一-鿿]', '', 'g') as plain from documents")
 def plain_answers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.plain_answer("text").alias("plain"))
+    return texts(spark, sf_dir).select("doc_id", T.plain_answer("text").alias("plain"))
 
 
 @query("select doc_id, case when length(text) > 600 then substring(text, 1, 200) || chr(10) || '[...]' || chr(10) || right(text, 393) else text end as text from documents")
 def head_and_tail(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.head_and_tail("text", 600, 200).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", T.head_and_tail("text", 600, 200).alias("text"))
 
 
 @query()
 def squeezed_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.squeeze_lines("text").alias("text"))
+    return texts(spark, sf_dir).select("doc_id", T.squeeze_lines("text").alias("text"))
 
 
 @query(
@@ -134,26 +134,26 @@ def squeezed_lines(spark, sf_dir):
  when regexp_matches(f, '\.(py|js|ts|java|sql)$') then 'code' when regexp_matches(f, '\.(eml|msg)$') then 'mail' when regexp_matches(f, '\.(html|htm)$') then 'web' else 'other' end as category from n"""
 )
 def file_categories(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.file_category("canonical_path").alias("category"))
+    return texts(spark, sf_dir).select("doc_id", T.file_category("canonical_path").alias("category"))
 
 
 @query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(canonical_path, '^\s+|\s+$', '', 'g'), '#.*$', ''), '/+$', '').lower() as key, count(*) over (partition by regexp_replace(regexp_replace(regexp_replace(canonical_path, '^\s+|\s+$', '', 'g'), '#.*$', ''), '/+$', '').lower()) as same from documents where canonical_path is not null")
 def canonical_paths(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("canonical_path is not null").select("doc_id", T.canonical_url("canonical_path").alias("key"))
+    docs = texts(spark, sf_dir).where("canonical_path is not null").select("doc_id", T.canonical_url("canonical_path").alias("key"))
     return docs.join(docs.groupBy("key").agg(F.count("*").alias("same")), "key").select("doc_id", "key", "same")
 
 
 @query()
 def text_urls(spark, sf_dir):
     """Addresses in texts, canonical, without noise, each once per document."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.urls("text")).alias("url")).where(~T.is_noise_url("url"))
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(T.urls("text")).alias("url")).where(~T.is_noise_url("url"))
     return rows.select("doc_id", T.canonical_url(T.unwrap_url("url")).alias("url")).distinct()
 
 
 @query()
 def html_plain(spark, sf_dir):
     """Web pages of the corpus as text, with their first heading."""
-    docs = table(spark, sf_dir, "documents").where(F.lower("source_type").contains("htm"))
+    docs = texts(spark, sf_dir).where(F.lower("source_type").contains("htm"))
     return docs.select("doc_id", T.html_to_text("text").alias("text"), T.strip_tags("text").alias("flat"))
 
 
@@ -166,12 +166,12 @@ def message_metadata(spark, sf_dir):
 @query("select doc_id, sha256(coalesce(text, '')) as digest, 'txt_' || substring(sha256(coalesce(text, '')), 1, 16) as content_id from documents")
 def content_digest(spark, sf_dir):
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return table(spark, sf_dir, "documents").select("doc_id", digest.alias("digest"), F.concat(F.lit("txt_"), F.substring(digest, 1, 16)).alias("content_id"))
+    return texts(spark, sf_dir).select("doc_id", digest.alias("digest"), F.concat(F.lit("txt_"), F.substring(digest, 1, 16)).alias("content_id"))
 
 
 @query("select doc_id, coalesce(regexp_matches(text, '(^|[^0-9])' || year(created_at) || '\\s?[-/.年]\\s?0?' || month(created_at) || '\\s?[-/.月]\\s?0?' || day(created_at) || '([^0-9]|$)'), false) as named from documents")
 def documents_naming_their_day(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     pattern = F.concat(F.lit("(^|[^0-9])"), F.year("created_at"), F.lit(r"\s?[-/.年]\s?0?"), F.month("created_at"), F.lit(r"\s?[-/.月]\s?0?"), F.dayofmonth("created_at"), F.lit("([^0-9]|$)"))
     return docs.select("doc_id", F.coalesce(F.regexp_like("text", pattern), F.lit(False)).alias("named"))
 
@@ -192,11 +192,11 @@ def chunk_labels(spark, sf_dir):
 
 @query("select coalesce(n.lang, 'none') as lang, d.hour, count(*) as n from (select lang, hour(created_at) as hour from documents) d left join (select distinct lang from documents where lang is not null) n on n.lang = d.lang group by all")
 def documents_by_hour(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.hour("created_at").alias("hour"))
+    docs = texts(spark, sf_dir).select(F.coalesce("lang", F.lit("none")).alias("lang"), F.hour("created_at").alias("hour"))
     return docs.groupBy("lang", "hour").agg(F.count("*").alias("n"))
 
 
 @query()
 def natural_order(spark, sf_dir):
     """Paths with keys in which numbers order by value."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.natural_key("canonical_path").alias("key"))
+    return texts(spark, sf_dir).select("doc_id", T.natural_key("canonical_path").alias("key"))

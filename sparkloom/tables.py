@@ -39,3 +39,14 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give less than half as many tasks: a few small files hold work for many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows take long to work on, spread over all cores."""
+    return spread(table(spark, sf_dir, name))
