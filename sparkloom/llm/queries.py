@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.llm import conversations, mojibake, ocr, packing, personal, quantiles, splitting, tokens
-from sparkloom.tables import stored, table
+from sparkloom.tables import stored, table, texts
 
 QUERIES = {}
 SQL = {}
@@ -19,14 +19,14 @@ def query(f):
 @query
 def p2_found(spark, sf_dir):
     """Every message of every conversation that is kept."""
-    rows = conversations.conversations(table(spark, sf_dir, "session_messages"))
+    rows = conversations.conversations(texts(spark, sf_dir, "session_messages"))
     return rows.where("kept").select(F.col("session").alias("session_id"), "turn_no", "message_id")
 
 
 @query
 def p2_threads(spark, sf_dir):
     """Per link tree of every session: its size, first and last turn."""
-    rows = conversations.conversations(table(spark, sf_dir, "session_messages"))
+    rows = conversations.conversations(texts(spark, sf_dir, "session_messages"))
     return rows.groupBy(F.col("session").alias("session_id"), "root_turn", "kept").agg(F.count("*").alias("messages"), F.max("turn_no").alias("last_turn"))
 
 
@@ -97,7 +97,7 @@ def p3_combined(spark, sf_dir):
 def _items(spark, sf_dir):
     documents, limits = table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_limits")
     for name, item_id, kind in (("parent_chunks", "parent_chunk_id", "parent"), ("chunks", "chunk_id", "chunk")):
-        yield name, splitting.limited(table(spark, sf_dir, name), item_id, kind, documents, limits)
+        yield name, splitting.limited(texts(spark, sf_dir, name), item_id, kind, documents, limits)
 
 
 @query
@@ -133,13 +133,13 @@ def p4_pieces(spark, sf_dir):
 @query
 def p6_ids(spark, sf_dir):
     """Token ids of every document."""
-    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+    return tokens.encode_corpus(texts(spark, sf_dir, "documents"))
 
 
 @query
 def p6_decoded(spark, sf_dir):
     """Every document's text from its ids: equal to the text, empty for null."""
-    return tokens.decode_corpus(tokens.encode_corpus(table(spark, sf_dir, "documents")))
+    return tokens.decode_corpus(tokens.encode_corpus(texts(spark, sf_dir, "documents")))
 
 
 SQL["p6_decoded"] = "select doc_id, coalesce(text, '') as text from documents"
@@ -148,18 +148,18 @@ SQL["p6_decoded"] = "select doc_id, coalesce(text, '') as text from documents"
 @query
 def p8_found(spark, sf_dir):
     """Documents with damaged characters."""
-    return mojibake.restore(table(spark, sf_dir, "documents")).where("damaged > 0").select("doc_id")
+    return mojibake.restore(texts(spark, sf_dir, "documents")).where("damaged > 0").select("doc_id")
 
 
 @query
 def p8_restored(spark, sf_dir):
     """All documents, the damaged ones restored as far as possible."""
-    return mojibake.restore(table(spark, sf_dir, "documents"))
+    return mojibake.restore(texts(spark, sf_dir, "documents"))
 
 
 def _messages(spark, sf_dir):
-    a = table(spark, sf_dir, "memories").select(F.lit("memories").alias("source_table"), F.col("memory_id").alias("record_id"), F.col("content").alias("text"))
-    b = table(spark, sf_dir, "session_messages").select(F.lit("session_messages").alias("source_table"), F.col("message_id").alias("record_id"), F.col("content").alias("text"))
+    a = texts(spark, sf_dir, "memories").select(F.lit("memories").alias("source_table"), F.col("memory_id").alias("record_id"), F.col("content").alias("text"))
+    b = texts(spark, sf_dir, "session_messages").select(F.lit("session_messages").alias("source_table"), F.col("message_id").alias("record_id"), F.col("content").alias("text"))
     return a.unionByName(b)
 
 
@@ -178,7 +178,7 @@ def p1_redacted(spark, sf_dir):
 
 
 def _scans(spark, sf_dir):
-    return ocr.examined(table(spark, sf_dir, "ocr_regions"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "documents"))
+    return ocr.examined(texts(spark, sf_dir, "ocr_regions"), texts(spark, sf_dir, "chunks"), texts(spark, sf_dir, "documents"))
 
 
 @query
@@ -198,7 +198,7 @@ def p5_paragraphs(spark, sf_dir):
 
 
 def _packed(spark, sf_dir):
-    sizes = stored(tokens.count_tokens(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size")))
+    sizes = stored(tokens.count_tokens(texts(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size")))
     containers = table(spark, sf_dir, "containers").where("tokenizer = 'byte_bpe_50k'")
     items = packing.pieces(sizes, containers.select("container_kind", F.col("capacity_tokens").alias("capacity")))
     return packing.packed(stored(items))
