@@ -36,13 +36,13 @@ def matches(text: str | Column, pattern: str, group: int = 0) -> Column:
 
 def count_chars(text: str | Column, inside: str) -> Column:
     """Number of characters in the class."""
-    return F.length(F.regexp_replace(col(text), f"[^{inside}]", ""))
+    return F.length(F.regexp_replace(col(text), f"[^{inside}]+", ""))
 
 
 def token_estimate(text: str | Column) -> Column:
     """A cautious token count: a Chinese character or sign counts 1, an ASCII word a quarter of its length, rounded up. 0 for null."""
     words = F.aggregate(matches(text, "[A-Za-z0-9_]+"), F.lit(0), lambda acc, w: acc + F.floor((F.length(w) + 3) / 4).cast("int"))
-    signs = F.length(F.regexp_replace(col(text), f"[{WS}A-Za-z0-9_{HAN}]", ""))
+    signs = F.length(F.regexp_replace(col(text), f"[{WS}A-Za-z0-9_{HAN}]+", ""))
     return F.coalesce(count_chars(text, HAN) + signs, F.lit(0)) + words
 
 
