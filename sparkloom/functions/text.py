@@ -125,8 +125,8 @@ def quality_score(text: str | Column) -> Column:
     t = col(text)
     bad3 = count_chars(t, r"\x{e000}-\x{f8ff}\x{0f00}-\x{0fff}\x{0}-\x{8}\x{e}-\x{1b}\x{fffd}")
     good = count_chars(t, rf"{WS}\x{{c}}\x{{21}}-\x{{7e}}{HAN}\x{{3040}}-\x{{30ff}}\x{{ac00}}-\x{{d7af}}\x{{ff00}}-\x{{ffef}}\p{{Nd}}\x{{2010}}-\x{{2027}}\x{{2030}}-\x{{205e}}\x{{3001}}-\x{{303f}}\x{{b7}}")
-    other = F.length(t) - bad3 - good
-    return F.when(F.length(t) > 0, good / (good + 3 * bad3 + other)).otherwise(F.lit(0.0))
+    counts = F.struct(bad3.alias("bad"), good.alias("good"), F.length(t).alias("n"))
+    return let(counts, lambda c: F.when(c["n"] > 0, c["good"] / (c["n"] + 2 * c["bad"])).otherwise(F.lit(0.0)))
 
 
 def is_garbled(text: str | Column, least: int = 40) -> Column:
