@@ -23,6 +23,28 @@ def p2_found(spark, sf_dir):
     return rows.where("kept").select(F.col("session").alias("session_id"), "turn_no", "message_id")
 
 
+def _sql_speaker() -> str:
+    edge = r"^[\p{Z}\p{C}\s<\[|:*]+|[\p{Z}\p{C}\s>\]|:*]+$"
+    plain = rf"regexp_replace(lower(trim(regexp_replace(role, '{edge}', '', 'g'))), '[\s_-]+', ' ', 'g')"
+    names = {k: ", ".join("'" + x.replace("_", " ").replace("-", " ") + "'" for x in v) for k, v in conversations.SPEAKERS.items()}
+    return "case " + " ".join(f"when {plain} in ({v}) then '{k}'" for k, v in names.items()) + " end"
+
+
+SQL["p2_found"] = rf"""
+with one as (
+  select distinct on (message_id) message_id, nullif(lower(regexp_replace(session_id, '^[\p{{Z}}\p{{C}}\s]+|[\p{{Z}}\p{{C}}\s]+$', '', 'g')), '') as s, {_sql_speaker()} as sp, created_at as t,
+    coalesce(length(regexp_replace(content, '{conversations.UNSEEN}', '', 'g')) > 0, false) as visible, nullif(trim(json_extract_string(metadata, '$.reply_to')), '') as reply
+  from session_messages where message_id is not null order by message_id, coalesce(ingested_at, created_at), coalesce(role, ''), coalesce(session_id, '')),
+m as (select * from one where s is not null),
+talk as (select *, lead(sp) over w as nxt, row_number() over w as n from m where sp is null or sp in ('user', 'assistant') window w as (partition by s order by t nulls first, message_id)),
+bad as (select s from talk where (sp = 'user' and nxt is distinct from 'assistant') or (n = 1 and sp is distinct from 'user')),
+lost as (select s from m where reply is not null and not exists (select 1 from m r where r.s = m.s and r.message_id = m.reply)),
+good as (select s from m group by s having bool_or(sp = 'user') and bool_or(sp = 'assistant') and bool_and(sp is not null and t is not null and visible))
+select s as session_id, cast(row_number() over (partition by s order by t, message_id) as int) as turn_no, message_id
+from m where s in (select s from good) and s not in (select s from bad) and s not in (select s from lost)
+"""
+
+
 @query
 def p2_threads(spark, sf_dir):
     """Per link tree of every session: its size, first and last turn."""
