@@ -76,6 +76,7 @@ HAN_LEADS = (
 )
 #: Words, in lower case, one of which any match of a pattern holds; so most patterns never run on most texts.
 STREET_WORDS = ((), ("box", "postfach", "bp", "b.p", "boîte", "apartado", "apdo"), ("rue ", "avenue ", "av. ", "boulevard ", "bd", "impasse ", "quai ", "place ", "chemin ", "allée", "route ", "cours ", "square ", "passage ", "sentier ", "villa ", "faubourg "), ("calle", "c/", "plaza", "pza", "avenida", "avda", "av.", "paseo", "p.º", "camino", "ronda", "travesía", "carrera", "cuesta", "glorieta"), ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "hof ", "steig ", "pfad ", "chaussee ", "markt ", "graben ", "berg ", "garten ", "winkel ", "am ", "an de", "im ", "in der ", "zum ", "zur ", "auf de", "unter den ", "bei der ", "hinter dem ", "alte", "neue", "große", "kleine", "obere", "untere"), ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "rue ", "avenue ", "quai ", "place "))
+WORD_STARTS = ("am ", "an de", "im ", "in der ", "zum ", "zur ", "auf de", "unter den ", "bei der ", "hinter dem ", "alte", "neue", "große", "kleine", "obere", "untere", "calle", "plaza", "camino", "ronda", "carrera", "cuesta")
 ID_WORDS = ("ssn", "social sec", "passport", "id ", "id:", "ident", "insurance", "ni ", "nino", "ausweis", "reisepass", "versicherungsn", "steuer", "sécurité", "passeport", "nir", "dni", "nie", "nif", "curp", "pasaporte", "documento", "身份证", "证件", "护照", "社保", "applicant (")
 MANY_DIGITS = re.compile(r"\d(?:[\W_]{0,3}\d){5}")
 EN_STREET = re.compile(rf"\d[^\n]{{0,60}}?\s{STREET_EN}(?!\w)")
@@ -141,18 +142,26 @@ class Lexicon:
             rf"|(?:{both})[{HAN}]{{0,2}}(?={HAN_HONORIFICS})|(?<![{HAN}])[{HAN_SURNAMES}][{HAN}]{{0,2}}(?={HAN_HONORIFICS})"
         )
 
-    def may_hold(self, low: str) -> tuple[bool, bool]:
-        """Whether a text in lower case may hold a Latin, or a Chinese name."""
+    def kinds_in(self, low: str) -> set[str]:
+        """What a text in lower case may hold: kinds of names, identity numbers and address patterns (by number)."""
         if self.words is None:
             import ahocorasick
 
-            self.words = ahocorasick.Automaton()
-            for kind, words in (("latin", self.given | self.family | {f"{t} " for t in self.titles} | {f"{t}. " for t in self.titles}), ("han", self.han_given | set(HAN_HONORIFICS.split("|")) | {"联系", "我叫", "找"})):
+            kinds: dict[str, set[str]] = {}
+            marked = [("latin", self.given | self.family), ("han", self.han_given | set(HAN_HONORIFICS.split("|")) | {"联系", "我叫", "找"}), ("identity", set(ID_WORDS))]
+            marked.append(("latin", {f"{sign}{t}{dot}" for t in self.titles for sign in " («“\"'：:>[" for dot in (" ", ". ")}))
+            marked += [(str(i), {f" {w}" if w in WORD_STARTS else w for w in words}) for i, words in enumerate(STREET_WORDS)]
+            for kind, words in marked:
                 for w in words:
-                    self.words.add_word(w, kind)
+                    kinds.setdefault(w, set()).add(kind)
+            self.words = ahocorasick.Automaton()
+            for w, own in kinds.items():
+                self.words.add_word(w, tuple(own))
             self.words.make_automaton()
-        kinds = {k for _, k in self.words.iter(low)}
-        return "latin" in kinds, "han" in kinds
+        found: set[str] = set()
+        for _, own in self.words.iter(" " + low.replace("\n", " ").replace("\u00a0", " ")):
+            found.update(own)
+        return found
 
     def __getstate__(self):
         return self.__dict__ | {"words": None}
@@ -226,9 +235,10 @@ def mentions(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         for m in EMAIL.finditer(text):
             if not re.search(r"[@＠]\s?[\d.]+$", m.group()):
                 spans.append((m.start(), m.end(), "email"))
+    kinds = lexicon.kinds_in(low)
     if re.search(r"\d", text):
         long = bool(MANY_DIGITS.search(text))
-        if any(w in low for w in ID_WORDS):
+        if "identity" in kinds:
             for m in NAMED_ID.finditer(text):
                 if not overlaps(spans, *m.span(1)):
                     spans.append((*m.span(1), "identity"))
@@ -246,8 +256,8 @@ def mentions(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
                 a = strip_prefix(m)
                 if not overlaps(spans, a, m.end()):
                     spans.append((a, m.end(), "address"))
-        for pattern, words in zip(ADDRESSES, STREET_WORDS, strict=True):
-            if EN_STREET.search(text) if pattern is ADDRESSES[0] else any(w in low for w in words):
+        for i, pattern in enumerate(ADDRESSES):
+            if str(i) in kinds if i else EN_STREET.search(text):
                 for m in pattern.finditer(text):
                     if not overlaps(spans, *m.span()):
                         spans.append((*m.span(), "address"))
@@ -259,12 +269,11 @@ def mentions(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
                     a, raw = a + 1, raw[1:]
                 if is_phone(text, raw, a) and not overlaps(spans, a, b):
                     spans.append((a, b, "phone"))
-    latin, han = lexicon.may_hold(low)
-    if han:
+    if "han" in kinds:
         for m in lexicon.han.finditer(text):
             if not overlaps(spans, *m.span()):
                 spans.append((*m.span(), "name"))
-    if latin:
+    if "latin" in kinds:
         for a, b in lexicon.latin(text):
             if not overlaps(spans, a, b):
                 spans.append((a, b, "name"))
