@@ -207,24 +207,27 @@ def several(column: str) -> Column:
     return F.when(F.min(column) == F.max(column), 1).otherwise(F.greatest(F.lit(2), F.approx_count_distinct(column, 0.05)))
 
 
-def furniture(lines: DataFrame) -> DataFrame:
-    """Adds kind: header, page_no, or null for running text.
+def furniture(lines: DataFrame, areas: bool = True) -> DataFrame:
+    """Adds kind: header, page_no, or null for running text; and the line's skeleton, and the step from its page to its number.
 
     A line at the edge of a page is a header or footer if its skeleton is at the
     edge of two pages of the document, or of many documents and hardly ever
     inside a page. A bare number at the edge is a page number if it is marked as
     one or if the numbers of other pages lie in step with it. Counts are summed
-    before the shuffle, so documents of any number of pages are fine.
+    before the shuffle, so documents of any number of pages are fine. All lines
+    of an area of the page stand at its place; those of records that are not
+    areas, such as chunks, behind the lines of the records before.
     """
-    pages = lines.groupBy("doc_id", "page").agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+    pages = lines.groupBy("doc_id", "page").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.min_by("n_lines", "ord").alias("first"), F.max_by("n_lines", "ord").alias("last"))
     rows = lines.join(pages, ["doc_id", "page"]).withColumn("skel", skeleton("line"))
-    top = F.when(F.col("ord") == F.col("low"), F.col("line_no")).otherwise(F.col("ord") - F.col("low"))
-    end = F.when(F.col("ord") == F.col("high"), F.col("n_lines") - 1 - F.col("line_no")).otherwise(F.col("high") - F.col("ord"))
+    above, below = F.col("line_no"), F.col("n_lines") - 1 - F.col("line_no")
+    top = F.when(F.col("ord") == F.col("low"), above).otherwise(F.col("ord") - F.col("low") + (F.lit(0) if areas else F.col("first") - 1 + above))
+    end = F.when(F.col("ord") == F.col("high"), below).otherwise(F.col("high") - F.col("ord") + (F.lit(0) if areas else F.col("last") - 1 + below))
     rows = rows.withColumn("edge", F.least(top, end) < EDGE_LINES).withColumn("outer", F.least(top, end) == 0)
     rows = rows.withColumn("bare", F.col("line").rlike(PAGE_NO_JVM) & F.col("line").rlike(r"[\dlIOo]|(?i)^\W*[ivxlcdm]+\W*$|[〇零一二三四五六七八九十]"))
     digits = F.translate(F.regexp_extract("line", r"([\dlIiOoSsBz|]{1,5})", 1), "lIi|OoSsBz", "111100" + "5582")
     rows = rows.withColumn("step", F.when(F.col("edge") & F.col("bare"), digits.try_cast("int") - F.col("page")))
-    rows = stored(rows.drop("low", "high"))
+    rows = stored(rows.drop("low", "high", "first", "last"))
     words = ~F.col("bare") & (F.length("skel") >= 3)
     own = rows.where(F.col("edge") & words).groupBy("doc_id", "skel").agg(several("page").alias("pages"), F.max(F.col("outer").cast("int")).alias("outer_once")).where("pages >= 2 and outer_once = 1")
     long = rows.groupBy("doc_id").agg(F.approx_count_distinct("page", 0.05).alias("of"))
@@ -238,7 +241,7 @@ def furniture(lines: DataFrame) -> DataFrame:
     marked = F.col("line").rlike(MARKED_JVM)
     roman = F.trim("line").rlike(r"^[ivxl]{1,8}$|^[IVXL]{2,8}$")
     kind = F.when(F.col("edge") & F.col("bare") & (F.coalesce("stepped", F.lit(False)) | marked | (roman & F.col("outer"))), "page_no").when(F.col("edge") & ~F.col("bare") & (F.coalesce("own_head", F.lit(False)) | F.coalesce("all_head", F.lit(False))), "header")
-    return out.select(*lines.columns, "skel", kind.alias("kind"))
+    return out.select(*lines.columns, "skel", "step", kind.alias("kind"))
 
 
 class Words:
@@ -407,16 +410,20 @@ def examined(regions: DataFrame, chunks: DataFrame, documents: DataFrame) -> tup
     own = rows.join(text, ["record_id", "line_no"], "left")
     own = stored(own.select("doc_id", "page", "ord", "record_id", "line_no", "line", "kind", F.coalesce("hyphenation", F.lit(False)).alias("hyphenation"), "fixes"))
     facts = own.groupBy("doc_id", "line").agg(F.max("kind").alias("kind"), F.max("hyphenation").alias("hyphenation"), F.max_by("fixes", F.size("fixes")).alias("fixes"))
-    cut = chunk_lines(chunks)
-    seen = cut.join(facts.withColumn("there", F.lit(True)), ["doc_id", "line"], "left")
-    seen = stored(seen)
-    rest = seen.where("there is null").select("doc_id", "page", "ord", "record_id", "line_no", "line").withColumn("skel", skeleton("line"))
-    heads = rows.where("kind = 'header'").select("doc_id", "skel").distinct().withColumn("kind", F.lit("header"))
-    # a line that no region has: judged alone, as the chunk may have cut it
-    rest = rest.join(heads, ["doc_id", "skel"], "left").withColumn("prev_line", F.lit(None).cast("string")).withColumn("next_line", F.lit(None).cast("string")).drop("skel")
-    alone = judged(rest, words, table)
+    # a line that no region has is told by its place among the chunk's lines and by the furniture of the regions
+    heads = rows.where("kind = 'header'").select("doc_id", "skel", F.lit("header").alias("head")).distinct()
+    numbers = rows.where("kind = 'page_no' and step is not null").select("doc_id", "step", F.lit("page_no").alias("number")).distinct()
+    seen = furniture(chunk_lines(chunks), areas=False).withColumnRenamed("kind", "cut_kind")
+    seen = seen.join(facts.withColumn("there", F.lit(True)), ["doc_id", "line"], "left").join(heads, ["doc_id", "skel"], "left").join(numbers, ["doc_id", "step"], "left")
+    seen = stored(seen.withColumn("kind", F.when(F.col("there"), F.col("kind")).otherwise(F.coalesce("cut_kind", "head", "number"))).drop("cut_kind", "head", "number", "skel", "step"))
+    # and its words are judged between its neighbours; documents that have no such line are not put in order
+    body = seen.where("kind is null")
+    body = body.join(body.where("there is null").select("doc_id").distinct(), "doc_id", "left_semi")
+    near = with_neighbours(body.select("doc_id", *order, "line", "there"), ["doc_id"], order, ["line"]).where("there is null").drop("there")
+    alone = judged(near, words, table).select("record_id", "line_no", "hyphenation", "fixes")
+    alone = seen.where("there is null").drop("hyphenation", "fixes").join(alone, ["record_id", "line_no"], "left")
     columns = ["doc_id", "page", "ord", "record_id", "line_no", "line", "kind", "hyphenation", "fixes"]
-    alone = alone.withColumn("hyphenation", F.col("hyphenation") & F.col("kind").isNull())
+    alone = alone.withColumn("hyphenation", F.coalesce("hyphenation", F.lit(False)))
     return own, seen.where("there").select(columns).unionByName(alone.select(columns))
 
 

@@ -176,3 +176,19 @@ def test_scans_in_spark(spark):
     assert {(r["record_id"], r["noise_type"]) for r in O.noise(b).collect()} == {("c1", "misread"), ("c1", "hyphenation"), ("c1", "page_no")}
     text = O.paragraphs(a).where("doc_id = 1 and page = 2").first()["text"]
     assert "contract is important for" in text and "half-finished" in text and "Annual" not in text and "- 2 -" not in text
+
+
+def test_chunk_lines_that_no_region_has(spark):
+    """Page numbers by their place and step, and halves of cut words by the chunk's next line."""
+    words = "the cross is in the section of the document and the crosscheck is second to the report"
+    docs = spark.createDataFrame([(i, words) for i in range(30)], "doc_id long, text string")
+    regions = spark.createDataFrame([("r1", 1, 1, 0, "the document is second")], "region_id string, doc_id long, page_number int, region_order int, text string")
+    rows = []
+    for page, word in ((3, "report"), (4, "section"), (5, "document")):
+        rows.append((f"a{page}", 1, None, 2 * page, f"the {word} is in the cross-\ncheck of the document\n1999\nthe second section", page))
+        rows.append((f"b{page}", 1, None, 2 * page + 1, f"1999\nand the report\nis the {word}\n{page + 40}", page))
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, parent_chunk_id string, position int, text string, page_number int")
+    _, b = O.examined(regions, chunks, docs)
+    assert {(r["record_id"], r["noise_type"]) for r in O.noise(b).collect()} == {(f"a{p}", "hyphenation") for p in (3, 4, 5)} | {(f"b{p}", "page_no") for p in (3, 4, 5)}
+    text = [r["text"] for r in O.paragraphs(b).where("page = 4").collect()]
+    assert len(text) == 1 and "the crosscheck of" in text[0] and "44" not in text[0] and text[0].count("1999") == 2
