@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The emissions are fitted on at most so many documents of at most so many code points (by hash order of the key); all documents are labelled.
-SAMPLE_DOCS = 3000
-SAMPLE_CHARS = 6000
+#: Code points of texts that are counted at a time.
+COUNT_CHARS = 4_000_000
 
 #: (right, wrong, single-byte): UTF-8 read as another encoding; then text of another encoding read as UTF-8 or as a third.
 PAIRS = (
@@ -31,6 +30,8 @@ PAIRS = (
     ("cp1252", "cp850", False), ("cp1252", "cp437", False), ("cp1252", "mac_roman", False), ("cp1252", "cp1251", False),
 )
 SINGLE = frozenset(wrong for _, wrong, single in PAIRS if single)
+#: Pairs in which what a character becomes depends on its neighbours; the counts of the others follow from those of clean text.
+IN_CONTEXT = tuple(i for i, (_, wrong, _) in enumerate(PAIRS) if wrong not in SINGLE)
 SWITCH = 2.5
 UNSEEN_CLEAN, UNSEEN_PAIR, IMPOSSIBLE = np.log(2e-7), np.log(2e-8), -30.0
 LOST = "�"
@@ -141,31 +142,50 @@ def _counts(text: str) -> np.ndarray:
     return np.bincount(points[points >= 0x80], minlength=0x110000)
 
 
+def counted(texts: list[str]) -> dict[int, np.ndarray]:
+    """Counts of clean text (state 0) and of the pairs in context, as they add up over any division of the texts."""
+    whole = "\n".join(clean_lines(texts))
+    return {0: _counts(whole)} | {i + 1: _counts(damage(whole, *PAIRS[i][:2])) for i in IN_CONTEXT}
+
+
+def _follows(clean: np.ndarray, right: str, wrong: str) -> np.ndarray:
+    """Counts of a pair whose transform takes each character by itself."""
+    out = np.zeros(0x110000, np.int64)
+    for c in np.flatnonzero(clean):
+        bad = damage(chr(c), right, wrong)
+        if right == "cp1252" and wrong in BYTE_FOR_BYTE:
+            bad = re.sub(f"[^{STRANGE}]", "", bad)
+        for x in bad:
+            if x >= "\x80":
+                out[ord(x)] += clean[c]
+    return out
+
+
 class Model:
     """Log emissions per code point and state; state 0 is clean."""
 
-    def __init__(self, texts: list[str]):
-        whole = "\n".join(clean_lines(texts))
-        clean, seen = _counts(whole), []
-        for right, wrong, _ in PAIRS:
-            bad = damage(whole, right, wrong)
-            if right == "cp1252" and wrong in BYTE_FOR_BYTE:
-                bad = re.sub(f"[^{STRANGE}]", "", bad)
-            seen.append(_counts(bad))
+    def __init__(self, texts: list[str] = (), counts: dict[int, np.ndarray] | None = None):
+        counts = counted(texts) if counts is None else counts
+        clean, seen = counts[0], []
+        for i, (right, wrong, _) in enumerate(PAIRS):
+            seen.append(counts[i + 1] if i in IN_CONTEXT else _follows(clean, right, wrong))
             if (right, wrong) == ("utf-8", "cp1252"):  # also decoded wrongly twice, or as Latin-1
-                seen[-1] = seen[-1] + _counts(damage(bad, right, wrong)) + _counts(damage(whole, right, "latin-1"))
+                seen[-1] = seen[-1] + _follows(seen[-1], right, wrong) + _follows(clean, right, "latin-1")
+        # below a single occurrence, however large the corpus
+        self.unseen = min(UNSEEN_CLEAN, np.log(0.5 / max(1, *(int(c.sum()) for c in (clean, *seen)))))
+        unseen_pair = self.unseen + UNSEEN_PAIR - UNSEEN_CLEAN
         self.points = np.flatnonzero(clean + sum(seen)).astype(np.uint32)
         if not len(self.points):
             self.points = np.array([ord(LOST)], np.uint32)
         states = 1 + len(PAIRS)
-        log = np.full((2 + len(self.points), states), UNSEEN_PAIR, np.float32)  # rows: ASCII, unseen, then each character
-        log[:, 0] = UNSEEN_CLEAN
+        log = np.full((2 + len(self.points), states), unseen_pair, np.float32)  # rows: ASCII, unseen, then each character
+        log[:, 0] = self.unseen
         log[0] = 0
-        for s, counts in enumerate([clean, *seen]):
-            own = counts[self.points]
+        for s, n in enumerate([clean, *seen]):
+            own = n[self.points]
             with np.errstate(divide="ignore"):
-                log[2:, s] = np.maximum(np.log(own / max(1, own.sum())), UNSEEN_CLEAN if s == 0 else UNSEEN_PAIR)
-        log[2:, 0][self.points == ord(LOST)] = UNSEEN_CLEAN
+                log[2:, s] = np.maximum(np.log(own / max(1, own.sum())), self.unseen if s == 0 else unseen_pair)
+        log[2:, 0][self.points == ord(LOST)] = self.unseen
         self.log = log
         gain = log[:, 1:] > log[:, :1] + 1e-6
         #: Classes that may begin a damaged span alone, or beside another character that is not ASCII.
@@ -192,7 +212,7 @@ class Model:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         kind = self.classes(points)[points >= 0x80]
         kind = kind[kind != self.classes(np.array([ord(LOST)], np.uint32))[0]]
-        return len(kind) == 0 or float((self.log[kind, 0] > UNSEEN_CLEAN + 0.1).mean()) >= 0.5
+        return len(kind) == 0 or float((self.log[kind, 0] > self.unseen + 0.1).mean()) >= 0.5
 
     def label(self, lines: list[np.ndarray]) -> list[np.ndarray]:
         """The likeliest state of every character of every line."""
@@ -338,11 +358,32 @@ def repaired(line: str, states: np.ndarray, model: Model) -> tuple[str, int, int
     return "".join([*out, line[at:]]), found, fixed
 
 
-def fit(docs: DataFrame, text: str, key: str) -> Model:
-    """Emissions from the sample; at most SAMPLE_DOCS * SAMPLE_CHARS characters come to the driver."""
-    rows = docs.where(F.length(text).between(1, SAMPLE_CHARS)).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    share = max(1, rows.count() // (2 * SAMPLE_DOCS))  # about twice the sample, so that tasks send few rows
-    return Model([r["t"] for r in rows.where(F.pmod("h", F.lit(share)) == 0).orderBy("h", "t").limit(SAMPLE_DOCS).collect()])
+def fit(docs: DataFrame, text: str) -> Model:
+    """Emissions from all documents; the driver gets one row per state in context and code point."""
+
+    def count(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, chars = [], 0
+            for t in [*batch.column(0).to_pylist(), None]:
+                if t and not t.isascii():
+                    part.append(t)
+                    chars += len(t)
+                if part and (t is None or chars >= COUNT_CHARS):
+                    for state, n in counted(part).items():
+                        total[state] = total.get(state, 0) + n
+                    part, chars = [], 0
+        for state, n in total.items():
+            points = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(points), state), pa.int32()), pa.array(points, pa.int32()), pa.array(n[points], pa.int64())], names=["state", "point", "n"])
+
+    rows = docs.where(F.length(text) > 0).select(text).mapInArrow(count, "state int, point int, n long")
+    sums = rows.groupBy("state", "point").agg(F.sum("n").alias("n")).toArrow()
+    counts = {s: np.zeros(0x110000, np.int64) for s in (0, *(i + 1 for i in IN_CONTEXT))}
+    state, point, n = (sums.column(c).to_numpy() for c in ("state", "point", "n"))
+    for s, own in counts.items():
+        own[point[state == s]] = n[state == s]
+    return Model(counts=counts)
 
 
 def restore(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -351,7 +392,7 @@ def restore(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     Texts without damage come out unchanged, null as null, empty as empty. One
     row per input row; other columns are ignored, whatever their names.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text, key))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text))
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):

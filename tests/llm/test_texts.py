@@ -66,6 +66,25 @@ def test_restore_in_spark(spark):
     assert out[1003]["text"] is None and out[1004]["text"] == ""
 
 
+def test_every_document_counts(spark):
+    """A script that only one long document has is known, and restored elsewhere."""
+    line = "საქართველოს დედაქალაქი თბილისი"
+    bad = M.damage(line, "utf-8", "cp1252")
+    rows = [*enumerate(CLEAN), (1000, f"{line}\n" * 300), (1001, bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in M.restore(docs).collect()}
+    assert out[1001]["text"] == line and {i for i, r in out.items() if r["damaged"]} == {1001}
+    model, whole = M.fit(docs.repartition(3), "text"), M.Model([t for _, t in rows])
+    assert (model.points == whole.points).all() and (model.log == whole.log).all()
+
+
+def test_one_occurrence_is_known_in_any_corpus():
+    counts = M.counted(CLEAN)
+    counts[0] = counts[0] * 10**7
+    counts[0][ord("ქ")] = 1
+    assert M.Model(counts=counts).plausible("ქ") and not M.Model(counts=counts).plausible("უ")
+
+
 LEXICON = P.Lexicon({"priya", "nadia", "felix", "lucía"}, {"marrowby", "o'thressel", "valdecuervo", "dunmoor"}, {"雨桐", "景行"})
 CASES = [
     ("Reach Priya Dunmoor on +44 7700 900933 once", [("name", "Priya Dunmoor"), ("phone", "+44 7700 900933")]),
