@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
+from sparkloom.tables import stored
 
 #: Weights of the selection score; tokens kept free for headings.
 RELEVANCE_WEIGHT, RECENCY_WEIGHT, OVERHEAD = 0.7, 0.3, 96
@@ -44,26 +45,36 @@ def around(text: str | Column, part: str | Column, most: int) -> Column:
 def select(packets: DataFrame, budget: int) -> DataFrame:
     """Adds kept and used: packets of each request chosen under a token budget.
 
-    ``packets`` has request, packet_id, required, priority, relevance, recency and
-    tokens. Required ones come first by priority, the others by value; each is
-    taken if it still fits what is left. The choice depends on all before it, so
-    a request is one group: callers pass the packets of one prompt, such as the
-    newest messages of a session. Packets without a size are not taken.
+    ``packets`` has request, packet_id (unique in the request), required, priority,
+    relevance, recency and tokens (not negative). Required ones come first by
+    priority, the others by value; each is taken if it still fits what is left.
+    Packets without a size are not taken.
+
+    Of the packets of one size t at most budget / t are taken, and none behind one
+    that no longer fits; so the choice, which depends on all before it, needs only
+    the first budget / t of each size, whatever the number of packets.
     """
     value = RELEVANCE_WEIGHT * F.col("relevance") + RECENCY_WEIGHT * F.col("recency") + F.least(F.greatest("priority", F.lit(0)), F.lit(100)) / 1000
-    rows = packets.withColumn("value", F.when(F.col("required"), F.col("priority").cast("double")).otherwise(value))
+    rows = stored(packets.withColumn("value", F.when(F.col("required"), F.col("priority").cast("double")).otherwise(value)))
     room = max(32, budget - OVERHEAD)
+    order = Window.partitionBy("request", "tokens").orderBy(F.desc("required"), F.desc("value"), "packet_id")
+    first = rows.where(F.col("tokens").between(1, room)).select("request", "packet_id", "required", "value", "tokens").withColumn("n", F.row_number().over(order))
+    first = first.where((F.col("n") <= room) & (F.col("n") * F.col("tokens") <= room)).drop("n")
 
     def choose(table: pa.Table) -> pa.Table:
         table = table.sort_by([("required", "descending"), ("value", "descending"), ("packet_id", "ascending")])
         used, kept = 0, []
         for n in table["tokens"].to_pylist():
-            kept.append(n is not None and used + n <= room)
+            kept.append(used + n <= room)
             used += n if kept[-1] else 0
-        return table.append_column("kept", pa.array(kept, pa.bool_())).append_column("used", pa.array([used] * len(kept), pa.int64()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy("request").applyInArrow(choose, f"{schema}, kept boolean, used long")
+        return table.select(["request", "packet_id", "tokens"]).filter(pa.array(kept, pa.bool_()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.select("request", "packet_id", "tokens").schema.fields)
+    taken = stored(first.groupBy("request").applyInArrow(choose, schema))
+    used = taken.groupBy("request").agg(F.sum("tokens").cast("long").alias("used"))
+    out = rows.join(taken.select("request", "packet_id", F.lit(True).alias("kept")), ["request", "packet_id"], "left").join(used, "request", "left")
+    kept = F.coalesce("kept", F.col("tokens") == 0, F.lit(False))
+    return out.select(*rows.columns, kept.alias("kept"), F.coalesce("used", F.lit(0)).cast("long").alias("used"))
 
 
 def quality(chosen: DataFrame) -> DataFrame:

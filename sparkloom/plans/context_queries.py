@@ -161,10 +161,8 @@ def packets(spark, sf_dir):
     """Messages as packets of their session's context."""
     rows = O.message_records(table(spark, sf_dir, "session_messages")).where("content is not null")
     last = rows.groupBy("session").agg(F.max("created_at").alias("now"))
-    order = Window.partitionBy("session").orderBy(F.desc("created_at"), F.desc("message_id"))
-    recent = rows.withColumn("n", F.row_number().over(order)).where("n <= 200").drop("n")  # the window of one prompt
     age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86400000000.0
-    both = recent.join(last, "session")
+    both = rows.join(last, "session")
     return both.select(F.col("session").alias("request"), F.col("message_id").alias("packet_id"), (F.col("created_at") == F.col("now")).alias("required"), F.lit(10).alias("priority"), F.least(F.lit(1.0), F.length("content") / 200.0).alias("relevance"), F.exp(-age / 30).alias("recency"), X.token_estimate("content").cast("long").alias("tokens"))
 
 

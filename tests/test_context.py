@@ -28,6 +28,34 @@ def test_selection(spark):
     assert q["r"]["kept_tokens"] == 90 and q["r"]["lost"] == 0 and q["s"]["kept"] == 0
 
 
+def test_selection_of_many(spark):
+    """The same choice as over all packets in order, for a request of many packets of few and of many sizes."""
+    rng = __import__("random").Random(7)
+    rows = [(q, f"p{i:05d}", rng.random() < 0.01, rng.randint(0, 3), rng.random(), rng.random(), rng.choice([None, 0, *range(1, most)])) for q, most in (("a", 400), ("b", 9), ("c", 3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "request string, packet_id string, required boolean, priority int, relevance double, recency double, tokens long")
+    out = {(r["request"], r["packet_id"]): (r["kept"], r["used"]) for r in C.select(df, 400).collect()}
+    assert len(out) == len(rows)
+    for q in "abc":
+        value = lambda r: float(r[3]) if r[2] else 0.7 * r[4] + 0.3 * r[5] + r[3] / 1000
+        used, kept = 0, {}
+        for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], -value(r), r[1])):
+            kept[r[1]] = r[6] is not None and used + r[6] <= 304
+            used += r[6] if kept[r[1]] else 0
+        assert {p: v for (x, p), v in out.items() if x == q} == {p: (k, used) for p, k in kept.items()}
+
+
+def test_old_messages_are_packets(spark, tmp_path):
+    from sparkloom.plans import context_queries as Q
+
+    at = __import__("datetime").datetime(2025, 1, 1)
+    day = __import__("datetime").timedelta(minutes=1)
+    rows = [("s", f"m{i:03d}", at + i * day, at, "user", "x" * 200 if i == 0 else "ok") for i in range(260)]
+    spark.createDataFrame(rows, "session_id string, message_id string, created_at timestamp, ingested_at timestamp, role string, content string").write.parquet(f"{tmp_path}/session_messages.parquet")
+    out = {r["packet_id"]: r["kept"] for r in Q.context_selection(spark, str(tmp_path)).collect()}
+    assert len(out) == 260 and out["m000"] and out["m259"]
+    assert Q.context_quality(spark, str(tmp_path)).first()["packets"] == 260
+
+
 def test_web(spark):
     page = "<html><head><title> A &amp; B </title><style>x</style></head><body><nav>menu</nav><p>one <b>two</b></p><div>three</div></body></html>"
     row = spark.createDataFrame([(page,), (None,)], "h string").select(W.main_text("h").alias("m"), W.page_title("h").alias("t")).collect()
