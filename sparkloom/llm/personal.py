@@ -36,7 +36,7 @@ STREET_EN = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Court|Ct\.?|Dr
 STREET_FR = r"(?:rue|avenue|av\.|boulevard|bd\.?|impasse|quai|place|chemin|allée|allées|route|cours|square|passage|sentier|villa|faubourg)"
 STREET_ES = r"(?:Calle|C/|Plaza|Pza\.?|Avenida|Avda\.?|Av\.|Paseo|P\.º|Camino|Ronda|Travesía|Carrera|Cuesta|Callejón|Glorieta)"
 STREET_DE = r"(?:weg|straße|strasse|str\.|gasse|platz|allee|ring|damm|ufer|hof|steig|pfad|chaussee|markt|graben|berg|garten|winkel)"
-ID_LABEL = r"(?:SSN(?:/ID)?|social security(?: number| no\.?)?|passport(?: number| no\.?)?|ID(?: card)?(?: number| no\.?)?|identity (?:card|number)(?: no\.?)?|national insurance(?: number| no\.?)?|NI(?:NO)?|Ausweis(?:nummer)?|Personalausweis(?:nummer)?|Reisepass(?:nummer)?|Sozialversicherungsnummer|Steuer-?ID|num[ée]ro d[’']identité|num[ée]ro de sécurité sociale|passeport(?: n°)?|carte d[’']identité(?: n°)?|NIR|DNI|NIE|NIF|CURP|pasaporte(?: n\.?º)?|documento(?: de identidad)?(?: n\.?º)?|身份证号码|身份证号|身份证|证件号码|证件号|证件|护照号码|护照号|护照|社保号|the applicant \()"
+ID_LABEL = r"(?:SSN(?:/ID)?|social security(?: number| no\.?)?|passport(?: number| no\.?)?|ID(?![A-Za-z])(?: card)?(?: number| no\.?)?|identity (?:card|number)(?: no\.?)?|national insurance(?: number| no\.?)?|NI(?:NO|(?![A-Za-z]))|Ausweis(?:nummer)?|Personalausweis(?:nummer)?|Reisepass(?:nummer)?|Sozialversicherungsnummer|Steuer-?ID|num[ée]ro d[’']identité|num[ée]ro de sécurité sociale|passeport(?: n°)?|carte d[’']identité(?: n°)?|NIR|DNI|NIE|NIF|CURP|pasaporte(?: n\.?º)?|documento(?: de identidad)?(?: n\.?º)?|身份证号码|身份证号|身份证|证件号码|证件号|证件|护照号码|护照号|护照|社保号|the applicant \()"
 
 # ---- patterns ----
 AT = r"(?:\s?[@＠]\s?|\s?[(\[{<]\s?(?:at|AT|@|＠|arroba|ät)\s?[)\]}>]\s?)"
@@ -49,7 +49,7 @@ NUMBER = re.compile(rf"(?<![\w０-９.,@#/\-+])(?:[+＋]\s?)?[(（]?{D}(?:{SEP}{
 PHONE_LABEL = re.compile(r"(?:\b(?:(?i:tel|phone|fon|mobile|mobil|cell|call|fax|handy|móvil|portable|téléphone|teléfono|telefon)|T)|电话|手机|座机|传真|致电|拨打)\s*[.:：]?\s*$|(?:Reach .{2,40} on|unter|joindre .{2,40} au|llamar a .{2,40} al|(?:^|[.!?:]\s|\n)is)\s*$")
 ID_CODE = rf"(?=[A-Za-z0-9 .\-]*[0-9])[A-Za-z0-9](?:[ .\-]?[A-Za-z0-9]){{5,21}}"
 LABELLED_ID = re.compile(rf"(?<![A-Za-zÀ-ÿ]){ID_LABEL}\s*(?:is|lautet|est|es|number|no\.|Nr\.?|n°|是|为|为：)?\s*[:：#]?\s*({ID_CODE})(?![A-Za-z0-9])", re.I)
-NAMED_ID = re.compile(r"(?<![A-Za-z0-9])((?=[A-Z0-9 .\-]*[0-9])[A-Z0-9](?:[ .\-]?[A-Z0-9]){5,21})\s+(?:as|is|was)\s+(?:the|an?|his|her|their|my|our)\s+(?:identity|passport|ID|social security|national insurance|insurance)")
+NAMED_ID = re.compile(r"(?<![A-Za-z0-9])((?=[A-Z0-9 .\-]*[0-9])[A-Z0-9](?:[ .\-]?[A-Z0-9]){5,21})\s+(?:as|is|was)\s+(?:the|an?|his|her|their|my|our)\s+(?:identity|passport|ID(?![A-Za-z])|social security|national insurance|insurance)")
 FREE_ID = re.compile(
     r"(?<![A-Za-z0-9\-.])(?:[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|[1278] ?\d{2} ?(?:0[1-9]|1[0-9]|[2-9]\d) ?\d[\dAB] ?\d{3} ?\d{3} ?\d{2}|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[TRWAGMYFPDXBNJZSQVHLCKE])(?![A-Za-z0-9\-])"
     r"|(?<![0-9A-Za-z])[1-9]\d{5}([- ]?)(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\1\d{3}[0-9Xx](?![0-9A-Za-z])"
@@ -75,11 +75,17 @@ HAN_LEADS = (
     re.compile(r"^.*?(?:在|到|至|是|请|往|于|为)(?=[一-鿿]{2,}[市省区县路街巷道])"),
 )
 #: Words, in lower case, one of which any match of a pattern holds; so most patterns never run on most texts.
-STREET_WORDS = ((), ("box", "postfach", "bp", "b.p", "boîte", "apartado", "apdo"), ("rue ", "avenue ", "av. ", "boulevard ", "bd", "impasse ", "quai ", "place ", "chemin ", "allée", "route ", "cours ", "square ", "passage ", "sentier ", "villa ", "faubourg "), ("calle", "c/", "plaza", "pza", "avenida", "avda", "av.", "paseo", "p.º", "camino", "ronda", "travesía", "carrera", "cuesta", "glorieta"), ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "hof ", "steig ", "pfad ", "chaussee ", "markt ", "graben ", "berg ", "garten ", "winkel ", "am ", "an de", "im ", "in der ", "zum ", "zur ", "auf de", "unter den ", "bei der ", "hinter dem ", "alte", "neue", "große", "kleine", "obere", "untere"), ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "rue ", "avenue ", "quai ", "place "))
+STREET_WORDS = ((), ("box", "postfach", "bp", "b.p", "boîte", "apartado", "apdo"), ("rue ", "avenue ", "av. ", "boulevard ", "bd", "impasse ", "quai ", "place ", "chemin ", "allée", "route ", "cours ", "square ", "passage ", "sentier ", "villa ", "faubourg "), ("calle", "c/", "plaza", "pza", "avenida", "avda", "av.", "paseo", "p.º", "camino", "ronda", "travesía", "carrera", "cuesta", "glorieta"), ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "hof ", "steig ", "pfad ", "chaussee ", "markt ", "graben ", "berg ", "garten ", "winkel ", "am ", "an de", "im ", "in der ", "zum ", "zur ", "auf de", "unter den ", "bei der ", "hinter dem ", "alte", "neue", "große", "kleine", "obere", "untere"))
+STREET_WORDS += ((*(w for w in STREET_WORDS[4] if w in ("weg ", "straße ", "strasse ", "str. ", "gasse ", "platz ", "allee ", "ring ", "damm ", "ufer ", "hof ", "steig ", "pfad ", "chaussee ", "markt ", "graben ", "berg ", "garten ", "winkel ")), *STREET_WORDS[2]),)
+#: Those of them that never stand behind a letter.
 WORD_STARTS = ("am ", "an de", "im ", "in der ", "zum ", "zur ", "auf de", "unter den ", "bei der ", "hinter dem ", "alte", "neue", "große", "kleine", "obere", "untere", "calle", "plaza", "camino", "ronda", "carrera", "cuesta")
-ID_WORDS = ("ssn", "social sec", "passport", "id ", "id:", "ident", "insurance", "ni ", "nino", "ausweis", "reisepass", "versicherungsn", "steuer", "sécurité", "passeport", "nir", "dni", "nie", "nif", "curp", "pasaporte", "documento", "身份证", "证件", "护照", "社保", "applicant (")
+ID_WORDS = ("ssn", "social sec", "passport", "ident", "insurance", "nino", "ausweis", "reisepass", "versicherungsn", "steuer", "sécurité", "passeport", "nir", "dni", "nie", "nif", "curp", "pasaporte", "documento", "身份证", "证件", "护照", "社保", "applicant (")
+SHORT_ID = re.compile(r"(?<![A-Za-zÀ-ÿ])(?:ID|NI)(?![A-Za-z])", re.I)
+AT_WORD = re.compile(r"[(\[{<]\s?(?:at|arroba|ät)\s?[)\]}>]")
 MANY_DIGITS = re.compile(r"\d(?:[\W_]{0,3}\d){5}")
-EN_STREET = re.compile(rf"\d[^\n]{{0,60}}?\s{STREET_EN}(?!\w)")
+EN_STREET = re.compile(rf"{CAP}\s{STREET_EN}(?!\w)")
+OTHER_SPACE = re.compile(r"[^\S ]")
+LETTER = re.compile(r"[a-zà-ÿ]")
 WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?")
 LATIN_NAME = re.compile(r"[A-Za-zÀ-ɏ’'\-.]+$")
 MAIL_NAMES = re.compile(r"^([a-z]{3,})[._-]([a-z]{3,})\d*$")
@@ -150,17 +156,25 @@ class Lexicon:
             kinds: dict[str, set[str]] = {}
             marked = [("latin", self.given | self.family), ("han", self.han_given | set(HAN_HONORIFICS.split("|")) | {"联系", "我叫", "找"}), ("identity", set(ID_WORDS))]
             marked.append(("latin", {f"{sign}{t}{dot}" for t in self.titles for sign in " («“\"'：:>[" for dot in (" ", ". ")}))
-            marked += [(str(i), {f" {w}" if w in WORD_STARTS else w for w in words}) for i, words in enumerate(STREET_WORDS)]
+            marked += [(str(i), {w for w in words if w not in WORD_STARTS}) for i, words in enumerate(STREET_WORDS)]
             for kind, words in marked:
                 for w in words:
                     kinds.setdefault(w, set()).add(kind)
+            starts: dict[str, set[str]] = {}
+            for i, words in enumerate(STREET_WORDS):
+                for w in {*words} & {*WORD_STARTS}:
+                    starts.setdefault(w, set()).add(str(i))
             self.words = ahocorasick.Automaton()
-            for w, own in kinds.items():
-                self.words.add_word(w, tuple(own))
+            for w in {*kinds, *starts}:
+                self.words.add_word(w, (tuple(kinds.get(w, ())), tuple(starts.get(w, ())), len(w)))
             self.words.make_automaton()
         found: set[str] = set()
-        for _, own in self.words.iter(" " + low.replace("\n", " ").replace("\u00a0", " ")):
+        # letters that patterns without regard to case take for s and i
+        plain = " " + OTHER_SPACE.sub(" ", low).replace("ſ", "s").replace("i̇", "i").replace("ı", "i")
+        for end, (own, behind, n) in self.words.iter(plain):
             found.update(own)
+            if behind and not LETTER.match(plain[end - n]):
+                found.update(behind)
         return found
 
     def __getstate__(self):
@@ -231,14 +245,14 @@ def mentions(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal information in a text, in order and without overlap."""
     spans: list[tuple[int, int, str]] = []
     low = text.lower()
-    if "@" in low or "＠" in low or "dot" in low or "arroba" in low or "punkt" in low:
+    if "@" in low or "＠" in low or "dot" in low or AT_WORD.search(low):
         for m in EMAIL.finditer(text):
             if not re.search(r"[@＠]\s?[\d.]+$", m.group()):
                 spans.append((m.start(), m.end(), "email"))
     kinds = lexicon.kinds_in(low)
     if re.search(r"\d", text):
         long = bool(MANY_DIGITS.search(text))
-        if "identity" in kinds:
+        if "identity" in kinds or SHORT_ID.search(text):
             for m in NAMED_ID.finditer(text):
                 if not overlaps(spans, *m.span(1)):
                     spans.append((*m.span(1), "identity"))

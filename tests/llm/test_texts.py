@@ -211,3 +211,31 @@ def test_chunk_lines_that_no_region_has(spark):
     assert {(r["record_id"], r["noise_type"]) for r in O.noise(b).collect()} == {(f"a{p}", "hyphenation") for p in (3, 4, 5)} | {(f"b{p}", "page_no") for p in (3, 4, 5)}
     text = [r["text"] for r in O.paragraphs(b).where("page = 4").collect()]
     assert len(text) == 1 and "the crosscheck of" in text[0] and "44" not in text[0] and text[0].count("1999") == 2
+
+
+GATED = ["anna.lee(at)example.com", "jean [at] exemple (point) fr", "at 221\nBaker Street", "at 221 Old\nBaker Street", "(Calle Mayor 5)", "«Am Markt 7»", "rue:\tAlte Gasse 12", "10115 Berlin, Lindenring 7", "75011 Lyon, 12 boulevard Voltaire", "NI: QQ 12 34 56 7", "ID：A1234567", "A1234567 is my ID.", "12\u2003rue\u2003Mercier"]
+
+
+@pytest.mark.parametrize("text", GATED)
+def test_gates_let_every_match_through(text):
+    """What a pattern matches is found, whatever the words that gate it."""
+    matched = [p for p in (P.EMAIL, P.LABELLED_ID, P.NAMED_ID, *P.ADDRESSES) if p.search(text)]
+    assert matched and any(t in ("email", "identity", "address") for _, _, t in P.mentions(text, P.Lexicon(set(), set(), set())))
+
+
+def test_generated_gates():
+    rng = random.Random(3)
+    lexicon = P.Lexicon(set(), set(), set())
+    space = lambda: rng.choice([" ", "\n", "\t", "\u3000"])
+    for _ in range(2000):
+        before = rng.choice(["", "(", "“", "/", "x ", "\n", "3"])
+        words = rng.choice(["12 rue", "12 Bd", "Calle", "Camino", "Am", "Im", "Zum", "Alter", "Lange", "10115 Ulm, Lange", "5 Old", "221 Baker", "Postfach", "B.P.", "P.O. Box"]).split(" ")
+        text = before + space().join([*words, rng.choice(["Mayor", "Markt", "hof", "Lindenweg", "Damm", "Street", "Road", "Mercier", "77"]), "14"])
+        kinds = lexicon.kinds_in(text.lower())
+        for i, p in enumerate(P.ADDRESSES):
+            assert not p.search(text) or (str(i) in kinds if i else P.EN_STREET.search(text)), (i, text)
+
+
+@pytest.mark.parametrize("text", ["a good idea 1234567 times", "a nice 12345 night"])
+def test_short_labels_are_words(text):
+    assert P.mentions(text, P.Lexicon(set(), set(), set())) == []
