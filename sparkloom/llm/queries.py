@@ -213,7 +213,7 @@ def p5_found(spark, sf_dir):
 
 @query
 def p5_paragraphs(spark, sf_dir):
-    """The running text of every scanned page, and of the pages of chunks."""
+    """The running text of every scanned document, paragraph by paragraph, from its regions and from its chunks."""
     regions, chunks = _scans(spark, sf_dir)
     a = ocr.paragraphs(regions).withColumn("source_table", F.lit("ocr_regions"))
     return a.unionByName(ocr.paragraphs(chunks).withColumn("source_table", F.lit("chunks")))
