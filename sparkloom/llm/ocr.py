@@ -613,4 +613,5 @@ def paragraphs(lines: DataFrame) -> DataFrame:
         cut = F.when(x["hyphenation"], F.regexp_replace(text, f"[{HYPHENS}]$", "")).otherwise(text)
         return F.concat(acc, cut, F.when(x["hyphenation"] | text.rlike(f"[{HYPHENS}]$") | text.rlike(r"[\p{IsHan}，、。；：]$"), "").otherwise(" "))
 
-    return own.select("doc_id", F.col("paragraph_no").cast("int").alias("paragraph_no"), "part", F.col("lines")[0]["page"].alias("page"), F.rtrim(F.aggregate("lines", F.lit(""), add)).alias("text"))
+    text = F.aggregate("lines", F.lit(""), add)
+    return own.select("doc_id", F.col("paragraph_no").cast("int").alias("paragraph_no"), "part", F.col("lines")[0]["page"].alias("page"), F.when(F.size("lines") < PARAGRAPH_LINES, F.rtrim(text)).otherwise(text).alias("text"))
