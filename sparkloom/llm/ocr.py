@@ -503,8 +503,9 @@ def judged(lines: DataFrame, known, table: DataFrame, documents: DataFrame) -> D
             before, line, behind = (batch.column(n).to_pylist() for n in ("prev_line", "line", "next_line"))
             forms = [end_forms(x, y) for x, y in zip(line, behind, strict=True)]
             odd = [[dict(zip(ODD, o, strict=True)) for o in unknown_words(x, p, n, counts, han)] for x, p, n in zip(line, before, behind, strict=True)]
-            keep = [i for i, (f, o) in enumerate(zip(forms, odd, strict=True)) if f is not None or o]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(keep) for n in keys), pa.array([forms[i] for i in keep], pa.list_(pa.string())), pa.array([odd[i] for i in keep], odd_type)], names=[*keys, "forms", "odd"])
+            keep = pa.array([i for i, (f, o) in enumerate(zip(forms, odd, strict=True)) if f is not None or o], pa.int64())
+            new = pa.array(forms, pa.list_(pa.string())), pa.array(odd, odd_type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(keep) for n in keys), *(x.take(keep) for x in new)], names=[*keys, "forms", "odd"])
 
     keys = ["source", "record_id", "line_no"]
     ODD = ("pos", "len", "word", "left", "right")
