@@ -54,6 +54,8 @@ PAGE_NO = re.compile(
 )
 MARKED = re.compile(r"[\-–—·•~=|(\[]\s*\S.*\S?\s*[\-–—·•~=|)\]]|.*(?:page|pag|pág|seite|blatt|folio|第|页|\bp\.?\s?\d|/|\bof\b|\bvon\b|\bsur\b|\bde\b).*", re.I)
 ROMAN = re.compile(r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
+#: Chinese characters as ranges, which are tested faster than the name of the script.
+HAN_RANGES = "\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufad9"
 #: Lines at the edges of a page that can be furniture.
 EDGE_LINES = 2
 #: Place of regions without one; lines of a paragraph that are put together at a time.
@@ -82,9 +84,9 @@ def vocabulary(texts: DataFrame) -> DataFrame:
             out = batch.column(0).flatten().value_counts()
             yield pa.RecordBatch.from_arrays([out.field("values"), out.field("counts")], names=["word", "n"])
 
-    letters = r"[\p{L}&&[^\p{IsHan}]]+"
+    letters = rf"[\p{{L}}&&[^{HAN_RANGES}]]+"
     latin = F.regexp_extract_all(F.lower("text"), F.lit(rf"{letters}(?:['’]{letters})*(?:[-‐‑]{letters})*"), F.lit(0))
-    runs = F.regexp_extract_all("text", F.lit(r"\p{IsHan}{2,}"), F.lit(0))
+    runs = F.regexp_extract_all("text", F.lit(rf"[{HAN_RANGES}]{{2,}}"), F.lit(0))
     triples = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 2, F.lit(1))), lambda i: F.substring(r, i, F.lit(3)))))
     both = texts.where(F.length("text") > 0).select(F.concat(latin, triples).alias("words"))
     return both.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -313,9 +315,9 @@ def furniture(lines: DataFrame, areas: bool = True) -> DataFrame:
     each = rows.where(words).groupBy(F.xxhash64("skel").alias("code"), "doc_id").agg(F.count("*").alias("n"), F.sum(F.col("edge").cast("int")).alias("at_edge"))
     everywhere = each.groupBy("code").agg(F.sum("n").alias("n"), F.sum("at_edge").alias("at_edge"), F.count("*").alias("docs")).where("docs >= 5 and at_edge >= 0.8 * n").select("code")
     steps = rows.where("step is not null").groupBy("doc_id", "step").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high")
-    out = rows.join(own.select("doc_id", "skel", F.lit(True).alias("own_head")), ["doc_id", "skel"], "left")
-    out = out.withColumn("code", F.xxhash64("skel")).join(everywhere.withColumn("all_head", F.lit(True)), "code", "left")
-    out = out.join(steps.select("doc_id", "step", F.lit(True).alias("stepped")), ["doc_id", "step"], "left")
+    # stored, so that their size is known when the joins are planned: small ones go to all tasks and no line is shuffled
+    own, everywhere, steps = (stored(x) for x in (own.select("doc_id", "skel", F.lit(True).alias("own_head")), everywhere.withColumn("all_head", F.lit(True)), steps.select("doc_id", "step", F.lit(True).alias("stepped"))))
+    out = rows.join(own, ["doc_id", "skel"], "left").withColumn("code", F.xxhash64("skel")).join(everywhere, "code", "left").join(steps, ["doc_id", "step"], "left")
     marked = F.col("line").rlike(MARKED_JVM)
     roman = F.trim("line").rlike(r"^[ivxl]{1,8}$|^[IVXL]{2,8}$")
     kind = F.when(F.col("edge") & F.col("bare") & (F.coalesce("stepped", F.lit(False)) | marked | (roman & F.col("outer"))), "page_no").when(F.col("edge") & ~F.col("bare") & (F.coalesce("own_head", F.lit(False)) | F.coalesce("all_head", F.lit(False))), "header")
@@ -447,14 +449,14 @@ def neighbour_counts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     for r in bits:  # places and buckets count from 1
         filled[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = documents.sparkSession.sparkContext.broadcast(filled)
-    word = re.compile(rf"[^\W\d_]+(?:[{HYPHENS}'’][^\W\d_]+)*")
+    bare = str.maketrans(dict.fromkeys(AROUND + "!¡"))
 
     def count(batches):
         bitmap = shared.value
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                seen.update(pairwise(word.findall(text.lower())))
+                seen.update(pairwise(text.lower().translate(bare).split()))
             keys, counts = [f"{a} {b}" for a, b in seen], np.fromiter(seen.values(), np.int64, len(seen))
             places = np.fromiter((zlib.crc32(k.encode()) % FILTER_BITS for k in keys), np.int64, len(keys))
             hit = (bitmap[places // 8] >> (places % 8).astype(np.uint8)) & 1 == 1
@@ -562,8 +564,8 @@ def examined(regions: DataFrame, chunks: DataFrame, documents: DataFrame) -> tup
     rows = stored(furniture(region_lines(regions)))
     order = ["page", "ord", "record_id", "line_no"]
     facts = rows.groupBy("doc_id", "line").agg(F.max("kind").alias("kind"))
-    heads = rows.where("kind = 'header'").select("doc_id", "skel", F.lit("header").alias("head")).distinct()
-    numbers = rows.where("kind = 'page_no' and step is not null").select("doc_id", "step", F.lit("page_no").alias("number")).distinct()
+    heads = stored(rows.where("kind = 'header'").select("doc_id", "skel", F.lit("header").alias("head")).distinct())
+    numbers = stored(rows.where("kind = 'page_no' and step is not null").select("doc_id", "step", F.lit("page_no").alias("number")).distinct())
     seen = furniture(chunk_lines(chunks), areas=False).withColumnRenamed("kind", "cut_kind")
     seen = seen.join(facts.withColumn("there", F.lit(True)), ["doc_id", "line"], "left").join(heads, ["doc_id", "skel"], "left").join(numbers, ["doc_id", "step"], "left")
     seen = stored(seen.withColumn("kind", F.when(F.col("there"), F.col("kind")).otherwise(F.coalesce("cut_kind", "head", "number"))).drop("cut_kind", "head", "number", "skel", "step"))
@@ -575,10 +577,10 @@ def examined(regions: DataFrame, chunks: DataFrame, documents: DataFrame) -> tup
     lines = [x.select(F.lit(name).alias("source"), "record_id", "line_no", "prev_line", "line", "next_line") for name, x in (("regions", near), ("chunks", alone))]
     text = stored(judged(lines[0].unionByName(lines[1]), known_in_tasks(table), table, documents))
     of = {name: text.where(F.col("source") == name).drop("source") for name in ("regions", "chunks")}
-    facts = rows.join(of["regions"], ["record_id", "line_no"]).groupBy("doc_id", "line").agg(F.max("hyphenation").alias("hyphenation"), F.max_by("fixes", F.size("fixes")).alias("fixes"))
+    facts = rows.select("doc_id", "line", "record_id", "line_no").join(of["regions"], ["record_id", "line_no"]).groupBy("doc_id", "line").agg(F.max("hyphenation").alias("hyphenation"), F.max_by("fixes", F.size("fixes")).alias("fixes"))
     columns = ["doc_id", "page", "ord", "record_id", "line_no", "line", "kind", F.coalesce("hyphenation", F.lit(False)).alias("hyphenation"), "fixes"]
     own = rows.join(of["regions"], ["record_id", "line_no"], "left").select(columns)
-    taken = seen.where("there").join(facts, ["doc_id", "line"], "left").select(columns)
+    taken = seen.where("there").join(stored(facts), ["doc_id", "line"], "left").select(columns)
     return own, taken.unionByName(seen.where("there is null").join(of["chunks"], ["record_id", "line_no"], "left").select(columns))
 
 

@@ -1,30 +1,40 @@
 """Personal information in free text: typed placeholders with linked pseudonyms.
 
-Numbers are permuted within their format by a keyed Feistel network, so equal
-values get equal pseudonyms in all documents and nobody without the key gets
-back to the value. Names are found by a lexicon that Spark counts from the
-texts themselves, beginning with the given names known to the office.
+Validated numbers and the dates in them are permuted within their format by a
+keyed Feistel network: prefixes that say nothing about a person stay, check
+signs are made anew, and all spellings of a value get the same pseudonym in all
+documents. Names are found by a lexicon that Spark counts from the texts
+themselves, beginning with the given names known to the office; its frequent
+part goes to all tasks, the rest meets the texts that hold it in a join.
+
+A date that stands alone is no mention of personal information, and every
+character outside of mentions is kept; so only dates inside numbers change.
 """
 
 from __future__ import annotations
 
+import copy
 import datetime
 import functools
 import hashlib
 import hmac
 import re
+import secrets
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.tables import stored
 
 TYPES = ("name", "email", "phone", "identity", "address")
-#: A learned name must make up at least this share of all name counts, so the lexicon holds at most 1 / LEXICON_SHARE words.
-LEXICON_SHARE = 1 / 65536
-DEFAULT_KEY = b"replace this key"
+#: Learned names with this share of all name counts go to all tasks, so no more than its inverse.
+HOT_SHARE = 1 / 65536
+#: Times that a name must have been seen in the place of one.
+LEAST_SEEN = 2
+#: The Spark setting that holds the secret key of the pseudonyms.
+KEY_SETTING = "spark.sparkloom.pseudonym.key"
 
 # ---- fixed values: words that mark the kinds of personal information ----
 TITLES = "Mr Mrs Ms Miss Mx Dr Prof Professor Sir Herr Herrn Frau Hr Fr M Mme Mlle Monsieur Madame Sr Sra Srta Señor Señora Don Doña Dra".split()
@@ -140,10 +150,10 @@ class Lexicon:
         self.titles = {t.lower() for t in TITLES}
         self.words = None
         both = "|".join(HAN_COMPOUND)
-        names = "|".join(sorted(map(re.escape, han_given), key=lambda x: (-len(x), x))) or "(?!)"
-        self.han = re.compile(
-            rf"(?:{both}|[{HAN_SURNAMES}])(?:{names})"
-            rf"|(?<=联系人：)(?:{both}|[{HAN_SURNAMES}])[{HAN}]{{1,2}}(?=[\s，,。]|{HAN_HONORIFICS})|(?<=请联系)(?:{both}|[{HAN_SURNAMES}])[{HAN}]{{1,2}}(?=[\s，,]|{HAN_HONORIFICS})"
+        self.lengths = sorted({len(x) for x in han_given}, reverse=True)
+        self.surname = re.compile(f"(?:{both}|[{HAN_SURNAMES}])")
+        self.han_marked = re.compile(
+            rf"(?<=联系人：)(?:{both}|[{HAN_SURNAMES}])[{HAN}]{{1,2}}(?=[\s，,。]|{HAN_HONORIFICS})|(?<=请联系)(?:{both}|[{HAN_SURNAMES}])[{HAN}]{{1,2}}(?=[\s，,]|{HAN_HONORIFICS})"
             rf"|(?<=[，,]找)(?:{both}|[{HAN_SURNAMES}])[{HAN}]{{1,2}}(?=即可|{HAN_HONORIFICS})|(?<=我叫)(?:{both}|[{HAN_SURNAMES}])[{HAN}]{{1,2}}(?=[，,。]|{HAN_HONORIFICS})"
             rf"|(?:{both})[{HAN}]{{0,2}}(?={HAN_HONORIFICS})|(?<![{HAN}])[{HAN_SURNAMES}][{HAN}]{{0,2}}(?={HAN_HONORIFICS})"
         )
@@ -180,6 +190,30 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"words": None}
 
+    def with_words(self, more: dict[str, list[str]]) -> Lexicon:
+        """This lexicon and the ``more`` rare words of one text."""
+        out = copy.copy(self)
+        # sets of a text's own words are enough: no other word is ever looked up in it
+        out.given, out.family = {*more["own"]} & self.given | {*more["given"]}, {*more["own"]} & self.family | {*more["family"]}
+        return out
+
+    def han(self, text: str):
+        """(start, end) of Chinese names from left to right: a surname and a known given name, or what a mark says is a name."""
+        found = [(m.start(), 1, m.end()) for m in self.han_marked.finditer(text)]
+        at = 0
+        while m := self.surname.search(text, at):
+            at = m.start() + 1
+            for end in (m.end(), m.start() + 1):
+                names = [end + n for n in self.lengths if text[end : end + n] in self.han_given]
+                if names:
+                    found.append((m.start(), 0, names[0]))
+                    break
+        upto = 0
+        for start, _, end in sorted(found):
+            if start >= upto:
+                upto = end
+                yield start, end
+
     def latin(self, text: str):
         """(start, end) of Latin names: given and family name in any order and case, with initials, or a family name after a title."""
         words = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text)]
@@ -284,9 +318,9 @@ def mentions(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
                 if is_phone(text, raw, a) and not overlaps(spans, a, b):
                     spans.append((a, b, "phone"))
     if "han" in kinds:
-        for m in lexicon.han.finditer(text):
-            if not overlaps(spans, *m.span()):
-                spans.append((*m.span(), "name"))
+        for a, b in lexicon.han(text):
+            if not overlaps(spans, a, b):
+                spans.append((a, b, "name"))
     if "latin" in kinds:
         for a, b in lexicon.latin(text):
             if not overlaps(spans, a, b):
@@ -342,42 +376,140 @@ def check_sign(seventeen: str) -> str:
     return "10X98765432"[total % 11]
 
 
-def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """A stand-in of the same format for numbers; a keyed code for everything else. Equal values, however spaced, get equal ones."""
-    if kind in ("phone", "identity"):
-        digits = digits_of(value)
-        new = permuted(digits, key, kind)
-        if kind == "identity" and len(re.sub(r"\W", "", value)) == 18 and len(digits) >= 17:
-            new = resident_number(re.sub(r"\W", "", value).upper(), key) or new
-        out, i = [], 0
-        letters = kind == "identity" and len(new) < 17
-        for c in value:
-            if c.isdecimal():
-                out.append(new[i] if i < len(new) else c)
-                i += 1
-            elif letters and "A" <= c.upper() <= "Z":
-                out.append(chr(65 + (ord(c.upper()) - 65 + _round(key, "letter", 0, int(digits[:9] or 0), 26)) % 26))
-            else:
-                out.append(new[i] if c in "Xx" and i < len(new) else c)
-        return "".join(out)
-    plain = re.sub(r"[\W_]+", " ", value).strip().lower()
-    if kind == "name":
-        plain = " ".join(sorted(plain.split()))
-    return hmac.digest(key, f"{kind}|{plain}".encode(), hashlib.sha256).hex()[:10]
+def permuted_like(digits: str, key: bytes, tweak: str, valid) -> str:
+    """Another digit string of the same length that is ``valid`` as this one is: permuted until it is, so still one to one."""
+    new = permuted(digits, key, tweak)
+    while not valid(new):
+        new = permuted(new, key, tweak)
+    return new
+
+
+# ---- fixed values: country codes of one and two places (all others have three); control letters; prefixes that are not issued ----
+COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+SPANISH_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+NINO_FIRST, NINO_SECOND = "ABCEGHJKLMNOPRSTWXYZ", "ABCEGHJKLMNPRSTWXYZ"
+NINO_UNUSED = ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+NINO_PREFIXES = [a + b for a in NINO_FIRST for b in NINO_SECOND if a + b not in NINO_UNUSED]
+
+
+def phone_parts(value: str) -> tuple[str, str]:
+    """The digits before the national number (international prefix, country code, trunk zero) and the number itself."""
+    digits = digits_of(value)
+    lead = ""
+    if value.lstrip(" (（")[:1] in ("+", "＋") or digits.startswith("00"):
+        lead = "00" if digits.startswith("00") else ""
+        rest = digits[len(lead) :]
+        code = next((rest[:n] for n in (1, 2) if rest[:n] in COUNTRY_CODES), rest[:3])
+        lead += code
+    elif len(digits) == 11 and digits[0] == "1" and digits[1] in "2" or len(digits) == 11 and digits[0] == "1" and re.match(r"1[-. (]", value.strip()):
+        lead = "1"  # the country code of North America, written without a plus
+    zeros = len(digits[len(lead) :]) - len(digits[len(lead) :].lstrip("0"))
+    if len(digits) - len(lead) - zeros < 4:
+        zeros = 0
+    return digits[: len(lead) + zeros], digits[len(lead) + zeros :]
+
+
+def phone_shape(number: str) -> tuple:
+    """What a national number must keep: that it is a Chinese mobile, North American or French and Spanish mobile number, or just that it begins with no zero."""
+    if len(number) == 11 and re.match("1[3-9]", number):
+        return ("mobile", 11)
+    if len(number) == 10 and re.match(r"[2-9]\d{2}[2-9]", number):
+        return ("american", 10)
+    return (number[:1] != "0", len(number) == 9 and number[:1] in "67")
 
 
 def resident_number(code: str, key: bytes) -> str | None:
     """An 18-place number with a valid date: region, date and order permuted, the check sign made anew if it was right."""
-    if not code[:17].isdecimal():
+    if not re.fullmatch(r"\d{17}[\dX]", code):
         return None
     try:
         day = datetime.date(int(code[6:10]), int(code[10:12]), int(code[12:14]))
     except ValueError:
         return None
-    body = permuted(code[:6], key, "region") + permuted_date(day, key).strftime("%Y%m%d") + permuted(code[14:17], key, "order")
+    region = permuted_like(code[:6], key, "region", lambda x: "1" <= x[0] <= "8") if "1" <= code[0] <= "8" else code[:6]
+    body = region + permuted_date(day, key).strftime("%Y%m%d") + permuted(code[14:17], key, "order")
     return body + (check_sign(body) if code[17] == check_sign(code[:17]) else code[17])
 
 
+def spanish_number(code: str, key: bytes) -> str | None:
+    """A DNI or NIE: the digits permuted, the first letter kept, the control letter made anew if it was right."""
+    m = re.fullmatch(r"([XYZ]?)(\d{7,8})([A-Z])", code)
+    if not m or len(code) != 9:
+        return None
+    letter = lambda d: SPANISH_LETTERS[int(str("XYZ".index(m[1])) + d if m[1] else d) % 23]
+    new = permuted(m[2], key, "dni")
+    return m[1] + new + (letter(new) if m[3] == letter(m[2]) else m[3])
+
+
+def french_number(code: str, key: bytes) -> str | None:
+    """A social security number: sex kept, month of birth permuted within a century, the rest permuted, the control key made anew if it was right."""
+    m = re.fullmatch(r"([12378])(\d{2})(0[1-9]|1[0-2])(2[AB]|\d{2})(\d{6})(\d{2})", code)
+    if not m:
+        return None
+    control = lambda body: 97 - int(body.replace("2A", "19").replace("2B", "18")) % 97
+    month = permuted_range(int(m[2]) * 12 + int(m[3]) - 1, 1200, key, "nir month")
+    if m[4].isdecimal():
+        rest = permuted_like(m[4] + m[5], key, "nir", lambda x: "01" <= x[:2] <= "95") if "01" <= m[4] <= "95" else m[4] + permuted(m[5], key, "nir")
+    else:
+        rest = m[4] + permuted(m[5], key, "nir")
+    body = f"{m[1]}{month // 12:02d}{month % 12 + 1:02d}{rest}"
+    old = code[:5] + code[5:7] + code[7:13]
+    return body + (f"{control(body):02d}" if int(m[6]) == control(old) else m[6])
+
+
+def american_number(code: str, key: bytes) -> str | None:
+    """A social security number: never with an area, group or serial that is not issued, if the value has none."""
+    issued = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
+    return permuted_like(code, key, "ssn", issued) if re.fullmatch(r"\d{9}", code) and issued(code) else None
+
+
+def british_number(code: str, key: bytes) -> str | None:
+    """A national insurance number: an issued prefix for an issued prefix, digits and suffix permuted."""
+    m = re.fullmatch(r"([A-Z]{2})(\d{6})([A-D])", code)
+    if not m or m[1] not in NINO_PREFIXES:
+        return None
+    prefix = NINO_PREFIXES[permuted_range(NINO_PREFIXES.index(m[1]), len(NINO_PREFIXES), key, "nino")]
+    return prefix + permuted(m[2], key, "nino digits") + "ABCD"[permuted_range("ABCD".index(m[3]), 4, key, "nino suffix")]
+
+
+def plain_code(code: str, key: bytes) -> str:
+    """Any other code: digits permuted among the places of digits, letters among those of letters."""
+    digits = permuted("".join(c for c in code if c.isdecimal()), key, "code digits")
+    letters = [ord(c) - 65 for c in code if "A" <= c <= "Z"]
+    number = 0
+    for x in letters:
+        number = number * 26 + x
+    number = permuted_range(number, 26 ** len(letters), key, "code letters") if letters else 0
+    for i in range(len(letters) - 1, -1, -1):
+        number, letters[i] = divmod(number, 26)
+    d, a = iter(digits), iter(letters)
+    return "".join(next(d) if c.isdecimal() else chr(65 + next(a)) if "A" <= c <= "Z" else c for c in code)
+
+
+def laid_out(value: str, signs: str) -> str:
+    """``signs`` in the places of the letters and digits of ``value``; what stands between them, and small letters, stay."""
+    new = iter(signs)
+    return "".join((x.lower() if c.islower() else x) if (c.isdecimal() or c.isascii() and c.isalpha()) and (x := next(new, "")) else c for c in value)
+
+
+def pseudonym(value: str, kind: str, key: bytes) -> str:
+    """A stand-in of the same format for numbers; a keyed code of 80 bits for everything else. Equal values, however written, get equal ones."""
+    if kind == "phone":
+        lead, number = phone_parts(value)
+        shape = phone_shape(number)
+        return laid_out(value, lead + permuted_like(number, key, "phone", lambda x: phone_shape(x) == shape))
+    if kind == "identity":
+        code = "".join(str(int(c)) if c.isdecimal() else c.upper() for c in value if c.isdecimal() or c.isascii() and c.isalpha())
+        for known in (resident_number, spanish_number, french_number, american_number, british_number):
+            if new := known(code, key):
+                return laid_out(value, new)
+        return laid_out(value, plain_code(code, key))
+    plain = re.sub(r"[\W_]+", " ", value).strip().lower()
+    if kind == "name":
+        plain = " ".join(sorted(plain.split()))
+    return hmac.digest(key, f"{kind}|{plain}".encode(), hashlib.sha256).hex()[:20]
+
+
 def redacted(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
     """The text with [type:pseudonym] in place of each mention; every other character is kept."""
     out, at = [], 0
@@ -410,50 +542,84 @@ def name_pairs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "k string, a string, b string, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def learn_names(texts: DataFrame, given_names: DataFrame) -> Lexicon:
-    """The name lexicon of a corpus.
+def learn_names(texts: DataFrame, given_names: DataFrame) -> DataFrame:
+    """kind (given, family or han), word, n: the name lexicon of a corpus, stored.
 
     Family names follow a title, or a known given name; given names stand before
-    two family names or more, and again. Each word must make up LEXICON_SHARE of
-    the counted pairs, which bounds the lexicon.
+    three family names or more, and again. All counts are over all texts; names
+    known to the office have n null.
     """
     pairs = stored(name_pairs(texts))
     known = given_names.where("given_name is not null").select(F.lower("given_name").alias("a")).distinct()
     titles = [t.lower() for t in TITLES]
     latin = pairs.where((F.col("k") == "pair") & ~F.col("a").isin(titles))
-    least = max(2, int(pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] * LEXICON_SHARE))
+    seen = F.col("n") >= LEAST_SEEN
     titled = pairs.where("k = 'title'").groupBy("b").agg(F.sum("n").alias("n"))
     kin = latin.join(F.broadcast(known), "a", "left_semi").groupBy("b").agg(F.sum("n").alias("n"))
-    family = titled.unionByName(kin).groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("b").join(known.withColumnRenamed("a", "b"), "b", "left_anti")
-    before = latin.join(family, "b", "left_semi").groupBy("a").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    given = before.where((F.col("kinds") >= 3) & (F.col("n") >= least)).select("a").union(known).distinct()
-    family = family.union(latin.join(given, "a", "left_semi").groupBy("b").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= 3) & (F.col("n") >= least)).select("b")).distinct()
-    han = pairs.where("k = 'han'").groupBy(F.col("b").alias("a")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= 2) & (F.col("n") >= least))
-    han = han.select("a").union(known.where(F.col("a").rlike(r"^\p{IsHan}+$"))).distinct()
-    is_han = r"\p{IsHan}"
-    return Lexicon(
-        {r["a"] for r in given.where(~F.col("a").rlike(is_han)).collect()},
-        {r["b"] for r in family.collect()} - {r["a"] for r in known.collect()},
-        {r["a"] for r in han.collect()},
-    )
-
-
-def find_mentions(rows: DataFrame, given_names: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+    family = titled.unionByName(kin).groupBy("b").agg(F.sum("n").alias("n")).where(seen).join(known.withColumnRenamed("a", "b"), "b", "left_anti")
+    before = latin.join(family.select("b"), "b", "left_semi").groupBy("a").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    given = stored(before.where((F.col("kinds") >= 3) & seen).select("a", "n").unionByName(known.withColumn("n", F.lit(None).cast("long"))))
+    behind = latin.join(given.select("a").distinct(), "a", "left_semi").groupBy("b").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= 3) & seen)
+    family = family.unionByName(behind.select("b", "n")).join(known.withColumnRenamed("a", "b"), "b", "left_anti")
+    han = pairs.where("k = 'han'").groupBy(F.col("b").alias("a")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where((F.col("kinds") >= 2) & seen)
+    is_han = F.col("a").rlike(r"^\p{IsHan}+$")
+    parts = [(given.where(~is_han), "given"), (family.withColumnRenamed("b", "a"), "family"), (han.select("a", "n").unionByName(given.where(is_han)), "han")]
+    rows = [d.select(F.lit(kind).alias("kind"), F.col("a").alias("word"), "n") for d, kind in parts]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("kind", "word").agg(F.max("n").alias("n"), F.max(F.col("n").isNull()).alias("office"))
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return stored(every.select("kind", "word", "n", (F.col("office") | (F.col("n") >= total * HOT_SHARE)).alias("hot")))
+
+
+def rare_names(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Adds more (map from kind to names, and ``own``: the text's words): the names outside the tasks' lexicon that a text holds; null if it holds none.
+
+    Each text's distinct words meet the rare names in an equi-join.
+    """
+    cold = lexicon.where("not hot").select("kind", "word")
+    if cold.isEmpty():
+        return rows.withColumn("more", F.lit(None).cast("map<string,array<string>>"))
+    low = F.translate(F.lower("text"), "’", "'")
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+(?:[-']\p{L}+)*"), F.lit(0)))
+    both = "|".join(HAN_COMPOUND)
+    given = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(rf"(?=(?:{p})(\p{{IsHan}}{{2}}))"), F.lit(1)) for p in (both, f"[{HAN_SURNAMES}]")])))
+    rows = rows.withColumn("own", words)
+    keys = ["source_table", "record_id"]
+    asked = rows.where("text is not null").select(*keys, F.explode(F.array_union("own", given)).alias("word"))
+    held = asked.join(cold, "word").groupBy(*keys, "kind").agg(F.collect_set("word").alias("words")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "words"))).alias("more"))
+    both_maps = F.when(F.col("more").isNotNull(), F.map_concat("more", F.create_map(F.lit("own"), "own")))
+    return rows.join(held, keys, "left").withColumn("more", both_maps).drop("own")
+
+
+def find_mentions(rows: DataFrame, given_names: DataFrame, key: bytes | None = None) -> DataFrame:
     """source_table, record_id, text, redacted, found (array of start_pos, end_pos, pii_type) of rows (source_table, record_id, text).
 
-    One row per record (repeated deliveries of an id are one). A null text stays
-    null and has no mentions, an empty one is empty. Positions count code points.
+    One row per record (repeated deliveries of an id are one: the greatest of
+    their texts). A null text stays null and has no mentions, an empty one is
+    empty. Positions count code points. Without a key redacted is null: there is
+    no pseudonym without a secret.
     """
-    rows = rows.dropDuplicates(["source_table", "record_id"])
-    lexicon = rows.sparkSession.sparkContext.broadcast(learn_names(rows.where(F.length("text") > 0).select("text"), given_names))
+    rows = stored(rows.groupBy("source_table", "record_id").agg(F.max("text").alias("text")))
+    names = learn_names(rows.where(F.length("text") > 0).select("text"), given_names)
+    hot = {k: set() for k in ("given", "family", "han")}
+    for r in names.where("hot").collect():
+        hot[r["kind"]].add(r["word"])
+    lexicon = rows.sparkSession.sparkContext.broadcast(Lexicon(hot["given"], hot["family"], hot["han"]))
     kind = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("pii_type", pa.string())]))
 
     def work(batches):
+        known = lexicon.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            spans = [mentions(t, lexicon.value) if t else [] for t in texts]
-            new = [redacted(t, s, key) if s else t for t, s in zip(texts, spans, strict=True)]
+            texts, more = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            spans = [mentions(t, known.with_words(dict(m)) if m else known) if t else [] for t, m in zip(texts, more, strict=True)]
+            new = [redacted(t, s, key) if s else t for t, s in zip(texts, spans, strict=True)] if key else [None] * len(texts)
             found = [[{"start_pos": a, "end_pos": b, "pii_type": k} for a, b, k in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string()), pa.array(found, kind)], names=["source_table", "record_id", "text", "redacted", "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.string()), pa.array(found, kind)], names=["source_table", "record_id", "text", "redacted", "found"])
+
+    asked = rare_names(rows, names).select("source_table", "record_id", "text", "more")
+    return asked.mapInArrow(work, "source_table string, record_id string, text string, redacted string, found array<struct<start_pos:int,end_pos:int,pii_type:string>>")
+
 
-    return rows.select("source_table", "record_id", "text").mapInArrow(work, "source_table string, record_id string, text string, redacted string, found array<struct<start_pos:int,end_pos:int,pii_type:string>>")
+def secret_key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms, from KEY_SETTING. Without one pseudonyms are made with a key of their own that nobody keeps: linked within the result, and only there."""
+    value = spark.conf.get(KEY_SETTING, None)
+    return value.encode() if value else secrets.token_bytes(32)

@@ -195,7 +195,7 @@ def p1_found(spark, sf_dir):
 @query
 def p1_redacted(spark, sf_dir):
     """All texts with placeholders."""
-    out = personal.find_mentions(_messages(spark, sf_dir), table(spark, sf_dir, "given_names"))
+    out = personal.find_mentions(_messages(spark, sf_dir), table(spark, sf_dir, "given_names"), personal.secret_key(spark))
     return out.select("source_table", "record_id", F.col("redacted").alias("content"))
 
 
