@@ -13,7 +13,6 @@ character outside of mentions is kept; so only dates inside numbers change.
 
 from __future__ import annotations
 
-import copy
 import datetime
 import functools
 import hashlib
@@ -142,6 +141,16 @@ def strip_prefix(match: re.Match) -> int:
     return match.start()
 
 
+class Either:
+    """Whether something is in one of two sets."""
+
+    def __init__(self, *sets: set[str]):
+        self.sets = sets
+
+    def __contains__(self, x: str) -> bool:
+        return any(x in s for s in self.sets)
+
+
 class Lexicon:
     """Given and family names in lower case; Chinese given names."""
 
@@ -191,10 +200,13 @@ class Lexicon:
         return self.__dict__ | {"words": None}
 
     def with_words(self, more: dict[str, list[str]]) -> Lexicon:
-        """This lexicon and the ``more`` rare words of one text."""
-        out = copy.copy(self)
-        # sets of a text's own words are enough: no other word is ever looked up in it
-        out.given, out.family = {*more["own"]} & self.given | {*more["given"]}, {*more["own"]} & self.family | {*more["family"]}
+        """This lexicon and the ``more`` rare names that one text holds."""
+        out = Lexicon.__new__(Lexicon)
+        given, family, han = (set(more.get(k) or ()) for k in ("given", "family", "han"))
+        kinds = {kind for kind, names in (("latin", given | family), ("han", han)) if names}
+        out.__dict__ |= self.__dict__ | {"given": Either(self.given, given), "family": Either(self.family, family), "han_given": Either(self.han_given, han)}
+        out.lengths = sorted({*self.lengths, *map(len, han)}, reverse=True)
+        out.kinds_in = lambda low: self.kinds_in(low) | kinds
         return out
 
     def han(self, text: str):
@@ -571,7 +583,7 @@ def learn_names(texts: DataFrame, given_names: DataFrame) -> DataFrame:
 
 
 def rare_names(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds more (map from kind to names, and ``own``: the text's words): the names outside the tasks' lexicon that a text holds; null if it holds none.
+    """Adds more (map from kind to names): the names outside the tasks' lexicon that a text holds; null if it holds none.
 
     Each text's distinct words meet the rare names in an equi-join.
     """
@@ -582,12 +594,11 @@ def rare_names(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\p{L}+(?:[-']\p{L}+)*"), F.lit(0)))
     both = "|".join(HAN_COMPOUND)
     given = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(rf"(?=(?:{p})(\p{{IsHan}}{{2}}))"), F.lit(1)) for p in (both, f"[{HAN_SURNAMES}]")])))
-    rows = rows.withColumn("own", words)
     keys = ["source_table", "record_id"]
-    asked = rows.where("text is not null").select(*keys, F.explode(F.array_union("own", given)).alias("word"))
-    held = asked.join(cold, "word").groupBy(*keys, "kind").agg(F.collect_set("word").alias("words")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "words"))).alias("more"))
-    both_maps = F.when(F.col("more").isNotNull(), F.map_concat("more", F.create_map(F.lit("own"), "own")))
-    return rows.join(held, keys, "left").withColumn("more", both_maps).drop("own")
+    asked = rows.where("text is not null").select(*keys, F.explode(F.array_union(words, given)).alias("word"))
+    held = asked.join(cold, "word").groupBy(*keys, "kind").agg(F.collect_set("word").alias("words"))
+    held = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("kind", "words"))).alias("more"))
+    return rows.join(held, keys, "left")
 
 
 def find_mentions(rows: DataFrame, given_names: DataFrame, key: bytes | None = None) -> DataFrame:

@@ -122,19 +122,83 @@ def test_pseudonyms_are_permutations():
         assert len(images) == 10**n and all(len(x) == n for x in images)
     days = {P.permuted_range(i, 400, b"k", "d") for i in range(400)}
     assert days == set(range(400))
-    a, b = P.pseudonym("+44 7700 900933", "phone", b"k"), P.pseudonym("+44-7700-900933", "phone", b"k")
-    assert P.digits_of(a) == P.digits_of(b) != "447700900933" and a[0] == "+" and P.pseudonym("x", "phone", b"z") == "x"
     code = "110105194912310021"[:17]
     code += P.check_sign(code)
     new = P.pseudonym(code, "identity", b"k")
     assert new[17] == P.check_sign(new[:17]) and new != code and 1900 <= int(new[6:10]) < 2100
     assert P.pseudonym("Priya Dunmoor", "name", b"k") == P.pseudonym("DUNMOOR, Priya", "name", b"k")
+    assert len(P.pseudonym("a@b.example", "email", b"k")) == 20
+
+
+SPELLINGS = [["+49 30 1234567", "0049 30 1234567", "030 1234567", "(030) 123-4567", "+49 (0)30 1234567"], ["+44 7700 900933", "07700 900 933"], ["+1 212 555 0193", "(212) 555-0193", "1-212-555-0193"], ["138 0000 4242", "+86 13800004242", "１３８-0000-4242"], ["+33 6 12 34 56 78", "06 12 34 56 78"]]
+
+
+@pytest.mark.parametrize("ways", SPELLINGS)
+def test_spellings_of_a_telephone_number(ways):
+    """All give one pseudonym; prefix, trunk zero and layout stay."""
+    new = [P.pseudonym(w, "phone", b"k") for w in ways]
+    assert len({P.phone_parts(x)[1] for x in new}) == 1 and all(x != w for x, w in zip(new, ways, strict=True))
+    for x, w in zip(new, ways, strict=True):
+        assert P.phone_parts(x)[0] == P.phone_parts(w)[0] and P.phone_shape(P.phone_parts(x)[1]) == P.phone_shape(P.phone_parts(w)[1])
+        assert [c for c in x if not c.isdecimal()] == [c for c in w if not c.isdecimal()] and len(x) == len(w)
+
+
+def test_national_numbers_stay_valid():
+    rng = random.Random(9)
+    for _ in range(300):
+        n = f"{rng.randrange(10**8):08d}"
+        new = P.pseudonym(f"{n}-{P.SPANISH_LETTERS[int(n) % 23]}", "identity", b"k")
+        assert new[9] == P.SPANISH_LETTERS[int(new[:8]) % 23] and new[8] == "-"
+        n = rng.randrange(10**7)
+        new = P.pseudonym(f"Y{n:07d}{P.SPANISH_LETTERS[int(f'1{n:07d}') % 23]}", "identity", b"k")
+        assert new[0] == "Y" and new[8] == P.SPANISH_LETTERS[int("1" + new[1:8]) % 23]
+        body = f"{rng.choice('12')}{rng.randrange(100):02d}{rng.randint(1, 12):02d}{rng.randint(1, 95):02d}{rng.randrange(10**6):06d}"
+        new = P.pseudonym(f"{body[0]} {body[1:3]} {body[3:5]} {body[5:7]} {body[7:10]} {body[10:]} {97 - int(body) % 97:02d}", "identity", b"k")
+        plain = new.replace(" ", "")
+        assert plain[0] == body[0] and 1 <= int(plain[3:5]) <= 12 and 97 - int(plain[:13]) % 97 == int(plain[13:])
+        ssn = f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        new = P.pseudonym(ssn, "identity", b"k")
+        assert new[:3] not in ("000", "666") and new[0] != "9" and new[4:6] != "00" and new[7:] != "0000" and new[3] == new[6] == "-"
+        new = P.pseudonym(f"{rng.choice(P.NINO_PREFIXES)} {rng.randrange(100):02d} 34 56 {rng.choice('ABCD')}".lower(), "identity", b"k")
+        assert new[:2].upper() in P.NINO_PREFIXES and new[-1] in "abcd" and new.islower()
+    codes = {P.plain_code(f"A{i:02d}", b"k") for i in range(100)}
+    assert len(codes) == 100 and P.pseudonym("c01x00t47", "identity", b"k").islower()
+
+
+def test_numbers_of_one_kind_are_permuted():
+    numbers = [f"{a:09d}" for a in range(665010001, 665010400)]
+    assert len({P.american_number(n, b"k") for n in numbers}) == len(numbers)
+
+
+def test_no_pseudonyms_without_a_key(spark):
+    rows = spark.createDataFrame([("t", "1", "call 212-555-0193")], "source_table string, record_id string, text string")
+    names = spark.createDataFrame([], "given_name string, lang string")
+    assert P.find_mentions(rows, names).first()["redacted"] is None
+    assert P.find_mentions(rows, names, b"k").first()["redacted"].startswith("call [phone:")
+    assert P.secret_key(spark) != P.secret_key(spark)
+    spark.conf.set(P.KEY_SETTING, "s")
+    assert P.secret_key(spark) == b"s"
+    spark.conf.unset(P.KEY_SETTING)
+
+
+def test_rare_names_meet_their_texts(spark, monkeypatch):
+    """Without any name in the tasks' lexicon the join finds the same mentions."""
+    texts = [f"I met {g} {f} today." for g in ("Priya", "Nadia", "Wendell") for f in ("Marrowby", "Dunmoor", "O'Denwick")] * 4 + ["Ask Dr. Quistgard now.", "nadia O’DENWICK"] * 3 + ["苏雨桐女士来了", "樊雨桐先生来了", "岑雨桐先生", "请问司马雨桐在吗"] * 2
+    rows = spark.createDataFrame([("t", str(i), t) for i, t in enumerate(texts)], "source_table string, record_id string, text string")
+    names = spark.createDataFrame([("Priya", "en"), ("Nadia", "en")], "given_name string, lang string")
+    want = sorted((r["record_id"], r["found"]) for r in P.find_mentions(rows, names).collect())
+    monkeypatch.setattr(P, "HOT_SHARE", 2.0)
+    assert P.learn_names(rows.select("text"), names).where("hot").count() == 2
+    assert sorted((r["record_id"], r["found"]) for r in P.find_mentions(rows, names).collect()) == want
 
 
 def test_names_are_learned(spark):
     texts = [f"I met {g} {f} today." for g in ("Priya", "Nadia", "Wendell") for f in ("Marrowby", "Dunmoor", "Oldenwick")] * 4 + ["Ask Dr. Quistgard now."] * 3 + ["苏雨桐女士来了", "樊雨桐先生来了", "岑雨桐先生"] * 2
     lexicon = P.learn_names(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([("Priya", "en"), ("Nadia", "en")], "given_name string, lang string"))
-    assert lexicon.family == {"marrowby", "dunmoor", "oldenwick", "quistgard"} and lexicon.given == {"priya", "nadia", "wendell"} and lexicon.han_given == {"雨桐"}
+    got = {}
+    for r in lexicon.collect():
+        got.setdefault(r["kind"], set()).add(r["word"])
+    assert got == {"family": {"marrowby", "dunmoor", "oldenwick", "quistgard"}, "given": {"priya", "nadia", "wendell"}, "han": {"雨桐"}}
 
 
 def test_found_with_nulls_and_copies(spark):
