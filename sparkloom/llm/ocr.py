@@ -15,7 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from itertools import pairwise
+from itertools import compress, pairwise
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,6 @@ PAGE_NO = re.compile(
 )
 MARKED = re.compile(r"[\-–—·•~=|(\[]\s*\S.*\S?\s*[\-–—·•~=|)\]]|.*(?:page|pag|pág|seite|blatt|folio|第|页|\bp\.?\s?\d|/|\bof\b|\bvon\b|\bsur\b|\bde\b).*", re.I)
 ROMAN = re.compile(r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
-#: Chinese characters as ranges, which are tested faster than the name of the script.
-HAN_RANGES = "\u2e80-\u2fd5\u3005\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufad9"
 #: Lines at the edges of a page that can be furniture.
 EDGE_LINES = 2
 #: Place of regions without one; lines of a paragraph that are put together at a time.
@@ -84,9 +83,9 @@ def vocabulary(texts: DataFrame) -> DataFrame:
             out = batch.column(0).flatten().value_counts()
             yield pa.RecordBatch.from_arrays([out.field("values"), out.field("counts")], names=["word", "n"])
 
-    letters = rf"[\p{{L}}&&[^{HAN_RANGES}]]+"
+    letters = r"[\p{L}&&[^\p{IsHan}]]+"
     latin = F.regexp_extract_all(F.lower("text"), F.lit(rf"{letters}(?:['’]{letters})*(?:[-‐‑]{letters})*"), F.lit(0))
-    runs = F.regexp_extract_all("text", F.lit(rf"[{HAN_RANGES}]{{2,}}"), F.lit(0))
+    runs = F.regexp_extract_all("text", F.lit(r"\p{IsHan}{2,}"), F.lit(0))
     triples = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 2, F.lit(1))), lambda i: F.substring(r, i, F.lit(3)))))
     both = texts.where(F.length("text") > 0).select(F.concat(latin, triples).alias("words"))
     return both.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -335,40 +334,64 @@ def plain_word(token: str) -> str:
     return word[1:] if word[:1] == "¡" and token.endswith("!") else word
 
 
-def unknown_words(line: str, before: str | None, behind: str | None, counts: dict[str, int], han: set[str]) -> list[tuple[int, int, str, str, str]]:
+class Memo(dict):
+    """What a function gives for each argument, kept for those seen; begun anew when it has grown large."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, x):
+        if len(self) > 200_000:
+            self.clear()
+        self[x] = out = self.f(x)
+        return out
+
+
+def unknown_parts(token: str, counts: dict[str, int]) -> tuple[tuple[int, int, str], ...]:
+    """(place, length, word) of what is not known of a token without Chinese characters: itself, parts at hyphens, or, marked #, a number with letters."""
+    raw = plain_word(token)
+    low = raw.lower()
+    if len(raw) < 2 or low in counts or low.replace("’", "'") in counts or low.replace("'", "’") in counts:
+        return ()
+    if CODE.search(raw) or any("一" <= c <= "鿿" for c in raw):
+        return ()
+    at = token.index(raw)
+    letters, numeric = sum(c.isalpha() for c in raw), NUMERIC.match(raw) and any(c.isdigit() for c in raw)
+    if letters * 2 < len(raw) or numeric:
+        return ((at, len(raw), "#" + raw),) if numeric and letters else ()
+    parts = [(m.start(), m.group()) for m in re.finditer(r"[^\-‐‑/’]+", raw)]
+    if len(parts) == 1:
+        return ((at, len(raw), raw),)
+    if all(p.lower() in counts or len(p) < 2 for _, p in parts):
+        return ()
+    return tuple((at + i, len(p), p) for i, p in parts if len(p) > 1 and p.lower() not in counts)
+
+
+def unknown_words(line: str, before: str | None, behind: str | None, counts: dict[str, int], han: set[str], parts: Memo) -> list[tuple[int, int, str, str, str]]:
     """(place, length, word, left, right) of tokens and character triples of a line that are not known.
 
     left and right are what stands beside a word: the words before and behind,
     for a triple the two characters before it and behind it. The halves of words
     cut at the line's ends are not looked at. Pairs at the beginning and end of a
-    run of Chinese characters are marked ^ and $, numbers #.
+    run of Chinese characters are marked ^ and $, numbers #. ``parts`` keeps
+    unknown_parts() of tokens.
     """
     out = []
-    tokens = [(m.start(), m.group()) for m in re.finditer(r"\S+", line)]
-    words = [plain_word(t) for _, t in tokens]
-    first, last = has_mark(before), has_mark(line)
-    ends = [plain_word((before or "").split()[-1]) if before and before.split() else "", plain_word((behind or "").split()[0]) if behind and behind.split() else ""]
-    for k, (start, token) in enumerate(tokens):
-        if (k == 0 and first) or (k == len(tokens) - 1 and last):
-            continue
-        raw = words[k]
-        low = raw.lower()
-        if len(raw) < 2 or low in counts or low.replace("’", "'") in counts or low.replace("'", "’") in counts:
-            continue
-        if CODE.search(raw) or any("一" <= c <= "鿿" for c in raw):
-            continue
-        at = start + token.index(raw)
-        left, right = (words[k - 1] if k else ends[0]).lower(), (words[k + 1] if k + 1 < len(words) else ends[1]).lower()
-        letters = sum(c.isalpha() for c in raw)
-        if letters * 2 < len(raw) or (NUMERIC.match(raw) and any(c.isdigit() for c in raw)):
-            if NUMERIC.match(raw) and any(c.isdigit() for c in raw) and letters:
-                out.append((at, len(raw), "#" + raw, left, right))
-            continue
-        parts = [(m.start(), m.group()) for m in re.finditer(r"[^\-‐‑/’]+", raw)]
-        if len(parts) == 1:
-            out.append((at, len(raw), raw, left, right))
-        elif not all(p.lower() in counts or len(p) < 2 for _, p in parts):
-            out += [(at + i, len(p), p, "", "") for i, p in parts if len(p) > 1 and p.lower() not in counts]
+    tokens = line.split()
+    if any(map(parts.__getitem__, tokens)):
+        starts = [m.start() for m in re.finditer(r"\S+", line)]
+        first, last = has_mark(before), has_mark(line)
+        near = [(before or "").split()[-1:], (behind or "").split()[:1]]
+        around = [plain_word(x).lower() for x in [*(near[0] or [""]), *tokens, *(near[1] or [""])]]
+        for k, token in enumerate(tokens):
+            if (k == 0 and first) or (k == len(tokens) - 1 and last):
+                continue
+            found = parts[token]
+            whole = len(found) == 1
+            out += [(starts[k] + at, n, word, around[k] if whole else "", around[k + 2] if whole else "") for at, n, word in found]
+    if line.isascii():
+        return out
     out += [(m.start() + 1, 1, m.group(), "", "") for m in re.finditer(r"[一-鿿][—–-][一-鿿]", line) if f"{m.group()[0]}一{m.group()[2]}" in counts]
     for m in HAN_RUN.finditer(line):
         run, at = m.group(), m.start()
@@ -437,34 +460,40 @@ def known_in_tasks(table: DataFrame):
 
 
 def neighbour_counts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n: how often two words ("a b") follow each other in the texts of ``documents``, for the keys of ``wanted``.
+    """key, n: how often two words ("a b") follow each other in the texts of ``documents``, for the keys of ``wanted`` (candidate, key).
 
-    A bit filter of fixed size, built in Spark, tells the tasks which neighbours
-    may be wanted, so only these are counted; the join removes what it lets
-    through by chance. Counted per batch before the shuffle.
+    Bit filters of fixed size, built in Spark, tell the tasks which words and
+    neighbours may be wanted, so only these are counted; the join removes what
+    they let through by chance. Counted per batch before the shuffle.
     """
-    place = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(FILTER_BITS)) + 1
-    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits:  # places and buckets count from 1
-        filled[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = documents.sparkSession.sparkContext.broadcast(filled)
-    bare = str.maketrans(dict.fromkeys(AROUND + "!¡"))
+
+    def bits_of(text: Column) -> np.ndarray:
+        place = F.pmod(F.crc32(text.cast("binary")), F.lit(FILTER_BITS)) + 1
+        rows = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        filled = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in rows:  # places and buckets count from 1
+            filled[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+        return filled
+
+    shared = documents.sparkSession.sparkContext.broadcast((bits_of(F.col("candidate")), bits_of(F.col("key"))))
+    word = re.compile(rf"[^\W\d_]+(?:[{HYPHENS}'’][^\W\d_]+)*")
 
     def count(batches):
-        bitmap = shared.value
+        words, pairs = (memoryview(x) for x in shared.value)
+        hit = lambda bits, text: bits[(p := zlib.crc32(text.encode()) % FILTER_BITS) // 8] >> p % 8 & 1
+        may = Memo(lambda w: hit(words, w))
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                seen.update(pairwise(text.lower().translate(bare).split()))
-            keys, counts = [f"{a} {b}" for a, b in seen], np.fromiter(seen.values(), np.int64, len(seen))
-            places = np.fromiter((zlib.crc32(k.encode()) % FILTER_BITS for k in keys), np.int64, len(keys))
-            hit = (bitmap[places // 8] >> (places % 8).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()).filter(pa.array(hit)), pa.array(counts[hit])], names=["key", "n"])
+                own = word.findall(text.lower())
+                flags = list(map(may.__getitem__, own))
+                seen.update(compress(pairwise(own), map(or_, flags, flags[1:])))
+            found = [(key, n) for (a, b), n in seen.items() if hit(pairs, key := f"{a} {b}")]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["key", "n"])
 
     texts = documents.where(F.length("text") > 0).select("text")
     counted = texts.mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return counted.join(wanted.select("key"), "key", "left_semi")
+    return counted.join(wanted.select("key").distinct(), "key", "left_semi")
 
 
 def in_context(places: DataFrame, table: DataFrame, documents: DataFrame) -> DataFrame:
@@ -480,7 +509,7 @@ def in_context(places: DataFrame, table: DataFrame, documents: DataFrame) -> Dat
     flat = flat.withColumn("before", F.when(F.col("left") == "", "").when(han, F.substring(F.concat("left", F.when(F.col("word").startswith("$"), c).otherwise(F.substring(c, 2, 1))), -3, 3)).otherwise(F.concat_ws(" ", "left", "candidate")))
     flat = flat.withColumn("behind", F.when(F.col("right") == "", "").when(han, F.substring(F.concat(F.when(F.col("word").startswith("^"), c).otherwise(F.substring(c, 2, 1)), "right"), 1, 3)).otherwise(F.concat_ws(" ", "candidate", "right")))
     flat = stored(flat)
-    wanted = flat.select(F.explode(F.array("before", "behind")).alias("key")).where("key <> ''").distinct()
+    wanted = flat.select("candidate", F.explode(F.array("before", "behind")).alias("key")).where("key <> ''").distinct()
     latin = neighbour_counts(documents, stored(wanted.where(F.contains("key", F.lit(" ")))))
     triples = table.select(F.col("word").alias("key"), "n").join(wanted.where(~F.contains("key", F.lit(" "))), "key", "left_semi")
     counts = stored(latin.unionByName(triples))
@@ -501,10 +530,11 @@ def judged(lines: DataFrame, known, table: DataFrame, documents: DataFrame) -> D
 
     def scan(batches):
         counts, han = known.value
+        parts = Memo(lambda token: unknown_parts(token, counts))
         for batch in batches:
             before, line, behind = (batch.column(n).to_pylist() for n in ("prev_line", "line", "next_line"))
             forms = [end_forms(x, y) for x, y in zip(line, behind, strict=True)]
-            odd = [[dict(zip(ODD, o, strict=True)) for o in unknown_words(x, p, n, counts, han)] for x, p, n in zip(line, before, behind, strict=True)]
+            odd = [[dict(zip(ODD, o, strict=True)) for o in unknown_words(x, p, n, counts, han, parts)] for x, p, n in zip(line, before, behind, strict=True)]
             keep = pa.array([i for i, (f, o) in enumerate(zip(forms, odd, strict=True)) if f is not None or o], pa.int64())
             new = pa.array(forms, pa.list_(pa.string())), pa.array(odd, odd_type)
             yield pa.RecordBatch.from_arrays([*(batch.column(n).take(keep) for n in keys), *(x.take(keep) for x in new)], names=[*keys, "forms", "odd"])

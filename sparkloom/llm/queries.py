@@ -52,6 +52,23 @@ def p2_threads(spark, sf_dir):
     return rows.groupBy(F.col("session").alias("session_id"), "root_turn", "kept").agg(F.count("*").alias("messages"), F.max("turn_no").alias("last_turn"))
 
 
+@query
+def p2_trees(spark, sf_dir):
+    """Per session: its messages, and whether its link trees hold each of them once, every parent and root before its children."""
+    rows = conversations.conversations(texts(spark, sf_dir, "session_messages"))
+    ok = (F.col("root_turn") <= F.col("turn_no")) & F.coalesce((F.col("parent_turn") < F.col("turn_no")) & (F.col("parent_turn") >= F.col("root_turn")), F.col("root_turn") == F.col("turn_no"))
+    out = rows.groupBy(F.col("session").alias("session_id")).agg(F.count("*").alias("messages"), (F.min(ok) & (F.max("turn_no") == F.count("*")) & (F.min("turn_no") == 1) & (F.sum("turn_no") == F.count("*") * (F.count("*") + 1) / 2)).alias("whole"))
+    return out
+
+
+SQL["p2_trees"] = r"""
+with one as (
+  select distinct on (message_id) message_id, nullif(lower(regexp_replace(session_id, '^[\p{Z}\p{C}\s]+|[\p{Z}\p{C}\s]+$', '', 'g')), '') as s
+  from session_messages where message_id is not null order by message_id, coalesce(ingested_at, created_at), coalesce(role, ''), coalesce(session_id, ''))
+select s as session_id, count(*) as messages, true as whole from one where s is not null group by s
+"""
+
+
 def _latencies(spark, sf_dir):
     return stored(quantiles.latencies(table(spark, sf_dir, "usage_events")))
 
@@ -107,6 +124,25 @@ def p3_daily(spark, sf_dir):
     return out.select("day", "stage", "model", "q", "n", "lower", "upper")
 
 
+def _bounds_sql(groups: str) -> str:
+    """The cell of the value of nearest rank: sign, exponent and the first 12 bits of the fraction."""
+    return f"""
+with ranked as (
+  select *, row_number() over (partition by event_id order by received_at) as copy from usage_events),
+calls as (
+  select ts::date as day, lower(trim(stage)) as stage, model, latency_ms from ranked where copy = 1 and latency_ms is not null and not isnan(latency_ms)),
+placed as (
+  select *, row_number() over (partition by {groups} order by latency_ms) as place, count(*) over (partition by {groups}) as n from calls),
+points as (
+  select p.*, q.q, pow(2.0, floor(log2(p.latency_ms)) - 12) as step
+  from placed p join (select distinct q from quantile_points) q on p.place = greatest(1, cast(ceil(q.q * p.n) as bigint)))
+select {groups}, q, n, floor(latency_ms / step) * step as lower, floor(latency_ms / step) * step + step - step * pow(2.0, -40) as upper from points
+"""
+
+
+SQL["p3_daily"] = _bounds_sql("day, stage, model")
+
+
 @query
 def p3_combined(spark, sf_dir):
     """Percentiles of all days, read off the sum of the days' histograms, with their bounds."""
@@ -116,18 +152,22 @@ def p3_combined(spark, sf_dir):
     return out.select("stage", "model", "q", "n", "lower", "upper")
 
 
+SQL["p3_combined"] = _bounds_sql("stage, model")
+
+
 def _items(spark, sf_dir):
     documents, limits = table(spark, sf_dir, "documents"), table(spark, sf_dir, "size_limits")
     for name, item_id, kind in (("parent_chunks", "parent_chunk_id", "parent"), ("chunks", "chunk_id", "chunk")):
-        yield name, splitting.limited(texts(spark, sf_dir, name), item_id, kind, documents, limits)
+        items = texts(spark, sf_dir, name)
+        yield name, items, item_id, splitting.limited(items, item_id, kind, documents, limits)
 
 
 @query
 def p4_found(spark, sf_dir):
     """Items that had to be cut."""
-    (a, x), (b, y) = _items(spark, sf_dir)
-    both = x.withColumn("source_table", F.lit(a)).unionByName(y.withColumn("source_table", F.lit(b)))
-    return splitting.split_items(both).where(F.size("spans") > 1).select("source_table", "item_id")
+    (a, *x), (b, *y) = _items(spark, sf_dir)
+    both = splitting.split_items(*x).withColumn("source_table", F.lit(a)).unionByName(splitting.split_items(*y).withColumn("source_table", F.lit(b)))
+    return both.where(F.size("spans") > 1).select("source_table", "item_id")
 
 
 SQL["p4_found"] = r"""
@@ -144,12 +184,38 @@ where length(i.text) > coalesce(l.max_chars, d.max_chars)
 """
 
 
+def _pieces(spark, sf_dir):
+    (a, *x), (b, *y) = _items(spark, sf_dir)
+    return splitting.pieces(*x).withColumn("source_table", F.lit(a)).unionByName(splitting.pieces(*y).withColumn("source_table", F.lit(b)))
+
+
 @query
 def p4_pieces(spark, sf_dir):
     """The pieces of all items, in order."""
-    (a, x), (b, y) = _items(spark, sf_dir)
-    out = splitting.pieces(x).withColumn("source_table", F.lit(a)).unionByName(splitting.pieces(y).withColumn("source_table", F.lit(b)))
-    return out.select("source_table", "item_id", "piece_no", "start_pos", "n_chars", "text")
+    return _pieces(spark, sf_dir).select("source_table", "item_id", "piece_no", "start_pos", "n_chars", "text")
+
+
+@query
+def p4_kept(spark, sf_dir):
+    """Per item of the pieces: its length, whether every piece keeps the limit, and whether the pieces follow each other without a gap and rebuild the text."""
+    piece = F.struct("piece_no", "start_pos", "n_chars", "max_chars", F.length("text").alias("length"))
+    own = _pieces(spark, sf_dir).groupBy("source_table", "item_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    end = lambda x: x["start_pos"] + x["n_chars"]
+    first = F.struct(F.lit(0).alias("no"), F.lit(0).alias("end"), F.lit(-1).alias("start"), F.lit(True).alias("ok"))
+
+    def step(acc, x):
+        ok = acc["ok"] & (x["piece_no"] == acc["no"]) & (x["start_pos"] <= acc["end"]) & (x["start_pos"] > acc["start"]) & (end(x) >= acc["end"]) & (x["length"] == x["n_chars"])
+        return F.struct((acc["no"] + 1).alias("no"), end(x).alias("end"), x["start_pos"].alias("start"), ok.alias("ok"))
+
+    done = F.aggregate("p", first, step)
+    return own.select("source_table", "item_id", done["end"].alias("n_chars"), F.forall("p", lambda x: x["n_chars"] <= x["max_chars"]).alias("within"), done["ok"].alias("in_order"))
+
+
+SQL["p4_kept"] = """
+select distinct 'parent_chunks' as source_table, parent_chunk_id as item_id, length(text) as n_chars, true as within, true as in_order from parent_chunks where text is not null
+union all
+select distinct 'chunks', chunk_id, length(text), true, true from chunks where text is not null
+"""
 
 
 @query
@@ -220,9 +286,14 @@ def p5_paragraphs(spark, sf_dir):
 
 
 def _packed(spark, sf_dir):
-    sizes = stored(tokens.count_tokens(texts(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size")))
-    containers = table(spark, sf_dir, "containers").where("tokenizer = 'byte_bpe_50k'")
-    items = packing.pieces(sizes, containers.select("container_kind", F.col("capacity_tokens").alias("capacity")))
+    """Every kind of container is filled with sizes by the tokenizer that it names."""
+    containers = table(spark, sf_dir, "containers").select("container_kind", F.col("capacity_tokens").alias("capacity"), "tokenizer")
+    docs = texts(spark, sf_dir, "documents")
+    items = None
+    for (name,) in sorted(containers.select("tokenizer").distinct().collect()):  # a short fixed list
+        sizes = stored(tokens.count_tokens(docs, path=tokens.vocabulary_path(name)).select(F.col("doc_id").alias("key"), F.col("n_tokens").alias("size")))
+        own = packing.pieces(sizes, containers.where(F.col("tokenizer") == name).drop("tokenizer"))
+        items = own if items is None else items.unionByName(own)
     return packing.packed(stored(items))
 
 
@@ -238,3 +309,16 @@ def p7_fill(spark, sf_dir):
     """Per kind: containers, tokens, and the share of the capacity that is filled."""
     out = _packed(spark, sf_dir).groupBy("container_kind", "capacity").agg(F.countDistinct("container_id").alias("containers"), F.sum("size").alias("tokens"))
     return out.withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
+@query
+def p7_placed(spark, sf_dir):
+    """Per kind: documents placed, and how many are placed twice, divided though they fit, or in a container that holds too much."""
+    out = _packed(spark, sf_dir)
+    docs = out.groupBy("container_kind", "capacity", "key").agg(F.count("*").alias("pieces"), F.countDistinct("piece_no").alias("numbers"), F.sum("size").alias("size"))
+    docs = docs.groupBy("container_kind").agg(F.count("*").alias("documents"), F.sum((F.col("pieces") != F.col("numbers")).cast("int")).alias("twice"), F.sum(((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).cast("int")).alias("divided"))
+    bins = out.groupBy("container_kind", "capacity", "container_id").agg(F.sum("size").alias("size")).groupBy("container_kind").agg(F.sum((F.col("size") > F.col("capacity")).cast("int")).alias("overfull"))
+    return docs.join(bins, "container_kind").select("container_kind", "documents", "twice", "divided", "overfull")
+
+
+SQL["p7_placed"] = "select container_kind, (select count(*) from documents) as documents, 0 as twice, 0 as divided, 0 as overfull from containers"

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.tables import stored
+
 #: Boundaries from strong to weak; the number is the strength of a cut behind the match.
 BOUNDARIES = (
     (5, re.compile(r"\n[^\S\n]*\n\s*")),
@@ -19,6 +21,8 @@ BOUNDARIES = (
     (2, re.compile(r"[,;:–—]\s+|[，、：—]\s*")),
     (1, re.compile(r"\s+")),
 )
+#: Share of the overlap by which it may be longer or shorter, to begin at a natural boundary.
+TOLERANCE = 0.25
 
 
 def cuts_of(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
@@ -52,16 +56,18 @@ def pieces_of(text: str | None, max_chars: int, overlap: int) -> list[tuple[int,
     """(start, end) of the pieces of a text, each at most ``max_chars`` long.
 
     Adjacent segments are merged, the weakest boundary first, then the smallest
-    result, then the leftmost, while the merged size plus the overlap fits. The
-    overlap begins at the nearest natural boundary within half its size, if any.
-    A text that fits is one piece, null and empty texts have none.
+    result, then the leftmost, while the merged size plus the overlap fits. Each
+    piece repeats ``overlap`` characters of the one before, or up to TOLERANCE
+    more or less where a natural boundary is so near. A text that fits is one
+    piece, null and empty texts have none. An overlap that leaves no room for
+    anything new is an error.
     """
     if not text:
         return []
     if len(text) <= max_chars:
         return [(0, len(text))]
-    max_chars = max(1, max_chars)
-    overlap = max(0, min(overlap, max_chars // 2))
+    if not 0 <= overlap < max_chars:
+        raise ValueError(f"an overlap of {overlap} characters does not fit pieces of {max_chars}")
     room = max_chars - overlap
     places, strengths = atoms_of(text, room)
     starts = [0, *places]
@@ -89,11 +95,12 @@ def pieces_of(text: str | None, max_chars: int, overlap: int) -> list[tuple[int,
         start = starts[i]
         if i and overlap:
             marks = marks or sorted({*places, *(p for p, _ in cuts_of(text, 0, len(text), 4))})
-            longest = min(max_chars - (ends[i] - start), overlap + overlap // 2)
-            lo, aim = max(start - longest, starts[0]), max(start - overlap, 0)
+            slack = int(overlap * TOLERANCE)
+            lo = max(start - min(max_chars - (ends[i] - start), overlap + slack), out[-1][0] + 1 if out else 0)
+            aim = max(start - overlap, lo)
             k = bisect.bisect_left(marks, aim)
-            near = [p for p in marks[max(0, k - 1) : k + 1] if lo <= p <= start - overlap // 2]
-            start = min(near, key=lambda p: abs(p - aim)) if near else max(lo, aim)
+            near = [p for p in marks[max(0, k - 1) : k + 1] if lo <= p <= start - overlap + slack]
+            start = min(near, key=lambda p: abs(p - aim)) if near else aim
         out.append((start, ends[i]))
     return out
 
@@ -112,31 +119,38 @@ def plain_type(col: str | Column) -> Column:
 
 
 def limited(items: DataFrame, item_id: str, kind: str, documents: DataFrame, limits: DataFrame) -> DataFrame:
-    """item_id, text, max_chars, overlap_chars of every item, once per id.
+    """item_id, n_chars, max_chars, overlap_chars of every item, once per id (of copies the longest).
 
     ``limits`` is a fixed list of a few dozen rows and is broadcast. Items whose
-    document is unknown or of another type have the limits of type ``default``.
-    Documents and items meet in a shuffled join whose hot keys AQE splits.
+    document is unknown or of another type have the limits of type ``default``;
+    without one they have no limit (null). Only sizes are shuffled, no texts.
     """
-    ours = limits.where(F.lower(F.trim("item_kind")) == kind).select(plain_type("source_type").alias("type"), "max_chars", "overlap_chars")
+    ours = limits.where(F.lower(F.trim("item_kind")) == kind).select(plain_type("source_type").alias("type"), "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"))
     ours = ours.dropDuplicates(["type"])
     default = ours.where("type = 'default'").select(F.col("max_chars").alias("any_max"), F.col("overlap_chars").alias("any_overlap"))
-    own = items.select(F.col(item_id).alias("item_id"), "doc_id", "text").dropDuplicates(["item_id"])
+    own = items.groupBy(F.col(item_id).alias("item_id")).agg(F.max(F.struct(F.length("text").alias("n"), "doc_id")).alias("x")).select("item_id", F.col("x.n").alias("n_chars"), "x.doc_id")
     types = documents.select("doc_id", plain_type("source_type").alias("type")).dropDuplicates(["doc_id"])
     typed = own.join(types, "doc_id", "left").join(F.broadcast(ours), "type", "left").join(F.broadcast(default), F.lit(True), "left")
-    return typed.select("item_id", "text", F.coalesce("max_chars", "any_max").alias("max_chars"), F.coalesce("overlap_chars", "any_overlap").alias("overlap_chars"))
+    return typed.select("item_id", "n_chars", F.coalesce("max_chars", "any_max").alias("max_chars"), F.when(F.col("max_chars").isNotNull(), F.col("overlap_chars")).otherwise(F.col("any_overlap")).alias("overlap_chars"))
+
 
+def split_items(items: DataFrame, item_id: str, sizes: DataFrame) -> DataFrame:
+    """item_id, text, max_chars, spans: the pieces of each text over its limit. Only these texts are moved and go to Python.
 
-def split_items(items: DataFrame) -> DataFrame:
-    """Adds spans: the pieces of each text of limited(). Only texts over the limit go to Python."""
-    over = items.where(F.length("text") > F.col("max_chars"))
-    return over.withColumn("spans", piece_spans("text", "max_chars", "overlap_chars"))
+    ``sizes`` is limited(items, item_id, ...).
+    """
+    over = stored(sizes.where("n_chars > max_chars"))
+    texts = items.select(F.col(item_id).alias("item_id"), "text").join(over, "item_id").where(F.length("text") == F.col("n_chars")).dropDuplicates(["item_id"])
+    return texts.withColumn("spans", piece_spans("text", "max_chars", "overlap_chars"))
 
 
-def pieces(items: DataFrame) -> DataFrame:
-    """item_id, piece_no (from 0), start_pos, n_chars, text of every piece: oversized texts cut, all others whole, null texts left out."""
-    cut = split_items(items).select("item_id", "text", F.posexplode("spans").alias("piece_no", "span"))
+def pieces(items: DataFrame, item_id: str, sizes: DataFrame) -> DataFrame:
+    """item_id, piece_no (from 0), start_pos, n_chars, max_chars, text of every piece: oversized texts cut, all others whole, null texts left out."""
+    sizes = stored(sizes)
+    cut = split_items(items, item_id, sizes).select("item_id", "text", "max_chars", F.posexplode("spans").alias("piece_no", "span"))
     part = F.expr("substring(text, span.start + 1, span.end - span.start)")
-    cut = cut.select("item_id", "piece_no", F.col("span.start").alias("start_pos"), (F.col("span.end") - F.col("span.start")).alias("n_chars"), part.alias("text"))
-    whole = items.where(F.length("text") <= F.col("max_chars")).select("item_id", F.lit(0).alias("piece_no"), F.lit(0).alias("start_pos"), F.length("text").alias("n_chars"), "text")
-    return whole.unionByName(cut)
+    cut = cut.select("item_id", "piece_no", F.col("span.start").alias("start_pos"), (F.col("span.end") - F.col("span.start")).alias("n_chars"), "max_chars", part.alias("text"))
+    fits = sizes.where("n_chars <= max_chars or max_chars is null")
+    texts = items.select(F.col(item_id).alias("item_id"), "text").where("text is not null")
+    whole = texts.join(fits, "item_id").where(F.length("text") == F.col("n_chars")).dropDuplicates(["item_id"])
+    return whole.select("item_id", F.lit(0).alias("piece_no"), F.lit(0).alias("start_pos"), "n_chars", "max_chars", "text").unionByName(cut)

@@ -65,6 +65,14 @@ def distinct_words(docs: DataFrame, text: str) -> DataFrame:
     return split.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def vocabulary_path(name: str | None) -> str:
+    """The vocabulary file of a byte-level tokenizer; an error for one that is not there."""
+    path = f"{tokenizer_dir()}/{name}.tiktoken"
+    if not name or not os.path.exists(path):
+        raise ValueError(f"no vocabulary file for the tokenizer {name!r}: {path}")
+    return path
+
+
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """Adds ids to a table of distinct words: each is encoded exactly once."""
 

@@ -17,7 +17,7 @@ def limits(spark):
 def test_empty(spark, limits):
     docs = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "chunk_id string, doc_id long, text string")
-    assert splitting.pieces(splitting.limited(items, "chunk_id", "chunk", docs, limits)).count() == 0
+    assert splitting.pieces(items, "chunk_id", splitting.limited(items, "chunk_id", "chunk", docs, limits)).count() == 0
     assert tokens.encode_corpus(docs).count() == tokens.count_tokens(docs).count() == tokens.decode_corpus(tokens.encode_corpus(docs)).count() == 0
     assert mojibake.restore(docs).count() == 0
     rows = spark.createDataFrame([], "source_table string, record_id string, text string")
@@ -36,10 +36,11 @@ def test_limits_by_type(spark, limits):
     docs = spark.createDataFrame([(1, "x", " .MD", "md", "k", 1), (2, "x", None, "md", "k", 1), (1, "x", " .MD", "md", "k", 1)], DOCS)
     text = "One short sentence. Another one here. "
     items = [("a", 1, text), ("a", 1, text), ("b", 2, text), ("c", None, text), ("d", 1, None), ("e", 9, ""), ("f", 1, text * 3000)]
-    out = splitting.limited(spark.createDataFrame(items, "chunk_id string, doc_id long, text string"), "chunk_id", "chunk", docs, limits)
+    rows = spark.createDataFrame(items, "chunk_id string, doc_id long, text string")
+    out = splitting.limited(rows, "chunk_id", "chunk", docs, limits)
     sizes = {r["item_id"]: (r["max_chars"], r["overlap_chars"]) for r in out.collect()}
     assert sizes == {"a": (40, 5), "b": (20, 4), "c": (20, 4), "d": (40, 5), "e": (20, 4), "f": (40, 5)}
-    pieces = splitting.pieces(out).collect()
+    pieces = splitting.pieces(rows, "chunk_id", out).collect()
     assert {r["item_id"] for r in pieces} == {"a", "b", "c", "e", "f"}
     for item in "abcf":
         own = sorted((r for r in pieces if r["item_id"] == item), key=lambda r: r["piece_no"])
@@ -69,3 +70,17 @@ def test_one_hot_session(spark):
     rows = spark.range(n).select(F.format_string("m%06d", "id").alias("message_id"), F.lit("hot").alias("session_id"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("same words").alias("content"), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("string").alias("metadata"), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("ingested_at"))
     out = conversations.conversations(rows)
     assert out.where("kept").count() == n and out.agg(F.max("turn_no")).first()[0] == n
+
+
+def test_items_without_a_limit_stay_whole(spark, limits):
+    docs = spark.createDataFrame([(1, "x", "md", "md", "k", 1)], DOCS)
+    rows = spark.createDataFrame([("a", 1, "word " * 50), ("b", None, "word " * 50)], "chunk_id string, doc_id long, text string")
+    sizes = splitting.limited(rows, "chunk_id", "chunk", docs, limits.where("source_type = 'md'"))
+    assert {r["item_id"]: r["n"] for r in splitting.pieces(rows, "chunk_id", sizes).groupBy("item_id").agg(F.count("*").alias("n")).collect()}["b"] == 1
+
+
+def test_containers_name_their_tokenizer():
+    assert tokens.vocabulary_path("byte_bpe_50k").endswith("byte_bpe_50k.tiktoken")
+    for name in ("no_such_file", None, ""):
+        with pytest.raises(ValueError):
+            tokens.vocabulary_path(name)

@@ -47,10 +47,22 @@ def test_histograms_add_up(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab ,.\n。，x", max_size=400), st.integers(5, 60), st.integers(0, 30))
 def test_pieces(text, most, overlap):
+    if overlap >= most:
+        with pytest.raises(ValueError):
+            S.pieces_of("x" * (most + 1), most, overlap)
+        return
     spans = S.pieces_of(text, most, overlap)
     assert all(0 < b - a <= most for a, b in spans)
     assert {i for a, b in spans for i in range(a, b)} == set(range(len(text)))
     assert all(x[1] < y[1] and y[0] <= x[1] for x, y in zip(spans, spans[1:]))
+    slack = int(overlap * S.TOLERANCE)
+    for x, y in zip(spans, spans[1:]):  # as asked, or a natural boundary near; never before the piece before
+        assert overlap - slack <= x[1] - y[0] <= overlap + slack or y[0] == x[0] + 1
+
+
+def test_large_overlaps_are_kept():
+    spans = S.pieces_of("x" * 500, 100, 60)
+    assert all(x[1] - y[0] == 60 for x, y in zip(spans, spans[1:])) and len(spans) >= 11
 
 
 def test_natural_cuts():

@@ -270,9 +270,10 @@ def test_line_ends(spark):
 
 def test_places_and_neighbours_of_misread_words():
     counts, pairs = dict.fromkeys(["the", "is", "read"], 1), set()
-    found = O.unknown_words("the c0ntract is rnead-", "so the", "y again", counts, pairs)
+    parts = O.Memo(lambda token: O.unknown_parts(token, counts))
+    found = O.unknown_words("the c0ntract is rnead-", "so the", "y again", counts, pairs, parts)
     assert found == [(4, 8, "c0ntract", "the", "is")]  # the cut half is not looked at
-    assert O.unknown_words("¿the ¡is! tbe", None, "read on", counts, pairs) == [(10, 3, "tbe", "is", "read")]
+    assert O.unknown_words("¿the ¡is! tbe", None, "read on", counts, pairs, parts) == [(10, 3, "tbe", "is", "read")]
 
 
 def test_fixes_go_to_their_places(spark):
