@@ -211,17 +211,22 @@ def unwrap_url(url: str | Column) -> Column:
     return F.when(u.rlike("(?i)^https?://[^/]+"), u)
 
 
-#: Hosts and endings that are no results.
-NOISE_HOSTS = ["bing.com", "google.com", "duckduckgo.com", "baidu.com", "microsoft.com"]
+#: Hosts whose pages are no results (of the first two, all hosts below them too), and endings of images.
+NOISE_DOMAINS = ["bing.com", "duckduckgo.com"]
+NOISE_HOSTS = ["login.live.com", "account.microsoft.com"]
 IMAGE_ENDINGS = "jpg|jpeg|png|gif|webp|svg|ico"
 
 
-def is_noise_url(url: str | Column) -> Column:
-    """Whether an address is a search engine's own page, an image or no web address at all; true for null."""
-    host = F.lower(F.regexp_extract(col(url), r"(?i)^https?://(?:[^/@]*@)?([^/:?#]+)", 1))
-    engine = reduce(lambda a, b: a | b, [(host == h) | host.endswith(f".{h}") for h in NOISE_HOSTS])
-    image = F.lower(F.regexp_extract(col(url), r"^[^?#]*", 0)).rlike(rf"\.({IMAGE_ENDINGS})$")
-    return F.coalesce((host == "") | engine | image, F.lit(True))
+def is_noise_url(url: str | Column, engine: str = "") -> Column:
+    """Whether an address is a search engine's or login page, an image or no web address at all; true for null.
+
+    For results of the ``engine`` bing its own redirects are noise as well.
+    """
+    host = F.regexp_replace(F.lower(F.regexp_extract(col(url), r"(?i)^https?://(?:[^/@?#]*@)?([^/:?#]+)", 1)), "^www\\.", "")
+    path = F.lower(F.regexp_extract(col(url), r"(?i)^https?://[^/?#]*([^?#]*)", 1))
+    own = reduce(lambda a, b: a | b, [(host == h) | host.endswith(f".{h}") for h in NOISE_DOMAINS])
+    noise = (host == "") | own | host.isin(NOISE_HOSTS) | path.rlike(rf"\.({IMAGE_ENDINGS})$")
+    return F.coalesce(noise | F.contains(path, F.lit("/ck/a")) if engine == "bing" else noise, F.lit(True))
 
 
 def cited(text: str | Column, most: Column) -> Column:
@@ -271,31 +276,45 @@ def first_json(text: str | Column) -> Column:
 
 
 #: File categories by words in the name, then by ending.
-CATEGORY_WORDS = (("finance", "invoice|receipt|budget|发票|预算"), ("meeting", "minutes|meeting|会议"), ("report", "report|survey|study|报告"), ("plan", "plan|schedule|计划"))
-CATEGORY_ENDINGS = (("document", "pdf|doc|docx|txt|md"), ("sheet", "xls|xlsx|csv"), ("slides", "ppt|pptx"), ("image", "png|jpg|jpeg|tiff|gif"), ("code", "py|js|ts|java|sql"), ("mail", "eml|msg"), ("web", "html|htm"))
+CATEGORY_WORDS = [
+    ("resume", ["简历", "resume", "cv"]),
+    ("meeting", ["会议", "纪要", "meeting", "minutes"]),
+    ("research", ["研究", "调研", "research", "report", "analysis"]),
+    ("invoice", ["发票", "invoice", "收据", "receipt"]),
+    ("finance", ["财务", "预算", "budget", "expense", "费用"]),
+    ("project", ["方案", "计划", "project", "roadmap", "proposal"]),
+    ("presentation", ["汇报", "演示", "ppt", "slides", "presentation"]),
+    ("notes", ["笔记", "note", "notes", "记录"]),
+    ("paper", ["论文", "paper", "thesis", "survey"]),
+]
+CATEGORY_ENDINGS = [
+    ("documents", ["docx", "md", "markdown", "txt", "pdf"]),
+    ("presentation", ["pptx"]),
+    ("spreadsheet", ["xlsx", "csv"]),
+    ("archive", ["zip", "7z", "rar", "tar", "gz"]),
+    ("image", ["png", "jpg", "jpeg", "gif", "webp", "bmp"]),
+]
 
 
 def file_category(path: str | Column) -> Column:
-    """The first category whose words are in the file name, else that of the ending, else other."""
+    """The first category one of whose words the file name holds, else that of the ending, else other."""
     name = F.lower(F.regexp_extract(col(path), r"[^/\\]*$", 0))
-    out = F.lit("other")
-    for kind, endings in reversed(CATEGORY_ENDINGS):
-        out = F.when(name.rlike(rf"\.({endings})$"), kind).otherwise(out)
-    for kind, words in reversed(CATEGORY_WORDS):
-        out = F.when(name.rlike(words), kind).otherwise(out)
-    return F.when(col(path).isNotNull(), out)
+    by_word = [F.when(reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in words]), kind) for kind, words in CATEGORY_WORDS]
+    by_ending = [F.when(F.regexp_extract(name, r"\.([^.]*)$", 1).isin(endings), kind) for kind, endings in CATEGORY_ENDINGS]
+    return F.when(col(path).isNotNull(), F.coalesce(*by_word, *by_ending, F.lit("other")))
 
 
 def natural_key(text: str | Column) -> Column:
-    """A sort key in which runs of digits order by value."""
+    """A sort key in which runs of digits order by value: each has the length of its digits, without zeros before them, in front."""
     parts = matches(F.lower(col(text)), r"\d+|\D+")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p))).otherwise(p)), "")
 
 
 def mentions_date(text: str | Column, day: Column) -> Column:
     """Whether a text names the day as y-m-d, y/m/d or in Chinese."""
     y, m, d = F.year(day).cast("string"), F.month(day).cast("string"), F.dayofmonth(day).cast("string")
-    pattern = F.concat(y, F.lit(r"\s?[-/.年]\s?0?"), m, F.lit(r"\s?[-/.月]\s?0?"), d, F.lit(r"(?![0-9])"))
+    pattern = F.concat(F.lit("(^|[^0-9])"), y, F.lit(r"\s?[-/.年]\s?0?"), m, F.lit(r"\s?[-/.月]\s?0?"), d, F.lit("([^0-9]|$)"))
     return F.coalesce(F.regexp_like(col(text), pattern), F.lit(False))
 
 

@@ -1,7 +1,9 @@
 """Search of a stated query set against all rows.
 
-Queries are taken in blocks of bounded size. A block goes to all tasks as a
-matrix; each task scores its rows batch by batch and keeps the best rows per
+Sparse search meets postings in joins: a first look at each query's rarest terms
+bounds what its k-th result scores, so terms too common to lift a document above
+that bound alone are only looked up for documents that hold a rarer one. Dense
+search takes queries and rows in blocks; each task keeps the best rows per
 query, so only ``k`` rows per query and task are shuffled, never a pair per
 match. Ties are broken by id everywhere.
 """
@@ -20,9 +22,13 @@ from sparkloom.functions import text as X
 from sparkloom.functions import vectors as V
 from sparkloom.tables import stored
 
-#: Queries of a block; a block of BM25 has at most 40 terms per query.
-BLOCK = 256
-ROWS = 512
+#: Queries that go to all tasks as one matrix; more are taken in blocks of so many, each against slices of SLICE rows.
+BLOCK = 8192
+SLICE = 65536
+#: Documents, as a multiple of k, that the rarest terms of a query must promise for a first bound.
+FIRST_LOOK = 4
+#: Bound for tokens of a query; None for all.
+QUERY_TOKENS = 40
 #: Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 TITLE_WEIGHT, TEXT_WEIGHT = 2.5, 1.0
@@ -64,84 +70,160 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def blocks(queries: DataFrame, size: int = BLOCK):
-    """The queries in lists of at most ``size`` rows, one after the other; only one is on the driver at a time."""
-    n = max(1, -(-queries.count() // (size // 2)))
-    spread = stored(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")), "block")
-    for b in range(n):
-        rows = spread.where(F.col("block") == b).drop("block").orderBy("query_id").collect()
-        for at in range(0, len(rows), size):
-            yield rows[at : at + size]
-
-
-def union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    out = empty
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
 def search_terms(text: str | Column) -> Column:
     """All tokens of a text for sparse search, repeated ones included: words and pairs of Chinese characters."""
     low = F.lower(X.col(text))
     return F.concat(X.matches(low, "[a-z0-9_.@+-]{2,}"), X.han_grams(low, 2))
 
 
-def query_set(docs: DataFrame, step: int = 100) -> DataFrame:
-    """query_id, text, tokens: every document whose id is divisible by ``step``, with at most 40 distinct tokens."""
+def query_set(docs: DataFrame, step: int = 100, most: int | None = QUERY_TOKENS) -> DataFrame:
+    """query_id, text, tokens: every document whose id is divisible by ``step``, with its first ``most`` distinct tokens (all for None)."""
     chosen = docs.where((F.col("doc_id") % step == 0) & F.col("text").isNotNull())
-    tokens = F.slice(F.array_distinct(search_terms("text")), 1, 40)
+    tokens = F.array_distinct(search_terms("text"))
+    tokens = F.slice(tokens, 1, most) if most else tokens
     return chosen.select(F.col("doc_id").alias("query_id"), "title", "text", tokens.alias("tokens")).where(F.size("tokens") > 0)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 30) -> DataFrame:
+def fields_of(docs: DataFrame, fields: dict[str, tuple[Column, float]]) -> DataFrame:
+    """id, length and one array of tokens per field of a document."""
+    tokens = docs.select(F.col("doc_id").alias("id"), *[t.alias(name) for name, (t, _) in fields.items()])
+    length = sum((F.size(name) for name in fields), F.lit(0))
+    return stored(tokens.withColumn("length", length))
+
+
+def term_counts(terms: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """id, length, term, tf: the weighted count of every term of a document, all in the document's own row."""
+
+    def count(batches):
+        for batch in batches:
+            ids, lengths, names, counts = [], [], [], []
+            columns = [(batch.column(name).to_pylist(), w) for name, w in weights.items()]
+            for i, (key, n) in enumerate(zip(batch.column("id").to_pylist(), batch.column("length").to_pylist(), strict=True)):
+                seen: dict[str, float] = {}
+                for lists, w in columns:
+                    for t in lists[i]:
+                        seen[t] = seen.get(t, 0.0) + w
+                ids += [key] * len(seen)
+                lengths += [n] * len(seen)
+                names += seen.keys()
+                counts += seen.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int32()), pa.array(names, pa.string()), pa.array(counts, pa.float64())], names=["id", "length", "term", "tf"])
+
+    return terms.mapInArrow(count, "id long, length int, term string, tf double")
+
+
+def best_by_terms(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: the k rows of greatest sum of ``weight`` * ``factor`` over the terms shared with each query; exact.
+
+    ``postings`` has id, term and weight (in [0, 1]), ``asked`` query_id, term,
+    factor (positive) and df. The rarest terms of a query, enough for FIRST_LOOK *
+    k rows, give its k-th score a lower bound. Terms whose factors together stay
+    below it cannot bring a row among the best by themselves; so only the others
+    are joined with all postings, and these are looked up for the rows found.
+    """
+    by_df = Window.partitionBy("query_id").orderBy("df", "term")  # as many rows per query as it has terms
+    ranked = asked.withColumn("before", F.coalesce(F.sum("df").over(by_df.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    partial = lambda q: postings.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("factor")).alias("score"))
+    first = best_of(partial(ranked.where(F.col("before") < FIRST_LOOK * k).select("query_id", "term", "factor")), k)
+    bound = first.where(F.col("rank") == k).select("query_id", (F.col("score") * (1 - 1e-9)).alias("bound"))
+    upto = Window.partitionBy("query_id").orderBy("factor", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = asked.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumn("upto", F.sum("factor").over(upto))
+    split = stored(split.withColumn("common", F.col("upto") < F.col("bound")).select("query_id", "term", "factor", "bound", "common"))
+    rest = split.groupBy("query_id").agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(F.col("common"), F.col("factor"))), F.lit(0.0)).alias("rest"))
+    found = partial(split.where("not common").select("query_id", "term", "factor")).join(rest, "query_id").where(F.col("score") + F.col("rest") >= F.col("bound")).select("query_id", "id")
+    found = stored(found)
+    # the full sum in the order of the terms, so that equal rows get equal scores
+    parts = found.join(split.select("query_id", "term", "factor"), "query_id").join(postings, ["id", "term"])
+    whole = parts.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("weight") * F.col("factor")).alias("x")))).alias("parts"))
+    return best_of(whole.select("query_id", "id", F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["x"]).alias("score")).where("score > 0"), k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 30, fields: dict[str, tuple[Column, float]] | None = None) -> DataFrame:
     """query_id, id, score, rank by BM25 with weighted fields, over the statistics of the whole corpus.
 
-    A token in the title counts TITLE_WEIGHT times. Texts and titles that are
-    null have no tokens; documents without a match are in no result.
+    ``fields`` maps names to their tokens and weights; by default title and text.
+    Texts and titles that are null have no tokens; documents without a match are
+    in no result.
     """
-    terms = stored(docs.select(F.col("doc_id").alias("id"), search_terms(F.coalesce("title", F.lit(""))).alias("title"), search_terms(F.coalesce("text", F.lit(""))).alias("body")))
-    size = F.size("title") + F.size("body")
-    total = terms.agg(F.count("*").alias("n"), F.avg(size).alias("average")).first()
+    fields = fields or {"title": (search_terms(F.coalesce("title", F.lit(""))), TITLE_WEIGHT), "body": (search_terms(F.coalesce("text", F.lit(""))), TEXT_WEIGHT)}
+    terms = fields_of(docs, fields)
+    total = terms.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
     n, average = total["n"], total["average"] or 1.0
-    wanted = queries.select(F.explode("tokens").alias("term")).distinct()
-    each = terms.select(F.explode(F.array_distinct(F.concat("title", "body"))).alias("term"))
-    df = stored(each.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
-    weight = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.select("term", F.when(weight > 0, weight).otherwise(F.lit(1e-6)).alias("idf"))
-    with_idf = queries.select("query_id", F.explode("tokens").alias("term")).join(idf, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"))
-    parts = []
-    for block in blocks(with_idf):
-        vocabulary = sorted({t["term"] for q in block for t in q["terms"]})
-        place = {t: i for i, t in enumerate(vocabulary)}
-        matrix = np.zeros((len(vocabulary), len(block)))
-        for j, q in enumerate(block):
-            for t in q["terms"]:
-                matrix[place[t["term"]], j] = t["idf"]
-        shared = docs.sparkSession.sparkContext.broadcast(([q["query_id"] for q in block], vocabulary, matrix))
-
-        def score(batches, shared=shared):
-            ids, vocabulary, matrix = shared.value
-            known = pa.array(vocabulary, pa.string())
-            best = Best(ids, k)
-            for whole in batches:
-                for at in range(0, whole.num_rows, ROWS):
-                    batch = whole.slice(at, ROWS)
-                    tf = np.zeros((batch.num_rows, len(vocabulary)))
-                    length = np.zeros(batch.num_rows)
-                    for name, w in (("title", TITLE_WEIGHT), ("body", TEXT_WEIGHT)):
-                        lists = pa.concat_arrays([batch.column(name)])
-                        length += pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                        where = pc.index_in(lists.flatten(), value_set=known)
-                        row = pc.list_parent_indices(lists)
-                        ok = pc.is_valid(where)
-                        np.add.at(tf, (row.filter(ok).to_numpy(), where.filter(ok).to_numpy()), w)
-                    weight = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / average))[:, None])
-                    best.add(batch.column("id").to_numpy(), weight @ matrix, 0.0)
-            yield best.rows()
-
-        parts.append(terms.mapInArrow(score, FOUND))
-    return best_of(union(parts, docs.sparkSession.createDataFrame([], FOUND)), k)
+    each = queries.select("query_id", F.explode("tokens").alias("term")).distinct()
+    wanted = stored(each.select("term").distinct())
+    counts = term_counts(terms, {name: w for name, (_, w) in fields.items()}).join(wanted, "term", "left_semi")
+    weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(average)))
+    postings = stored(counts.select("id", "term", weight.alias("weight")))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    factor = F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * (K1 + 1)
+    asked = stored(each.join(df, "term").select("query_id", "term", "df", factor.alias("factor")))
+    return best_by_terms(postings, asked, k)
+
+
+class Asked:
+    """Queries as unit matrices, one per length of vector, with their groups."""
+
+    def __init__(self, rows: list[tuple]):
+        self.widths = {}
+        for width in sorted({len(v) for _, v, _ in rows if v}):
+            own = [r for r in rows if len(r[1]) == width]
+            matrix = np.nan_to_num(np.array([r[1] for r in own], float).T)
+            norms = np.linalg.norm(matrix, axis=0)
+            self.widths[width] = [r[0] for r in own], matrix / np.where(norms > 0, norms, 1), np.array([r[2] for r in own], object)
+
+    def best(self, batches, k: int, least: float, how: str, kind: pa.DataType):
+        """Record batches of query_id, id, score and group of the best rows seen, per query (how "all"), per query and group of the rows ("each") or per query among the rows of its group ("own")."""
+        found: dict = {}
+        for whole in batches:
+            for width, (ids, matrix, groups) in self.widths.items():
+                fits = whole.filter(pc.equal(pc.list_value_length(whole.column("vector")), width))
+                for at in range(0, fits.num_rows, 4096):
+                    part = fits.slice(at, 4096)
+                    x = np.nan_to_num(pa.concat_arrays([part.column("vector")]).flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+                    norms = np.linalg.norm(x, axis=1, keepdims=True)
+                    x, own = x / np.where(norms > 0, norms, 1), part.column("id").to_numpy()
+                    labels = np.array(part.column("group").to_pylist(), object)
+                    for g in [None] if how == "all" else dict.fromkeys(labels.tolist()):
+                        rows = slice(None) if how == "all" else np.flatnonzero(labels == g)
+                        columns = np.flatnonzero(groups == g) if how == "own" else slice(None)
+                        if how == "own" and not len(columns):
+                            continue
+                        if (width, g) not in found:
+                            found[width, g] = Best([ids[j] for j in columns] if how == "own" else ids, k)
+                        found[width, g].add(own[rows], np.maximum(x[rows] @ matrix[:, columns], 0), least)
+        for (_, g), b in found.items():
+            out = b.rows()
+            yield out.append_column("group", pa.array([g] * out.num_rows, kind))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float, how: str, group: str | None = None, block: int | None = None) -> DataFrame:
+    """query_id, id, score, group: the best rows seen by each task for each query; a superset of the k best.
+
+    Up to BLOCK queries go to all tasks, and the rows are read once. More are
+    divided into blocks, which meet slices of the rows as pairs of a join on (block,
+    slice): a task holds one block and one slice at a time.
+    """
+    block = block or BLOCK
+    kind = vectors.schema[group].dataType.simpleString() if group else "string"
+    of = lambda df, key: df.select(F.col(key).cast("long").alias(key), "vector", (F.col(group) if group and group in df.columns else F.lit(None)).cast(kind).alias("group")).where("vector is not null")
+    rows, asked = of(vectors, "id"), stored(of(queries, "query_id"))
+    arrow = rows.select("group").limit(0).toArrow().schema.field(0).type
+    schema = f"{FOUND}, `group` {kind}"
+    n = asked.count()
+    if n <= block:
+        shared = vectors.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.orderBy("query_id").collect()])
+        return rows.mapInArrow(lambda batches: Asked(shared.value).best(batches, k, least, how, arrow), schema)
+    blocks, slices = -(-n // block), max(1, -(-rows.count() // SLICE))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long"))
+    right = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        own = list(zip(*(a.column(c).to_pylist() for c in ("query_id", "vector", "group")), strict=True))
+        out = list(Asked(own).best(b.combine_chunks().to_batches(), k, least, how, arrow))
+        return pa.Table.from_batches(out, schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("group", arrow)]))
+
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(score, schema)
 
 
 def dense_per_group(vectors: DataFrame, queries: DataFrame, group: str, k: int) -> DataFrame:
@@ -150,72 +232,23 @@ def dense_per_group(vectors: DataFrame, queries: DataFrame, group: str, k: int)
     ``vectors`` has id, vector and the group column, ``queries`` query_id and
     vector. Each task keeps k rows per query and group it has seen.
     """
-    kind = vectors.schema[group].dataType.simpleString()
-    parts = []
-    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector", group).where("vector is not null")
-    for block in blocks(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")):
-        if not block:
-            continue
-        matrix = np.array([q["vector"] for q in block], float).T
-        norms = np.linalg.norm(matrix, axis=0)
-        shared = vectors.sparkSession.sparkContext.broadcast(([q["query_id"] for q in block], matrix / np.where(norms > 0, norms, 1)))
-
-        def score(batches, shared=shared):
-            ids, matrix = shared.value
-            best: dict = {}
-            for batch in batches:
-                batch = batch.filter(pc.equal(pc.list_value_length(batch.column("vector")), matrix.shape[0]))
-                x = np.nan_to_num(pa.concat_arrays([batch.column("vector")]).flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[0]))
-                norms = np.linalg.norm(x, axis=1, keepdims=True)
-                scores = x / np.where(norms > 0, norms, 1) @ matrix
-                labels, own = np.array(batch.column(group).to_pylist(), object), batch.column("id").to_numpy()
-                for g in dict.fromkeys(labels.tolist()):
-                    rows = labels == g
-                    best.setdefault(g, Best(ids, k)).add(own[rows], scores[rows], 0.0)
-            for g, b in best.items():
-                out = b.rows()
-                yield out.append_column(group, pa.array([g] * out.num_rows, shared_type))
-
-        shared_type = vectors.select(group).limit(0).toArrow().schema.field(0).type
-        parts.append(rows.mapInArrow(score, f"{FOUND}, `{group}` {kind}"))
-    found = union(parts, vectors.sparkSession.createDataFrame([], f"{FOUND}, `{group}` {kind}"))
-    order = Window.partitionBy("query_id", group).orderBy(F.desc("score"), "id")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
-
-
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.0) -> DataFrame:
+    found = nearest(vectors, queries.select("query_id", "vector"), k, 0.0, "each", group)
+    order = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "id")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n").withColumnRenamed("group", group)
+
+
+def dense_in_group(vectors: DataFrame, queries: DataFrame, group: str, k: int) -> DataFrame:
+    """query_id, id, score, rank, group value: the k best rows of each query's own group, by cosine above 0."""
+    found = nearest(vectors, queries, k, 0.0, "own", group)
+    return best_of(found, k).withColumnRenamed("group", group)
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.0, block: int | None = None) -> DataFrame:
     """query_id, id, score, rank by cosine of ``vector`` (arrays of double of one length), above ``least``.
 
     Vectors of another length than the query, null and zero vectors match nothing.
     """
-    parts = []
-    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null")
-    for block in blocks(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").where("vector is not null")):
-        for width in sorted({len(q["vector"]) for q in block}):
-            own = [q for q in block if len(q["vector"]) == width and width]
-            if not own:
-                continue
-            matrix = np.array([q["vector"] for q in own], float).T
-            norms = np.linalg.norm(matrix, axis=0)
-            matrix = matrix / np.where(norms > 0, norms, 1)
-            shared = vectors.sparkSession.sparkContext.broadcast(([q["query_id"] for q in own], matrix))
-
-            def score(batches, shared=shared, width=width):
-                ids, matrix = shared.value
-                best = Best(ids, k)
-                for batch in batches:
-                    fits = pc.equal(pc.list_value_length(batch.column("vector")), width)
-                    batch = batch.filter(fits)
-                    for at in range(0, batch.num_rows, 4096):
-                        part = batch.slice(at, 4096)
-                        flat = pa.concat_arrays([part.column("vector")]).flatten().to_numpy(zero_copy_only=False)
-                        x = np.nan_to_num(flat.reshape(-1, width))
-                        norms = np.linalg.norm(x, axis=1, keepdims=True)
-                        best.add(part.column("id").to_numpy(), np.maximum(x / np.where(norms > 0, norms, 1) @ matrix, 0), least)
-                yield best.rows()
-
-            parts.append(rows.mapInArrow(score, FOUND))
-    return best_of(union(parts, vectors.sparkSession.createDataFrame([], FOUND)), k)
+    return best_of(nearest(vectors, queries.select("query_id", "vector"), k, least, "all", block=block).drop("group"), k)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -297,14 +330,18 @@ def redundancy(found: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("a.query_id").alias("query_id")).agg(F.coalesce(F.avg(near), F.lit(0.0)).alias("redundancy"))
 
 
-def rank_metrics(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """query_id, precision, recall, mrr, ndcg at k; ``relevant`` has query_id and id, each pair once. Queries without results score 0."""
-    hits = found.where(F.col("rank") <= k).join(relevant.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    per = hits.groupBy("query_id").agg(
+def rank_metrics(found: DataFrame, golds: DataFrame, k: int) -> DataFrame:
+    """query_id, precision, recall, mrr, ndcg at k.
+
+    ``found`` has query_id, id, rank and hit (whether the row is relevant),
+    ``golds`` query_id and gold, the number of relevant rows. Queries without
+    results score 0.
+    """
+    per = found.where(F.col("rank") <= k).withColumn("hit", F.coalesce(F.col("hit").cast("int"), F.lit(0)))
+    per = per.groupBy("query_id").agg(
         F.sum("hit").alias("hits"), F.count("*").alias("shown"),
         F.sum(F.col("hit") / F.log2(F.col("rank") + 1)).alias("dcg"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"),
     )
-    golds = relevant.groupBy("query_id").agg(F.count("*").alias("gold"))
     both = golds.join(per, "query_id", "left")
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least("gold", F.coalesce("shown", F.lit(1))), F.lit(1)).cast("int")), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from sparkloom.functions import text as X
 
 #: Elements without running text, and elements that end a line.
-SKIPPED = {"script", "style", "noscript", "svg", "nav", "header", "footer", "aside", "form", "button"}
-BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+SKIPPED = {"script", "style", "noscript", "svg", "canvas", "nav", "footer", "header"}
+BLOCKS = {"p", "div", "section", "article", "li", "h1", "h2", "h3", "tr"}
 
 
 class Reader(HTMLParser):

@@ -74,12 +74,12 @@ def cursor_scan(spark, sf_dir):
 
 
 @query(
-    rf"""select doc_id, list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+|[A-Z]{{2,}}[0-9]*|v[0-9]+(?:\.[0-9]+)+')).list_sort() as entities from documents where text is not null and doc_id % 100 = 0"""
+    rf"""select doc_id, list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+|[A-Z]{{2,}}[0-9]*|v[0-9]+(?:\.[0-9]+)+')).list_sort()  as entities from documents where text is not null"""
 )
 def technical_entities(spark, sf_dir):
-    """Technical names of the query set."""
+    """Technical names of every document."""
     pattern = r"[A-Z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+|[A-Z]{2,}[0-9]*|v[0-9]+(?:\.[0-9]+)+"
-    return texts(spark, sf_dir).where("text is not null and doc_id % 100 = 0").select("doc_id", F.array_sort(F.array_distinct(X.matches("text", pattern))).alias("entities"))
+    return texts(spark, sf_dir).where("text is not null").select("doc_id", F.array_sort(F.array_distinct(X.matches("text", pattern))).alias("entities"))
 
 
 #: Aspects of a question and the words that name them in the other language.

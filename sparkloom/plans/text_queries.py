@@ -121,18 +121,21 @@ def head_and_tail(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.head_and_tail("text", 600, 200).alias("text"))
 
 
-@query()
+@query(
+    r"""with l as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ')), lambda x: x <> '') as l from documents)
+ select doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 or x <> l[i - 1]), chr(10)) as text from l"""
+)
 def squeezed_lines(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.squeeze_lines("text").alias("text"))
 
 
-@query(
-    r"""with n as (select doc_id, canonical_path, lower(regexp_extract(canonical_path, '[^/\\]*$')) as f from documents)
- select doc_id, case when canonical_path is null then null when regexp_matches(f, 'invoice|receipt|budget|发票|预算') then 'finance' when regexp_matches(f, 'minutes|meeting|会议') then 'meeting'
- when regexp_matches(f, 'report|survey|study|报告') then 'report' when regexp_matches(f, 'plan|schedule|计划') then 'plan' when regexp_matches(f, '\.(pdf|doc|docx|txt|md)$') then 'document'
- when regexp_matches(f, '\.(xls|xlsx|csv)$') then 'sheet' when regexp_matches(f, '\.(ppt|pptx)$') then 'slides' when regexp_matches(f, '\.(png|jpg|jpeg|tiff|gif)$') then 'image'
- when regexp_matches(f, '\.(py|js|ts|java|sql)$') then 'code' when regexp_matches(f, '\.(eml|msg)$') then 'mail' when regexp_matches(f, '\.(html|htm)$') then 'web' else 'other' end as category from n"""
-)
+def _sql_category() -> str:
+    words = " ".join(f"when {' or '.join(f'contains(f, {chr(39)}{w}{chr(39)})' for w in ws)} then '{kind}'" for kind, ws in T.CATEGORY_WORDS)
+    endings = " ".join(f"when regexp_extract(f, '\\.([^.]*)$', 1) in ({', '.join(repr(e) for e in es)}) then '{kind}'" for kind, es in T.CATEGORY_ENDINGS)
+    return f"case when canonical_path is null then null {words} {endings} else 'other' end"
+
+
+@query(rf"""with n as (select doc_id, canonical_path, lower(regexp_extract(canonical_path, '[^/\\]*$')) as f from documents) select doc_id, {_sql_category()} as category from n""")
 def file_categories(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.file_category("canonical_path").alias("category"))
 
@@ -171,9 +174,7 @@ def content_digest(spark, sf_dir):
 
 @query("select doc_id, coalesce(regexp_matches(text, '(^|[^0-9])' || year(created_at) || '\\s?[-/.年]\\s?0?' || month(created_at) || '\\s?[-/.月]\\s?0?' || day(created_at) || '([^0-9]|$)'), false) as named from documents")
 def documents_naming_their_day(spark, sf_dir):
-    docs = texts(spark, sf_dir)
-    pattern = F.concat(F.lit("(^|[^0-9])"), F.year("created_at"), F.lit(r"\s?[-/.年]\s?0?"), F.month("created_at"), F.lit(r"\s?[-/.月]\s?0?"), F.dayofmonth("created_at"), F.lit("([^0-9]|$)"))
-    return docs.select("doc_id", F.coalesce(F.regexp_like("text", pattern), F.lit(False)).alias("named"))
+    return texts(spark, sf_dir).select("doc_id", T.mentions_date("text", F.col("created_at")).alias("named"))
 
 
 @query("select region_id, greatest(0, least(1, bbox.x0)) as x0, greatest(0, least(1, bbox.y0)) as y0, greatest(0, least(1, bbox.x1)) as x1, greatest(0, least(1, bbox.y1)) as y1 from ocr_regions where bbox is not null")
@@ -196,7 +197,10 @@ def documents_by_hour(spark, sf_dir):
     return docs.groupBy("lang", "hour").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    r"""select doc_id, array_to_string(list_transform(regexp_extract_all(lower(canonical_path), '\d+|\D+'), lambda p: case when regexp_matches(p, '^\d+$')
+ then lpad(length(coalesce(nullif(ltrim(p, '0'), ''), '0'))::varchar, 9, '0') || coalesce(nullif(ltrim(p, '0'), ''), '0') else p end), '') as key from documents"""
+)
 def natural_order(spark, sf_dir):
     """Paths with keys in which numbers order by value."""
     return texts(spark, sf_dir).select("doc_id", T.natural_key("canonical_path").alias("key"))

@@ -76,6 +76,45 @@ def test_bm25_ranks_rare_terms_first(spark):
     assert out[0]["id"] == 0 and {r["id"] for r in out} == {0, 1, 2}
 
 
+def test_bm25_against_all_pairs(spark):
+    """Terms that are left out at first change nothing: every pair scored by the formula gives the same lists."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)]
+    odds = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30), p=odds / odds.sum())) for _ in range(300)]
+    texts[7] = texts[3]
+    docs = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, title string, text string")
+    got = {}
+    for r in R.bm25(docs, R.query_set(docs, 10), 8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    tokens = [t.split() for t in texts]
+    mean, n = np.mean([len(t) for t in tokens]), len(tokens)
+    df = {w: sum(w in t for t in tokens) for w in words}
+    for q in range(0, 300, 10):
+        want = []
+        for i, t in enumerate(tokens):
+            s = 0.0
+            for w in sorted(set(tokens[q])):
+                tf = t.count(w)
+                s += max(np.log((n - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean)) if tf else 0
+            if s > 0:
+                want.append((-round(s, 9), i))
+        assert [(i, pytest.approx(-s, abs=1e-8)) for s, i in sorted(want)[:8]] == [(i, s) for _, i, s in sorted(got[q])]
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2] if i % 7 else None) for i, v in enumerate(rng.normal(size=(300, 6)))] + [(900, None, "a"), (901, [1.0], "b")], "id long, vector array<double>, label string")
+    queries = rows.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    one = [key(R.dense(rows, queries, 5)), key(R.dense_per_group(rows, queries, "label", 3)), key(R.dense_in_group(rows, queries, "label", 3))]
+    monkeypatch.setattr(R, "SLICE", 64)
+    monkeypatch.setattr(R, "BLOCK", 7)
+    many = [key(R.dense(rows, queries, 5)), key(R.dense_per_group(rows, queries, "label", 3)), key(R.dense_in_group(rows, queries, "label", 3))]
+    strip = lambda x: [[tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in part] for part in x]
+    assert strip(one) == strip(many)
+
+
 def test_fusion_and_diversity(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, id long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, id long, rank int")
@@ -87,8 +126,8 @@ def test_fusion_and_diversity(spark):
 
 
 def test_rank_metrics(spark):
-    found = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 1)], "query_id long, id long, rank int")
-    gold = spark.createDataFrame([(1, 6), (2, 7), (3, 1)], "query_id long, id long")
+    found = spark.createDataFrame([(1, 5, 1, False), (1, 6, 2, True), (2, 7, 1, True)], "query_id long, id long, rank int, hit boolean")
+    gold = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "query_id long, gold long")
     out = {r["query_id"]: r for r in R.rank_metrics(found, gold, 5).collect()}
     assert out[1]["mrr"] == 0.5 and out[1]["precision"] == 0.5 and out[2]["ndcg"] == 1 and out[3]["recall"] == 0
 
@@ -99,6 +138,31 @@ def test_markdown_blocks():
     assert got == [("paragraph", "A", "intro"), ("table", "A/B", "| x | y |"), ("list", "A/B", "- one"), ("code", "A/B", "```"), ("paragraph", "C", "last")]
 
 
+def test_markdown_runs():
+    text = "- a\n- b\ntext\n\n| x | y |\nafter\n### deep\n## less\nz\n```\nopen | a | b\n\nstill"
+    got = [(k, "/".join(p), t) for k, p, t in B.markdown_blocks(text)]
+    assert got == [("paragraph", "", "- a\n- b\ntext"), ("table", "", "| x | y |"), ("paragraph", "", "after"), ("paragraph", "deep/less", "z"), ("code", "deep/less", "```\nopen | a | b\n\nstill")]
+
+
+def test_no_chunk_above_the_limit(spark):
+    table = "\n".join(f"| row {i} | value {i} | more of it {i} |" for i in range(400))
+    code = "```\n" + "\n".join(f"x{i} = compute({i})" for i in range(500)) + "\n```"
+    docs = [(1, f"# T\n\n{table}\n\nend", "md"), (2, code, "md"), (3, "word " * 6000, "txt"), (4, "字" * 3000, "pdf"), (5, "x" * 9000, "md"), (6, "Short. Text.", "md"), (7, None, "md"), (8, " ", "txt")]
+    rows = B.chunks(spark.createDataFrame(docs, "doc_id long, text string, source_type string")).collect()
+    assert max(B.size(r["text"]) for r in rows) <= B.Limits().most and {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, 6}
+    for key, text, _ in docs[:6]:
+        own = "".join("".join(r["text"].split()) for r in rows if r["doc_id"] == key)
+        assert len(own) >= len("".join(text.replace("# T", "").split()))
+    assert all("| row" not in r["text"] or r["text"].startswith("|") for r in rows if r["doc_id"] == 1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab1 \n字,.", max_size=300), st.integers(1, 20))
+def test_units(text, most):
+    got = B.units(text, most)
+    assert all(B.size(u) <= most for u in got) and "".join("".join(got).split()) == "".join(text.split())
+
+
 def test_marker_blocks():
     got = B.marker_blocks("start\n\n[Page 2]\ntwo\n\nmore\n\n[Sheet: S]\n\nrow", False)
     assert got == [("paragraph", [], "start"), ("paragraph", ["page 2"], "two"), ("paragraph", ["page 2"], "more"), ("paragraph", ["sheet S"], "row")]
