@@ -118,25 +118,26 @@ from placed p join (select distinct q from quantile_points) q on p.place = great
 
 @query
 def p3_daily(spark, sf_dir):
-    """Percentiles of every day, read off the day's histogram, with their bounds."""
-    hist = quantiles.histogram(_latencies(spark, sf_dir), ["day", "stage", "model"])
+    """Percentiles of every day (y-m-d), read off the day's histogram, with their bounds."""
+    days = _latencies(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    hist = quantiles.histogram(days, ["day", "stage", "model"])
     out = quantiles.histogram_quantiles(hist, ["day", "stage", "model"], table(spark, sf_dir, "quantile_points"))
     return out.select("day", "stage", "model", "q", "n", "lower", "upper")
 
 
 def _bounds_sql(groups: str) -> str:
-    """The cell of the value of nearest rank: sign, exponent and the first 12 bits of the fraction."""
+    """The cell of the value of nearest rank: sign, exponent and the first 12 bits of the fraction. That of 0 is the first of the subnormal numbers."""
     return f"""
 with ranked as (
   select *, row_number() over (partition by event_id order by received_at) as copy from usage_events),
 calls as (
-  select ts::date as day, lower(trim(stage)) as stage, model, latency_ms from ranked where copy = 1 and latency_ms is not null and not isnan(latency_ms)),
+  select strftime(ts, '%Y-%m-%d') as day, lower(trim(stage)) as stage, model, latency_ms from ranked where copy = 1 and latency_ms is not null and not isnan(latency_ms)),
 placed as (
   select *, row_number() over (partition by {groups} order by latency_ms) as place, count(*) over (partition by {groups}) as n from calls),
 points as (
-  select p.*, q.q, pow(2.0, floor(log2(p.latency_ms)) - 12) as step
+  select p.*, q.q, case when p.latency_ms > 0 then pow(2.0, floor(log2(p.latency_ms)) - 12) end as step
   from placed p join (select distinct q from quantile_points) q on p.place = greatest(1, cast(ceil(q.q * p.n) as bigint)))
-select {groups}, q, n, floor(latency_ms / step) * step as lower, floor(latency_ms / step) * step + step - step * pow(2.0, -40) as upper from points
+select {groups}, q, n, coalesce(floor(latency_ms / step) * step, 0) as lower, coalesce(floor(latency_ms / step) * step + step - step * pow(2.0, -40), pow(2.0, -1034) - pow(2.0, -1074)) as upper from points
 """
 
 
