@@ -215,8 +215,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float, how: s
         shared = vectors.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.orderBy("query_id").collect()])
         return rows.mapInArrow(lambda batches: Asked(shared.value).best(batches, k, least, how, arrow), schema)
     blocks, slices = -(-n // block), max(1, -(-rows.count() // SLICE))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long"))
-    right = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    right = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
         own = list(zip(*(a.column(c).to_pylist() for c in ("query_id", "vector", "group")), strict=True))
