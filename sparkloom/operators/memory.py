@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.operators.retrieval import best_of
+from sparkloom.tables import stored
 
 #: Half-lives in days, tags that end an item, weights of the search score.
 HALF_LIFE = {"task": 14, "artifact": 30, "fact": 120, "decision": 180, "preference": 365}
@@ -51,11 +52,37 @@ def superseded(memories: DataFrame) -> DataFrame:
     return topics.join(newest, ["memory_type", "topic"]).where("memory_id <> superseded_by").select("memory_id", "superseded_by", "topic").distinct()
 
 
+def related(memories: DataFrame, least: int = 3) -> DataFrame:
+    """memory_id, class_id, links: of every active memory the class of those with the same words and type, named by its least id, and how many other memories of its type share ``least`` words or more with it.
+
+    Classes meet, not their copies. Of two lists of words, each sorted by rarity,
+    that share ``least``, the first shared word stands in both before the last
+    ``least`` - 1; so only these are joined, a pair is kept at its first shared
+    word, and the most common words, which end the lists, join nothing. Memories
+    with less words have no links; those without content are left out.
+    """
+    active = memories.where("content is not null and status = 'active' and memory_id is not null")
+    one = active.groupBy("memory_id").agg(F.max_by(F.struct("memory_type", "content"), F.struct("updated_at", "content")).alias("m")).select("memory_id", "m.*")
+    worded = stored(one.select("memory_id", F.coalesce("memory_type", F.lit("")).alias("kind"), F.array_sort(F.array_distinct(X.matches(F.lower("content"), "[a-z][a-z0-9_.+-]{2,}"))).alias("words")))
+    classes = stored(worded.groupBy("kind", "words").agg(F.min("memory_id").alias("class_id"), F.count("*").alias("copies")))
+    each = classes.where(F.size("words") >= least).select("kind", "class_id", F.explode("words").alias("word"))
+    df = each.groupBy("kind", "word").agg(F.count("*").alias("df"))
+    ranked = each.join(df, ["kind", "word"]).groupBy("kind", "class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("ranked"))
+    ranked = stored(ranked.join(classes.select("class_id", "kind", "copies"), ["kind", "class_id"]))
+    first = ranked.select("*", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - (least - 1))).alias("word"))
+    a, b = first.alias("a"), first.alias("b")
+    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.class_id") != F.col("b.class_id")))
+    both = F.array_intersect("a.ranked", "b.ranked")  # in the order of rarity
+    links = met.where((F.size(both) >= least) & (F.get(both, F.lit(0)) == F.col("a.word"))).groupBy("a.kind", "a.class_id").agg(F.sum("b.copies").alias("others"))
+    own = F.when(F.size("words") >= least, F.col("copies") - 1).otherwise(0)
+    counts = classes.join(links, ["kind", "class_id"], "left").select("kind", "words", "class_id", (own + F.coalesce("others", F.lit(0))).alias("links"))
+    return worded.join(counts, ["kind", "words"]).select("memory_id", "class_id", "links")
+
+
 def search(queries: DataFrame, text: str, memories: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, id (memory_id), score, rank: active memories by shared terms, then recency and confidence.
+    """query_id, id (memory_id), score, rank: active memories by the share of the query's terms that they hold, then recency and confidence.
 
-    Terms meet in an equi-join; a term of the query set that a large part of all
-    memories holds is weighed by its rarity, and shared terms are summed per pair.
+    Terms meet in an equi-join, and shared terms are counted per pair.
     """
     rows = state(memories.where("content is not null").dropDuplicates(["memory_id"])).where("not inactive and plain_status = 'active'")
     mine = rows.select("memory_id", "recency", "confidence", "memory_type", X.topic_terms("content").alias("terms"))

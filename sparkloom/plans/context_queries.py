@@ -9,6 +9,7 @@ from sparkloom.functions import text as X
 from sparkloom.functions.text import HAN
 from sparkloom.functions.vectors import doubles
 from sparkloom.operators import context as C
+from sparkloom.operators import memory as M
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tables as O
 from sparkloom.plans.registry import query
@@ -82,8 +83,15 @@ def technical_entities(spark, sf_dir):
     return texts(spark, sf_dir).where("text is not null").select("doc_id", F.array_sort(F.array_distinct(X.matches("text", pattern))).alias("entities"))
 
 
-#: Aspects of a question and the words that name them in the other language.
-ASPECTS = (("流程|workflow", "workflow architecture process pipeline"), ("架构|结构|architecture", "architecture structure modules"), ("原理|机制|mechanism", "principle mechanism method"), ("区别|差异|对比|比较|compare", "comparison differences similarities"))
+#: Words that name an aspect of a question, and the words added for it in the other language.
+ASPECTS = (
+    ("工作流程|处理流程|流程", "workflow architecture process pipeline"),
+    ("架构|结构", "architecture structure modules"),
+    ("原理|机制", "principle mechanism method"),
+    ("训练|训练过程", "training objective procedure"),
+    ("推理|推理过程", "inference procedure"),
+    ("区别|差异|对比|比较", "comparison differences similarities architecture components training objectives inference efficiency"),
+)
 
 
 @query(
@@ -261,20 +269,16 @@ def attempt_numbers(spark, sf_dir):
 
 
 @query(
-    """with m as (select distinct memory_id, memory_type, content, status from memories where content is not null and status = 'active'),
- t as (select memory_id, memory_type, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z][a-z0-9_.+-]{2,}'))) as w from m), n as (select memory_id, count(*) as n from t group by 1),
- rare as (select memory_type, w from t group by all having count(*) between 2 and 20),
- p as (select a.memory_id as a, b.memory_id as b, count(*) as same from t a join rare using (memory_type, w) join t b on a.w = b.w and a.memory_type = b.memory_type and a.memory_id < b.memory_id group by all)
- select a, b, same from p where same >= 3"""
+    """with m as (select distinct on (memory_id) memory_id, coalesce(memory_type, '') as kind, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z][a-z0-9_.+-]{2,}'))) as words
+  from memories where content is not null and status = 'active' and memory_id is not null order by memory_id, updated_at desc, content desc),
+ t as (select memory_id, kind, unnest(words) as w from m),
+ p as (select a.memory_id from t a join t b on a.w = b.w and a.kind = b.kind and a.memory_id <> b.memory_id group by a.memory_id, b.memory_id having count(*) >= 3),
+ n as (select memory_id, count(*) as links from p group by memory_id)
+ select m.memory_id, min(m.memory_id) over (partition by kind, words) as class_id, coalesce(links, 0) as links from m left join n on n.memory_id = m.memory_id"""
 )
 def related_memories(spark, sf_dir):
-    """Pairs of memories of a type that share three words or more, each known to at most twenty of them: rare words as blocks, so no block is hot."""
-    m = table(spark, sf_dir, "memories").where("content is not null and status = 'active'").select("memory_id", "memory_type", "content").distinct()
-    t = m.select("memory_id", "memory_type", F.explode(F.array_distinct(X.matches(F.lower("content"), "[a-z][a-z0-9_.+-]{2,}"))).alias("w"))
-    rare = t.groupBy("memory_type", "w").agg(F.count("*").alias("n")).where("n between 2 and 20").select("memory_type", "w")
-    kept = t.join(rare, ["memory_type", "w"])
-    a, b = kept.select("memory_type", "w", F.col("memory_id").alias("a")), kept.select("memory_type", "w", F.col("memory_id").alias("b"))
-    return a.join(b, ["memory_type", "w"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("same")).where("same >= 3")
+    """Every active memory with its class of equal words, and the number of memories of its type that share three words or more."""
+    return M.related(table(spark, sf_dir, "memories"))
 
 
 @query("select asset_id, count(distinct region_id) as regions, count(distinct page_number) as pages, round(avg(confidence), 9) as confidence, sum(length(text)) as chars from (select distinct region_id, asset_id, page_number, confidence, text from ocr_regions) group by asset_id")

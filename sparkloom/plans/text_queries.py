@@ -94,12 +94,14 @@ def secrets_redacted(spark, sf_dir):
     return table(spark, sf_dir, "session_messages").select("message_id", T.redact_secrets("content").alias("content"), T.is_sensitive("content").alias("sensitive"))
 
 
-@query(
-    rf"""select memory_id, list_sort(list_distinct(list_filter(list_concat(list_concat(regexp_extract_all(lower(content), '[a-z][a-z0-9_.+-]{{2,}}'),
- flatten(list_transform(regexp_extract_all(lower(content), '[{HAN}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))),
- flatten(list_transform(regexp_extract_all(lower(content), '[{HAN}]{{3,}}'), lambda r: list_transform(range(1, length(r) - 1), lambda i: substring(r, i, 3))))),
- lambda t: t not in ('用户', '偏好', '项目', '决策', '使用', '采用', '改为', '调整', '希望', '以后')))) as terms from memories where content is not null"""
-)
+def sql_topic_terms(x: str) -> str:
+    return rf"""list_sort(list_distinct(list_filter(list_concat(list_concat(regexp_extract_all(lower({x}), '[a-z][a-z0-9_.+-]{{2,}}'),
+ flatten(list_transform(regexp_extract_all(lower({x}), '[{HAN}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))),
+ flatten(list_transform(regexp_extract_all(lower({x}), '[{HAN}]{{3,}}'), lambda r: list_transform(range(1, length(r) - 1), lambda i: substring(r, i, 3))))),
+ lambda t: t not in ('用户', '偏好', '项目', '决策', '使用', '采用', '改为', '调整', '希望', '以后'))))"""
+
+
+@query(f"select memory_id, {sql_topic_terms('content')} as terms from memories where content is not null")
 def memory_topic_terms(spark, sf_dir):
     return table(spark, sf_dir, "memories").where("content is not null").select("memory_id", F.array_sort(T.topic_terms("content")).alias("terms"))
 
@@ -146,11 +148,21 @@ def canonical_paths(spark, sf_dir):
     return docs.join(docs.groupBy("key").agg(F.count("*").alias("same")), "key").select("doc_id", "key", "same")
 
 
-@query()
+def _sql_urls(key: str, text: str, source: str) -> str:
+    host = r"regexp_replace(lower(regexp_extract(url, '(?i)^https?://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\.', '')"
+    path = "lower(regexp_extract(url, '(?i)^https?://[^/?#]*([^?#]*)', 1))"
+    domains = "|".join(d.replace(".", r"\.") for d in T.NOISE_DOMAINS)
+    return rf"""with u as (select {key}, unnest(list_transform(regexp_extract_all({text}, 'https?://[^\s<>"''()（），。；、]+'), lambda u: regexp_replace(u, '[.,;:!?）)】\]]+$', ''))) as url from {source} where {text} is not null),
+ t as (select {key}, regexp_replace(case when regexp_matches(url, '[?&]uddg=[^&#]') then url_decode(regexp_extract(url, '[?&]uddg=([^&#]+)', 1)) else url end, '#.*$', '') as url from u),
+ h as (select {key}, url, {host} as host, {path} as path from t)
+ select distinct {key}, lower(regexp_replace(url, '/+$', '')) as url from h where host <> '' and not regexp_matches(host, '(^|\.)({domains})$') and host not in ({", ".join(map(repr, T.NOISE_HOSTS))}) and not regexp_matches(path, '\.({T.IMAGE_ENDINGS})$')"""
+
+
+@query(_sql_urls("doc_id", "text", "documents"))
 def text_urls(spark, sf_dir):
     """Addresses in texts, canonical, without noise, each once per document."""
-    rows = texts(spark, sf_dir).select("doc_id", F.explode(T.urls("text")).alias("url")).where(~T.is_noise_url("url"))
-    return rows.select("doc_id", T.canonical_url(T.unwrap_url("url")).alias("url")).distinct()
+    rows = texts(spark, sf_dir).select("doc_id", F.explode(T.urls("text")).alias("url")).withColumn("url", T.unwrap_url("url")).where(~T.is_noise_url("url"))
+    return rows.select("doc_id", T.canonical_url("url").alias("url")).distinct()
 
 
 @query()

@@ -230,3 +230,24 @@ def test_clashing_columns_are_ignored(spark):
     docs = spark.createDataFrame(rows, "doc_id long, title string, text string, source_type string, id long, row string")
     assert R.bm25(docs, R.query_set(docs)).count() > 0
     assert B.blocks(docs).count() == 5
+
+
+def test_related_memories_against_all_pairs(spark):
+    from sparkloom.operators import memory as M
+
+    random = np.random.default_rng(5)
+    words = ["the", "plan", "for", "week", "tea", "oslo", "rain", "train", "gate", "lamp", "desk", "moss"]
+    rows = []
+    for i in range(120):
+        own = [words[int(j)] for j in np.minimum(random.geometric(0.25, int(random.integers(0, 7))) - 1, 11)]
+        rows.append((f"m{i:03}", [None, "fact", "task"][i % 3], None if i % 40 == 7 else " ".join(own), "active" if i % 11 else "deleted", i, "clash"))
+    rows += rows[:5] + [("m500", "fact", "", "active", 1, "x"), (None, "fact", "the plan for", "active", 1, "x"), ("m501", "fact", "word " * 20000 + "the plan for", "active", 1, "x")]
+    frame = spark.createDataFrame(rows, "memory_id string, memory_type string, content string, status string, updated_at long, words string")
+    sets = {r[0]: (r[1], frozenset(r[2].split())) for r in rows if r[0] and r[2] is not None and r[3] == "active"}
+    want = {}
+    for a, (kind, own) in sets.items():
+        same = [b for b, (k, o) in sets.items() if k == kind and o == own]
+        want[a] = (min(same), sum(b != a and k == kind and len(own & o) >= 3 for b, (k, o) in sets.items()))
+    got = M.related(frame).collect()
+    assert {r["memory_id"]: (r["class_id"], r["links"]) for r in got} == want and len(got) == len(want)
+    assert M.related(frame.limit(0)).collect() == []
