@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -15,8 +14,8 @@ from sparkloom.tables import shared_dir
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a table as a stream."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if os.path.isdir(path) else f"{path}*")
+    """The files of a table as a stream. A stream reads folders and patterns; this pattern fits the path alone, be it a file or a folder, on any file system."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
