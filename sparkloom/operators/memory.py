@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
-from sparkloom.operators.retrieval import best_of
+from sparkloom.operators.retrieval import best_of, marginal
 from sparkloom.tables import stored
 
 #: Half-lives in days, tags that end an item, weights of the search score.
@@ -14,6 +16,8 @@ HALF_LIFE = {"task": 14, "artifact": 30, "fact": 120, "decision": 180, "preferen
 OTHER_HALF_LIFE = 90
 ENDED = ["completed", "cancelled", "obsolete", "expired"]
 TYPE_BONUS = {"preference": 0.05, "decision": 0.05}
+#: Shared terms, as a share of the shorter list, that make two items one topic; weight of relevance against likeness.
+SAME_TOPIC, MMR_WEIGHT = 0.65, 0.7
 
 
 def half_life() -> Column:
@@ -52,6 +56,46 @@ def superseded(memories: DataFrame) -> DataFrame:
     return topics.join(newest, ["memory_type", "topic"]).where("memory_id <> superseded_by").select("memory_id", "superseded_by", "topic").distinct()
 
 
+def conflicts(memories: DataFrame) -> DataFrame:
+    """memory_id, superseded_by: of every active decision and preference the newest one of its type and topic, if that came later, else null.
+
+    Two items with topic tags are of one topic if they share one. Otherwise they
+    are if at least SAME_TOPIC of the terms of the shorter stand in the other.
+    Items without terms then have no topic. Of two that came at once, the
+    greater id is the later; a null time is the earliest.
+
+    No pairs of items are made: classes of equal terms meet, and each keeps its
+    newest. The shorter list needs all but the last SAME_TOPIC of its terms, in
+    the order of rarity, to meet every class that it can match.
+    """
+    active = memories.where("status = 'active' and memory_type in ('decision', 'preference') and memory_id is not null")
+    one = active.groupBy("memory_id").agg(F.max_by(F.struct("memory_type", "content", "tags", "created_at"), F.struct("updated_at", "content")).alias("m")).select("memory_id", "m.*")
+    when = F.struct(F.col("created_at").alias("at"), F.col("memory_id").alias("id"))
+    topics = F.array_distinct(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.startswith("topic:")))
+    rows = one.select("memory_id", F.col("memory_type").alias("kind"), when.alias("when"), topics.alias("topics"), F.array_sort(X.topic_terms(F.coalesce("content", F.lit("")))).alias("terms"))
+    rows = stored(rows.withColumn("tagged", F.size("topics") > 0))
+    tags_ = rows.select("memory_id", "kind", "when", F.explode("topics").alias("topic"))
+    by_tag = tags_.join(tags_.groupBy("kind", "topic").agg(F.max("when").alias("newest")), ["kind", "topic"]).groupBy("memory_id").agg(F.max("newest").alias("by_tag"))
+
+    classes = stored(rows.where(F.size("terms") > 0).groupBy("kind", "tagged", "terms").agg(F.min("memory_id").alias("class_id"), F.max("when").alias("newest")))
+    each = classes.select("kind", "class_id", F.explode("terms").alias("term"))
+    ranked = each.join(each.groupBy("kind", "term").agg(F.count("*").alias("df")), ["kind", "term"]).groupBy("kind", "class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("ranked"))
+    n = F.size("ranked")
+    prefix = F.slice("ranked", F.lit(1), n - F.ceil(n * SAME_TOPIC - 1e-9).cast("int") + 1)
+    short = ranked.select("kind", F.col("class_id").alias("a"), F.explode(prefix).alias("term"))
+    met = short.join(each.withColumnRenamed("class_id", "b"), ["kind", "term"]).where("a <> b").select("a", "b").distinct()
+    side = lambda x: classes.select(F.col("class_id").alias(x), F.col("terms").alias(f"terms_{x}"), F.col("tagged").alias(f"tagged_{x}"), F.col("newest").alias(f"newest_{x}"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b").where("not (tagged_a and tagged_b) and size(terms_a) <= size(terms_b)")
+    pairs = stored(pairs.where(F.size(F.array_intersect("terms_a", "terms_b")) / F.size("terms_a") >= SAME_TOPIC).select("a", "b", "newest_a", "newest_b"))
+    near = pairs.select(F.col("a").alias("class_id"), F.col("newest_b").alias("w")).unionByName(pairs.select(F.col("b").alias("class_id"), F.col("newest_a").alias("w")))
+    # a class of tagged items is one topic by their tags only
+    own = classes.join(near.groupBy("class_id").agg(F.max("w").alias("w")), "class_id", "left")
+    own = own.select("kind", "tagged", "terms", F.greatest("w", F.when(~F.col("tagged"), F.col("newest"))).alias("by_terms"))
+    out = rows.join(by_tag, "memory_id", "left").join(own, ["kind", "tagged", "terms"], "left")
+    last = F.greatest("by_tag", "by_terms")
+    return out.select("memory_id", F.when(last > F.col("when"), last["id"]).alias("superseded_by"))
+
+
 def related(memories: DataFrame, least: int = 3) -> DataFrame:
     """memory_id, class_id, links: of every active memory the class of those with the same words and type, named by its least id, and how many other memories of its type share ``least`` words or more with it.
 
@@ -95,3 +139,23 @@ def search(queries: DataFrame, text: str, memories: DataFrame, k: int = 5) -> Da
     scored = hits.groupBy("query_id", "memory_id", "n", "recency", "confidence", "memory_type").agg(F.count("*").alias("same")).withColumn("share", F.col("same") / F.col("n"))
     score = 0.75 * F.col("share") + (0.15 * F.col("recency") + 0.1 * F.coalesce("confidence", F.lit(0.0)) + bonus) * F.least(F.lit(1.0), 4 * F.col("share"))
     return best_of(scored.select("query_id", F.col("memory_id").alias("id"), score.alias("score")).where("score > 0.08"), k)
+
+
+def diverse(found: DataFrame, memories: DataFrame, k: int = 5, weight: float = MMR_WEIGHT) -> DataFrame:
+    """query_id, id, score, rank: of each query's candidates (a bounded list) those of high score and little likeness to the chosen.
+
+    Likeness is the share of words and Chinese pairs that two items have in common.
+    """
+    terms = F.array_distinct(X.matches(F.lower(F.coalesce("content", F.lit(""))), f"[a-z0-9_]+|[{X.HAN}]{{2}}"))
+    worded = memories.dropDuplicates(["memory_id"]).select(F.col("memory_id").alias("id"), terms.alias("terms"))
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        own = [set(t) for t in table["terms"].to_pylist()]
+        alike = np.array([[len(a & b) / max(1, len(a | b)) for b in own] for a in own])
+        taken = marginal(table["score"].to_numpy(), alike, k, weight)
+        out = table.take(taken).select(["query_id", "id", "score"])
+        return out.append_column("rank", pa.array(range(1, len(taken) + 1), pa.int32()))
+
+    both = found.select("query_id", "id", "score", "rank").join(worded, "id")
+    return both.groupBy("query_id").applyInArrow(choose, "query_id long, id string, score double, rank int")

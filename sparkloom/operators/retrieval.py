@@ -279,6 +279,17 @@ def fuse(channels: dict[str, DataFrame], k: int = 30) -> DataFrame:
     return best_of(fused, k)
 
 
+def fuse_by_hits(channels: dict[str, DataFrame], k: int = 30) -> DataFrame:
+    """query_id, id, score, channels, rank: reciprocal rank fusion with the sorted names of the channels that found the row; ties go to more channels, then by id."""
+    every = [c.select("query_id", "id", F.lit(name).alias("channel"), F.col("rank").alias("place")) for name, c in channels.items()]
+    both = every[0]
+    for c in every[1:]:
+        both = both.unionByName(c)
+    fused = both.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(RRF_K) + F.col("place"))).alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.desc(F.size("channels")), "id")
+    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def rerank(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 12) -> DataFrame:
     """query_id, id, score, rank: candidates by the share of query tokens in text and title and by the whole phrase; ties by the former score."""
     texts = docs.select(F.col("doc_id").alias("id"), F.lower(F.concat_ws("\n", "title", "text")).alias("body"), X.rerank_tokens(F.coalesce("title", F.lit(""))).alias("names"))
@@ -294,33 +305,115 @@ def rerank(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 12) -
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("before")
 
 
+def marginal(score: np.ndarray, alike: np.ndarray, k: int, weight: float, first: list[int] = ()) -> list[int]:
+    """Up to k places by maximal marginal relevance, after those of ``first``: the best of weight * score - (1 - weight) * highest likeness to the chosen; ties by place."""
+    near, left, taken = np.zeros(len(score)), list(range(len(score))), []
+    while left and len(taken) < k:
+        gain = weight * score[left] - (1 - weight) * near[left]
+        i = first[len(taken)] if len(taken) < len(first) else left[int(gain.argmax())]
+        left.remove(i)
+        taken.append(i)
+        near = np.maximum(near, alike[i])
+    return taken
+
+
 def diversify(found: DataFrame, vectors: DataFrame, k: int = 5, weight: float = 0.72) -> DataFrame:
-    """query_id, id, score, rank: maximal marginal relevance among the candidates of each query.
+    """query_id, id, score, rank: maximal marginal relevance among the candidates of each query, by cosine.
 
     A candidate list is bounded by the k of the search before, so a query is one
-    small group. Each step takes the candidate with the best of weight * score -
-    (1 - weight) * highest cosine with the chosen; ties by rank.
+    small group. Candidates without a vector are left out.
     """
     both = found.select("query_id", "id", "score", "rank").join(vectors.select("id", "vector"), "id")
 
     def choose(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
         x = np.array(table["vector"].to_pylist(), float)
+        taken = marginal(table["score"].to_numpy(), np.maximum(x @ x.T, 0), k, weight)
+        out = table.take(taken).select(["query_id", "id", "score"])
+        return out.append_column("rank", pa.array(range(1, len(taken) + 1), pa.int32()))
+
+    return both.groupBy("query_id").applyInArrow(choose, "query_id long, id long, score double, rank int")
+
+
+def cover(found: DataFrame, vectors: DataFrame, k: int = 5, weight: float = 0.72) -> DataFrame:
+    """query_id, id, score, rank: results that meet every claim, then maximal marginal relevance.
+
+    ``found`` is a bounded list per query with query_id, id, score, rank and
+    claims, the numbers of the claims (a document that has to be cited, a part of
+    the question) that a candidate meets; null meets none. In the order of their
+    numbers, each claim takes the best candidate left that meets it; the places
+    that remain go by relevance, as a share of the query's best score, and
+    likeness. Claims that nobody meets take no place.
+    """
+    both = found.select("query_id", "id", "score", "rank", "claims").join(vectors.select("id", "vector"), "id")
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        claims = [set(c or ()) for c in table["claims"].to_pylist()]
+        first: list[int] = []
+        for c in sorted(set().union(*claims)):
+            first += [i for i, own in enumerate(claims) if c in own and i not in first][:1]
+        x = np.array(table["vector"].to_pylist(), float)
+        size = np.linalg.norm(x, axis=1)
+        x = x / np.where(size > 0, size, 1)[:, None]
         score = table["score"].to_numpy()
-        alike = np.maximum(x @ x.T, 0)
-        near = np.zeros(len(score))
-        left, taken = list(range(len(score))), []
-        while left and len(taken) < k:
-            gain = weight * score[left] - (1 - weight) * near[left]
-            i = left.pop(int(gain.argmax()))
-            taken.append(i)
-            near = np.maximum(near, alike[i])
+        taken = marginal(score / (score.max() or 1.0), np.maximum(x @ x.T, 0), k, weight, first)
         out = table.take(taken).select(["query_id", "id", "score"])
         return out.append_column("rank", pa.array(range(1, len(taken) + 1), pa.int32()))
 
     return both.groupBy("query_id").applyInArrow(choose, "query_id long, id long, score double, rank int")
 
 
+def first_of_required(found: DataFrame, required: DataFrame, group: str, k: int) -> DataFrame:
+    """query_id, id, group value, rank: the best result of each required group first, by group, then the others by rank; k in all.
+
+    ``found`` is a bounded list per query, ``required`` has query_id and the group column.
+    """
+    best = Window.partitionBy("query_id", group).orderBy("rank")
+    rows = found.join(required.select("query_id", group, F.lit(True).alias("required")).distinct(), ["query_id", group], "left")
+    ahead = (F.row_number().over(best) == 1) & F.coalesce("required", F.lit(False))
+    order = Window.partitionBy("query_id").orderBy(F.desc("ahead"), F.when(F.col("ahead"), F.col(group)), "rank")
+    return rows.withColumn("ahead", ahead).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "id", group, F.col("place").alias("rank"))
+
+
+@F.pandas_udf(T.DoubleType())
+def mean_of_best(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Mean over the tokens of the left of the highest cosine with a token of the right; a token is a list of twice the bucket, plus 1 where the sign is negative, and a zero vector if empty."""
+
+    def matrix(tokens) -> np.ndarray:
+        m = np.zeros((len(tokens), HASH_DIMENSIONS))
+        for i, t in enumerate(tokens):
+            for code in t:
+                m[i, code >> 1] += -1 if code & 1 else 1
+        n = np.linalg.norm(m, axis=1)
+        return m / np.where(n > 0, n, 1)[:, None]
+
+    out = []
+    for a, b in zip(left, right, strict=True):
+        best = np.full(len(a), -1.0)
+        x = matrix(a)
+        for i in range(0, len(b), 2048):
+            best = np.maximum(best, (x @ matrix(b[i : i + 2048]).T).max(axis=1))
+        out.append(float(best.mean()) if len(a) and len(b) else 0.0)
+    return pd.Series(out)
+
+
+def late_interaction(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int, query_tokens: int | None = None, doc_tokens: int | None = None) -> DataFrame:
+    """query_id, id, score, rank: candidates by the mean, over the query's tokens, of the highest cosine with a token of title and text; 0 without tokens.
+
+    Tokens have hashed word vectors. All distinct tokens count, unless a limit is
+    given for those of queries or documents.
+    """
+    first = lambda c, n: F.slice(c, 1, n) if n else c
+    code = lambda b: 2 * b["bucket"] + F.when(b["sign"] < 0, 1).otherwise(0)
+    hashed = lambda c, n: F.transform(first(X.rerank_tokens(c), n), lambda t: F.transform(V.hash_buckets(t, HASH_DIMENSIONS), code))
+    seen = docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    theirs = seen.select(F.col("doc_id").alias("id"), hashed(F.concat_ws("\n", "title", "text"), doc_tokens).alias("theirs"))
+    asked = queries.select("query_id", hashed(F.coalesce("text", F.lit("")), query_tokens).alias("asked"))
+    both = found.select("query_id", "id").join(theirs, "id").join(asked, "query_id")
+    return best_of(both.select("query_id", "id", F.greatest(F.lit(0.0), mean_of_best("asked", "theirs")).alias("score")), k)
+
+
 def redundancy(found: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, redundancy: mean positive cosine over the pairs of a query's results (bounded lists), 0 for a single one."""
     rows = found.select("query_id", "id", "rank").join(vectors, "id")

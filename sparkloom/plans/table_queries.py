@@ -302,18 +302,19 @@ def superseded(spark, sf_dir):
     return M.superseded(table(spark, sf_dir, "memories"))
 
 
-@query(
-    f"""with m as (select distinct on (memory_id) * from memories where content is not null order by memory_id), now as (select max(updated_at) as now from m),
+MEMORY_SCORES = f"""
+m as (select distinct on (memory_id) * from memories where content is not null order by memory_id), now as (select max(updated_at) as now from m),
  act as (select memory_id, memory_type, coalesce(confidence, 0) as confidence, {sql_topic_terms("content")} as terms,
    exp(-ln(2) * greatest(0, epoch_us(now) - epoch_us(updated_at)) / 86400000000.0 / case memory_type when 'task' then 14 when 'artifact' then 30 when 'fact' then 120 when 'decision' then 180 when 'preference' then 365 else 90 end) as recency
   from m, now where not coalesce(list_has_any(list_transform(tags, lambda t: lower(trim(t))), ['completed', 'cancelled', 'obsolete', 'expired']), false) and not coalesce(expires_at <= now, false)
    and coalesce(status not in ('deleted', 'superseded', 'archived', 'pending'), true) and not coalesce(memory_type = 'preference' and confidence < 0.82, false) and not coalesce(confidence < 0.6, false)),
  q as (select doc_id as query_id, {sql_topic_terms("title")} as terms from documents where doc_id % 100 = 0 and title is not null),
- w as (select query_id, len(terms) as n, unnest(terms) as term from q), t as (select memory_id, unnest(terms) as term from act),
- s as (select query_id, memory_id, count(*) / any_value(n) as share from w join t using (term) group by query_id, memory_id),
- r as (select query_id, memory_id as id, 0.75 * share + (0.15 * recency + 0.1 * confidence + case when memory_type in ('preference', 'decision') then 0.05 else 0 end) * least(1, 4 * share) as score from s join act using (memory_id))
- select query_id, id, round(score, 9) as score from r where score > 0.08 qualify row_number() over (partition by query_id order by score desc, id) <= 5"""
-)
+ w as (select query_id, len(terms) as n, unnest(terms) as term from q), held as (select memory_id, unnest(terms) as term from act),
+ s as (select query_id, memory_id, count(*) / any_value(n) as share from w join held using (term) group by query_id, memory_id),
+ r as (select query_id, memory_id as id, 0.75 * share + (0.15 * recency + 0.1 * confidence + case when memory_type in ('preference', 'decision') then 0.05 else 0 end) * least(1, 4 * share) as score from s join act using (memory_id))"""
+
+
+@query(f"with {MEMORY_SCORES} select query_id, id, round(score, 9) as score from r where score > 0.08 qualify row_number() over (partition by query_id order by score desc, id) <= 5")
 def memory_search(spark, sf_dir):
     """Memories for every document whose id is divisible by 100: keywords, recency and confidence, five each."""
     docs = table(spark, sf_dir, "documents").where("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), "title")

@@ -251,3 +251,45 @@ def test_related_memories_against_all_pairs(spark):
     got = M.related(frame).collect()
     assert {r["memory_id"]: (r["class_id"], r["links"]) for r in got} == want and len(got) == len(want)
     assert M.related(frame.limit(0)).collect() == []
+
+
+def test_topic_conflicts_against_all_pairs(spark):
+    from sparkloom.operators import memory as M
+
+    random = np.random.default_rng(3)
+    words = ["plan", "week", "oslo", "rain", "train", "gate", "lamp", "desk", "moss", "fern"]
+    rows = []
+    for i in range(150):
+        own = [words[int(j)] for j in np.minimum(random.geometric(0.2, int(random.integers(0, 7))) - 1, 9)]
+        tags = [None, [], ["topic:a"], ["topic:b", "x"], ["topic:a", "topic:b"]][int(random.integers(0, 5))] if i % 2 else None
+        rows.append((f"m{i:03}", ["decision", "preference", "fact", None][min(3, int(random.integers(0, 5)))], None if i % 30 == 7 else " ".join(own), "active" if i % 9 else "pending", tags, None if i % 20 == 3 else i // 3, i, "clash"))
+    rows += rows[:5] + [(None, "decision", "plan week", "active", None, 1, 1, "x"), ("m900", "decision", " ".join(f"word{i}" for i in range(3000)), "active", None, 5, 1, "x")]
+    frame = spark.createDataFrame(rows, "memory_id string, memory_type string, content string, status string, tags array<string>, created_at long, updated_at long, terms string")
+    items = {r[0]: (r[1], frozenset((r[2] or "").split()), frozenset(t for t in r[4] or () if t.startswith("topic:")), (-1 if r[5] is None else r[5], r[0])) for r in rows if r[0] and r[3] == "active" and r[1] in ("decision", "preference")}
+
+    def one_topic(a, b):
+        if a[2] and b[2]:
+            return bool(a[2] & b[2])
+        return len(a[1] & b[1]) / max(1, min(len(a[1]), len(b[1]))) >= 0.65
+
+    want = {k: max((b[3] for b in items.values() if b[0] == a[0] and b[3] > a[3] and one_topic(a, b)), default=(0, None))[1] for k, a in items.items()}
+    got = M.conflicts(frame).collect()
+    assert {r["memory_id"]: r["superseded_by"] for r in got} == want and len(got) == len(want)
+    assert M.conflicts(frame.limit(0)).collect() == []
+
+
+def test_covering_results(spark):
+    found = spark.createDataFrame([(1, 10, 0.9, 1, None, "a"), (1, 11, 0.8, 2, [2], "a"), (1, 12, 0.7, 3, [0, 2], "a"), (1, 13, 0.6, 4, [], "a"), (2, 10, 0.0, 1, None, "a")], "query_id long, id long, score double, rank int, claims array<int>, vector string")
+    vectors = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [1.0, 0.0]), (13, [0.0, 0.0])], "id long, vector array<double>")
+    got = [(r["query_id"], r["id"], r["rank"]) for r in R.cover(found, vectors, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 12, 1), (1, 11, 2), (1, 13, 3), (2, 10, 1)]
+    assert R.cover(found.limit(0), vectors).collect() == []
+
+
+def test_late_interaction(spark):
+    docs = spark.createDataFrame([(1, "T", "red lamp red", 1), (2, None, None, 2), (3, None, "", 3), (4, None, "blue desk " * 3000, 4), (5, None, "red", 5)], "doc_id long, title string, text string, asked int")
+    queries = spark.createDataFrame([(1, "red lamp"), (2, None)], "query_id long, text string")
+    found = spark.createDataFrame([(q, d, 1.0, d) for q in (1, 2) for d in range(1, 6)], "query_id long, id long, score double, rank int")
+    got = {(r["query_id"], r["id"]): r["score"] for r in R.late_interaction(found, queries, docs, 9).collect()}
+    assert got[1, 1] == pytest.approx(1.0) and got[1, 5] == pytest.approx(0.5) and got[1, 2] == got[1, 3] == 0.0
+    assert len(got) == 10 and all(got[2, d] == 0.0 for d in range(1, 6))
