@@ -323,3 +323,17 @@ def excerpt(text: str | Column, term: str | Column, width: int) -> Column:
     t = col(text)
     at = F.greatest(F.instr(F.lower(t), F.lower(col(term))) - width // 2, F.lit(1))
     return F.substring(t, at, F.lit(width))
+
+
+def merged(base: Column, update: Column) -> Column:
+    """The entries of two maps; of equal keys those of the update. A null map is empty."""
+    empty = F.create_map().cast("map<string,string>")
+    base, update = F.coalesce(base, empty), F.coalesce(update, empty)
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(update, k)), update)
+
+
+def iso_time(time: str | Column) -> Column:
+    """A time as text with its zone (UTC), with microseconds where there are any. Null for null."""
+    t = col(time)
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(F.date_format(t, "SSSSSS") == "000000", "").otherwise(F.date_format(t, ".SSSSSS")), F.lit("+00:00"))

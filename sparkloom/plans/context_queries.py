@@ -15,7 +15,7 @@ from sparkloom.operators import tables as O
 from sparkloom.plans.registry import query
 from sparkloom.plans.retrieval_queries import hybrid
 from sparkloom.plans.text_queries import sql_tokens
-from sparkloom.tables import table, texts
+from sparkloom.tables import stored, table, texts
 
 V = "v as (select vec_id as id, label, embedding::double[] as v from embeddings)"
 
@@ -49,14 +49,22 @@ def reference_start(spark, sf_dir):
  select chunk_id, name from m join n on contains(' ' || body || ' ', ' ' || name || ' ')"""
 )
 def title_mentions(spark, sf_dir):
-    """Chunks that name a document's title: runs of as many words as titles have meet titles in an equi-join, not every pair."""
+    """Chunks that name a document's title: a title is looked for only where its rarest pair of neighbouring words stands, so a text is never laid out in runs of every length."""
     plain = lambda c: F.trim(F.lower(F.regexp_replace(c, f"[^A-Za-z0-9{HAN}]+", " ")))
+    pairs = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    keys = lambda name: X.let(F.split(name, " "), lambda w: F.when(F.size(w) > 1, F.filter(pairs(w), lambda p: F.contains(p, F.lit(" ")))).otherwise(w))
     names = texts(spark, sf_dir).where("title is not null").select(plain("title").alias("name")).where(F.length("name") >= 6).distinct()
-    longest = names.agg(F.coalesce(F.max(F.size(F.split("name", " "))), F.lit(1)).alias("n")).first()["n"]
-    words = table(spark, sf_dir, "chunks").where("text is not null and chunk_id is not null").select("chunk_id", F.split(plain("text"), " ").alias("w")).distinct()
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))))
-    each = words.select("chunk_id", F.explode(F.array_distinct(runs)).alias("name")).where(F.length("name") >= 6)
-    return each.join(names, "name").select("chunk_id", "name").distinct()
+    each = names.select("name", F.explode(F.array_distinct(keys(F.col("name")))).alias("key"))
+    common = each.groupBy("key").agg(F.count("*").alias("titles"))
+    keyed = each.join(common, "key").groupBy("name").agg(F.min_by("key", F.struct("titles", "key")).alias("key"))
+    chunks = stored(texts(spark, sf_dir, "chunks").where("text is not null and chunk_id is not null").select("chunk_id", plain("text").alias("body")).distinct())
+    single = names.where(~F.contains("name", F.lit(" "))).select(F.col("name").alias("key"))
+    split = chunks.select("chunk_id", F.split("body", " ").alias("w"))
+    words = split.select("chunk_id", F.explode(F.array_distinct("w")).alias("key")).join(single, "key", "left_semi")
+    twos = split.select("chunk_id", F.explode(F.array_distinct(F.filter(pairs(F.col("w")), lambda p: F.contains(p, F.lit(" "))))).alias("key"))
+    met = words.unionByName(twos).join(keyed, "key").select("chunk_id", "name").distinct().join(chunks, "chunk_id")
+    blank = F.lit(" ")
+    return met.where(F.contains(F.concat(blank, "body", blank), F.concat(blank, "name", blank))).select("chunk_id", "name").distinct()
 
 
 @query("select memory_id, scope, updated_at from (select distinct memory_id, scope, status, updated_at from memories) where status = 'active' and scope in ('workspace', 'user') order by updated_at desc, memory_id limit 100")

@@ -80,3 +80,25 @@ def test_vectors(spark):
     assert value(spark, V.cosine(a, F.array(F.lit(0.0), F.lit(0.0)))) == 0
     assert value(spark, V.cosine(a, F.array(F.lit(1.0)))) is None
     assert value(spark, V.mean(F.array(a, F.array(F.lit(3.0), F.lit(2.0))))) == [2, 1]
+
+
+def test_sensitive_merged_and_times(spark):
+    from sparkloom.plans.metric_queries import SENSITIVE
+
+    held = ["password: x", "a sk-abcdefghijklmnop", "11010119900101123X", "4111 1111 1111 1111", "OTP is 123456", "验证码：1234", "abc", "", None, "id 12345"]
+    rows = spark.createDataFrame([(t, {"a": "1", "b": "2"} if i % 2 else None, {"b": "3"}) for i, t in enumerate(held)], "t string, base map<string,string>, new map<string,string>")
+    got = rows.select("t", F.col("t").rlike(SENSITIVE).alias("s"), X.merged(F.col("base"), F.col("new")).alias("m")).collect()
+    assert [r["s"] for r in got] == [True] * 6 + [False, False, None, False]
+    assert [r["m"] for r in got[:2]] == [{"b": "3"}, {"a": "1", "b": "3"}]
+    times = spark.sql("select timestamp'2024-01-02 03:04:05' as t union all select timestamp'2024-01-02 03:04:05.000120' union all select null").select(X.iso_time("t").alias("x")).collect()
+    assert {r["x"] for r in times} == {"2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.000120+00:00", None}
+
+
+def test_title_mentions(spark, tmp_path):
+    from sparkloom.plans.context_queries import title_mentions
+
+    spark.createDataFrame([(1, "Ivory Gate Report", "x"), (2, "Ivory Gate", "x"), (3, "Standalone", None), (4, None, "x"), (5, "tiny", "x"), (6, "gate gate gate", "x"), (7, "云杉计划检索手册", "x"), (8, " - ", "x")], "doc_id long, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = [("a", "see the Ivory-Gate report, please", 1), ("b", "ivory gateway standalone", 1), ("c", None, 1), ("d", "", 1), ("e", "x gate gate " * 3000 + "gate", 1), ("f", "云杉计划检索手册 ivory  gate", 1), ("a", "see the Ivory-Gate report, please", 1), (None, "ivory gate", 1)]
+    spark.createDataFrame(chunks, "chunk_id string, text string, name int").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["chunk_id"], r["name"]) for r in title_mentions(spark, str(tmp_path)).collect()}
+    assert got == {("a", "ivory gate report"), ("a", "ivory gate"), ("b", "standalone"), ("e", "gate gate gate"), ("f", "云杉计划检索手册"), ("f", "ivory gate")}
