@@ -13,7 +13,7 @@ from sparkloom.operators import memory as M
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tables as O
 from sparkloom.plans.registry import query
-from sparkloom.plans.retrieval_queries import hybrid
+from sparkloom.plans.retrieval_queries import HYBRID, hybrid
 from sparkloom.plans.text_queries import sql_tokens
 from sparkloom.tables import stored, table, texts
 
@@ -296,12 +296,12 @@ def asset_summary(spark, sf_dir):
     return rows.groupBy("asset_id").agg(F.countDistinct("region_id").alias("regions"), F.countDistinct("page_number").alias("pages"), F.round(F.avg("confidence"), 9).alias("confidence"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+@query(f"with {HYBRID}, b as (select *, max(score) over (partition by query_id) as best from hybrid) select query_id, id, round(score, 9) as score, rank from b where score >= 0.75 * best and rank <= 3")
 def threshold_and_floor(spark, sf_dir):
     """Results of the hybrid search that reach three quarters of their query's best score, three at most."""
     found = hybrid(spark, sf_dir)[3]
     best = found.withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
-    return best.where("score >= 0.75 * best and rank <= 3").select("query_id", "id", "score", "rank")
+    return best.where("score >= 0.75 * best and rank <= 3").select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
 @query("select doc_id, substring(coalesce(text, ''), 1, 2000) as summary, length(coalesce(text, '')) > 2000 as more from documents")

@@ -10,8 +10,9 @@ from sparkloom.functions.vectors import doubles
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tables as O
 from sparkloom.operators.ordered import with_neighbours
-from sparkloom.plans.ranking_queries import NONE, PAIRS, VECTORS, sql_marginal
+from sparkloom.plans.ranking_queries import PAIRS, VECTORS
 from sparkloom.plans.registry import query
+from sparkloom.plans.retrieval_queries import NONE, sql_marginal
 from sparkloom.tables import stored, table, texts
 
 CALLS = "calls as (select distinct on (event_id) * from usage_events order by event_id, received_at)"

@@ -9,7 +9,7 @@ from sparkloom.functions.vectors import doubles
 from sparkloom.operators import memory as M
 from sparkloom.operators import retrieval as R
 from sparkloom.plans.registry import query
-from sparkloom.plans.retrieval_queries import BM25, _bm25
+from sparkloom.plans.retrieval_queries import BM25, NONE, _bm25, sql_marginal, sql_rerank_tokens
 from sparkloom.plans.table_queries import MEMORY_SCORES
 from sparkloom.plans.text_queries import sql_topic_terms
 from sparkloom.tables import stored, table, texts
@@ -20,22 +20,6 @@ VECTORS = """v as (select vec_id as id, label, embedding::double[] as v from emb
 PAIRS = "p as (select a.query_id, a.id, b.id as other, greatest(0, list_cosine_similarity(x.v, y.v)) as alike from t a join t b on a.query_id = b.query_id and a.id <> b.id join v x on x.id = a.id join v y on y.id = b.id)"
 
 
-def sql_marginal(start: str, k: int, weight: float, score: str = "score") -> str:
-    """Steps m1 to mk of maximal marginal relevance over t (query_id, id, score, rank) and p (query_id, id, other, alike), after the rows of ``start``."""
-    steps = [f"m0 as ({start})"]
-    for i in range(1, k + 1):
-        steps.append(f"""m{i} as (select * from m{i - 1} union all select query_id, id, place from (
-   select t.query_id, t.id, t.rank, any_value(c.n) + 1 as place, {weight} * any_value({score}) - (1 - {weight}) * coalesce(max(alike), 0) as gain
-   from t left join (select query_id, count(*) as n from m{i - 1} group by query_id) c0 using (query_id) cross join lateral (select coalesce(c0.n, 0) as n) c
-   left join (select p.query_id, p.id, p.alike from p join m{i - 1} m on m.query_id = p.query_id and m.id = p.other) x on x.query_id = t.query_id and x.id = t.id
-   where c.n < {k} and not exists (select 1 from m{i - 1} y where y.query_id = t.query_id and y.id = t.id) group by t.query_id, t.id, t.rank)
-  qualify row_number() over (partition by query_id order by gain desc, rank) = 1)""")
-    return ",\n ".join(steps)
-
-
-NONE = "select query_id, id, 0 as place from t where false"
-
-
 def _vectors(spark, sf_dir):
     """Vectors with their labels, and the 20 nearest of every vector whose id is divisible by 100."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", doubles("embedding").alias("vector"))
@@ -79,11 +63,6 @@ def covering_mmr(spark, sf_dir):
     return R.cover(found.join(own, "query_id").withColumn("claims", claim), rows, 5).select("query_id", "id", "rank")
 
 
-def sql_rerank_tokens(x: str) -> str:
-    pairs = f"flatten(list_transform(regexp_extract_all(lower({x}), '[{HAN}]{{3,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))"
-    return f"list_distinct(list_concat(regexp_extract_all(lower({x}), '[a-z][a-z0-9_.+-]+|[{HAN}]{{2,}}'), {pairs}))"
-
-
 @query(
     rf"""with {BM25.replace("rank <= 30", "rank <= 5")},
  d as (select doc_id, unnest({sql_rerank_tokens("concat_ws(chr(10), title, text)")}) as token from documents where doc_id in (select id from bm25 union select query_id from bm25)),

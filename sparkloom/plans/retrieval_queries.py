@@ -34,6 +34,58 @@ scored as (
   from q join tf using (term) join df using (term) join docs d on d.id = tf.id cross join stats group by q.query_id, tf.id),
 bm25 as (select *, row_number() over (partition by query_id order by score desc, id) as rank from scored qualify rank <= 30)"""
 
+#: Hybrid search: hashed word vectors as whole numbers per bucket, so that equal texts have equal scores; their 30 nearest fused with BM25.
+HYBRID = rf"""{BM25},
+hv as (
+  select doc_id, ('0x' || substring(sha256(w), 1, 8))::bigint % 384 as bucket, sum(case when ('0x' || substring(sha256(w), 9, 2))::bigint % 2 = 0 then 1 else -1 end)::bigint as x
+  from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_一-鿿]+')) as w from documents) group by all),
+nv as (select doc_id, sum(x * x)::bigint as n from hv group by doc_id having sum(x * x) > 0),
+near as (
+  select a.doc_id as query_id, b.doc_id as id, sum(a.x * b.x)::bigint as dot from hv a join hv b using (bucket) where a.doc_id in (select query_id from q) group by all),
+hd as (
+  select query_id, id, row_number() over (partition by query_id order by dot / sqrt(a.n * b.n::double) desc, id) as rank
+  from near join nv a on a.doc_id = query_id join nv b on b.doc_id = id where dot / sqrt(a.n * b.n::double) > 0.08 qualify rank <= 30),
+fused as (
+  select query_id, id, sum(1.0::double / (60 + rank)) as score, max(case when channel = 'bm25' then rank end) as bm25_rank, max(case when channel = 'dense' then rank end) as dense_rank
+  from (select query_id, id, rank, 'bm25' as channel from bm25 union all select query_id, id, rank, 'dense' from hd) group by query_id, id),
+hybrid as (select *, row_number() over (partition by query_id order by score desc, id) as rank from fused qualify rank <= 30)"""
+
+
+def sql_marginal(start: str, k: int, weight: float, score: str = "score") -> str:
+    """Steps m1 to mk of maximal marginal relevance over t (query_id, id, score, rank) and p (query_id, id, other, alike), after the rows of ``start``."""
+    steps = [f"m0 as ({start})"]
+    for i in range(1, k + 1):
+        steps.append(f"""m{i} as (select * from m{i - 1} union all select query_id, id, place from (
+   select t.query_id, t.id, t.rank, any_value(c.n) + 1 as place, {weight} * any_value({score}) - (1 - {weight}) * coalesce(max(alike), 0) as gain
+   from t left join (select query_id, count(*) as n from m{i - 1} group by query_id) c0 using (query_id) cross join lateral (select coalesce(c0.n, 0) as n) c
+   left join (select p.query_id, p.id, p.alike from p join m{i - 1} m on m.query_id = p.query_id and m.id = p.other) x on x.query_id = t.query_id and x.id = t.id
+   where c.n < {k} and not exists (select 1 from m{i - 1} y where y.query_id = t.query_id and y.id = t.id) group by t.query_id, t.id, t.rank)
+  qualify row_number() over (partition by query_id order by gain desc, rank) = 1)""")
+    return ",\n ".join(steps)
+
+
+NONE = "select query_id, id, 0 as place from t where false"
+
+
+def sql_rerank_tokens(x: str) -> str:
+    pairs = f"flatten(list_transform(regexp_extract_all(lower({x}), '[{HAN}]{{3,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))"
+    return f"list_distinct(list_concat(regexp_extract_all(lower({x}), '[a-z][a-z0-9_.+-]+|[{HAN}]{{2,}}'), {pairs}))"
+
+
+RERANKED = rf"""{HYBRID},
+bodies as (select doc_id as id, lower(concat_ws(chr(10), title, text)) as body, {sql_rerank_tokens("coalesce(title, '')")} as names from documents where doc_id in (select id from hybrid)),
+padded as (select *, ' ' || regexp_replace(body, '[^a-z0-9]+', ' ', 'g') || ' ' as words from bodies),
+wants as (select doc_id as query_id, {sql_rerank_tokens("text")} as wanted, array_to_string(regexp_extract_all(lower(text), '[a-z0-9_.+-]+'), ' ') as phrase from documents where doc_id in (select query_id from q)),
+held as (
+  select query_id, id, count(*) as held from (select query_id, unnest(wanted) as t from wants) join hybrid using (query_id) join padded using (id)
+  where case when regexp_full_match(t, '[a-z0-9]+') then contains(words, ' ' || t || ' ') when not contains(body, t) then false
+   when regexp_full_match(t, '[a-z0-9_.+-]+') then regexp_matches(body, '(^|[^a-z0-9])' || regexp_escape(t) || '([^a-z0-9]|$)') else true end group by all),
+rescored as (
+  select query_id, id, h.score as before, least(1.0::double, 0.72::double * (coalesce(held, 0) / greatest(1, len(wanted))) + 0.16::double * (len(list_intersect(names, wanted)) / greatest(1, len(wanted)))
+    + case when length(phrase) >= 6 and contains(body, phrase) then 0.12::double else 0 end) as score
+  from hybrid h join padded using (id) join wants using (query_id) left join held using (query_id, id)),
+reranked as (select query_id, id, score, row_number() over (partition by query_id order by score desc, before desc, id) as rank from rescored qualify rank <= 12)"""
+
 
 def _bm25(spark, sf_dir, k=30):
     docs = texts(spark, sf_dir)
@@ -89,10 +141,11 @@ def hybrid(spark, sf_dir, k=30):
     return docs, queries, vectors, stored(R.fuse(channels, k))
 
 
-@query()
+@query(f"with {HYBRID} select query_id, id, round(score, 9) as score, bm25_rank, dense_rank, rank from hybrid")
 def hybrid_search(spark, sf_dir):
     """Fusion of sparse and dense search with the ranks of both."""
-    return hybrid(spark, sf_dir)[3]
+    found = hybrid(spark, sf_dir)[3]
+    return found.select("query_id", "id", F.round("score", 9).alias("score"), *[F.col("ranks")[c].alias(f"{c}_rank") for c in ("bm25", "dense")], "rank")
 
 
 @query(
@@ -110,17 +163,22 @@ def rrf_fusion(spark, sf_dir):
     return R.fuse(channels, 20).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"with {RERANKED} select query_id, id, round(score, 9) as score, rank from reranked")
 def lexical_rerank(spark, sf_dir):
     docs, queries, _, found = hybrid(spark, sf_dir)
-    return R.rerank(found, queries, docs, 12)
+    return R.rerank(found, queries, docs, 12).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
 
 
-@query()
+@query(
+    f"""with {RERANKED}, t as (select r.* from reranked r),
+ p as (select a.query_id, a.id, b.id as other, greatest(0, coalesce((select sum(x.x * y.x)::double from hv x join hv y on x.bucket = y.bucket where x.doc_id = a.id and y.doc_id = b.id), 0) / sqrt(na.n * nb.n::double)) as alike
+  from t a join t b on a.query_id = b.query_id and a.id <> b.id join nv na on na.doc_id = a.id join nv nb on nb.doc_id = b.id),
+ {sql_marginal(NONE, 5, 0.72)} select query_id, id, round(t.score, 9) as score, place as rank from m5 join t using (query_id, id)"""
+)
 def diversified(spark, sf_dir):
     """The whole retrieval: recall, fusion, reranking and diversification."""
     docs, queries, vectors, found = hybrid(spark, sf_dir)
-    return R.diversify(R.rerank(found, queries, docs, 12), vectors, 5)
+    return R.diversify(R.rerank(found, queries, docs, 12), vectors, 5).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -178,7 +236,17 @@ def parent_expansion(spark, sf_dir):
     return both.select("chunk_id", F.coalesce("parent", "text").alias("context"), F.col("parent").isNotNull().alias("expanded"))
 
 
-@query()
+def sql_query_terms(x: str) -> str:
+    pairs = f"flatten(list_transform(regexp_extract_all(lower({x}), '[{HAN}]{{3,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substring(r, i, 2))))"
+    return f"list_distinct(list_concat(regexp_extract_all(lower({x}), '[a-z0-9_]{{2,}}|[{HAN}]{{2,}}'), {pairs}))"
+
+
+@query(
+    f"""with {HYBRID}, s as (select doc_id as id, {sql_sentences("text")} as s from documents where doc_id in (select id from hybrid where rank <= 5)),
+ w as (select doc_id as query_id, {sql_query_terms("text")} as wanted from documents where doc_id in (select query_id from q)),
+ e as (select query_id, id, rank, i, s, len(list_intersect({sql_query_terms("s[i]")}, wanted)) as hits from hybrid join s using (id) join w using (query_id), unnest(range(1, len(s) + 1)) as r(i) where rank <= 5)
+ select query_id, id, rank, hits::int as hits, concat_ws(' ', s[i], s[i + 1]) as excerpt from e qualify row_number() over (partition by query_id, id order by hits desc, i) = 1"""
+)
 def best_sentences(spark, sf_dir):
     """Of every result of the hybrid search the sentence with most query terms, and the one after it."""
     docs, queries, _, found = hybrid(spark, sf_dir, 5)

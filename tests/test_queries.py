@@ -23,5 +23,5 @@ def test_query(spark, data, con, name):
 def test_entry_runs(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["query_id", "id", "score", "ranks", "rank"]
+    assert __spark_entry__.entry(spark).columns == ["query_id", "id", "score", "bm25_rank", "dense_rank", "rank"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
