@@ -13,8 +13,8 @@ from sparkloom.operators import memory as M
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tables as O
 from sparkloom.plans.registry import query
-from sparkloom.plans.retrieval_queries import HYBRID, hybrid
-from sparkloom.plans.text_queries import sql_tokens
+from sparkloom.plans.retrieval_queries import HYBRID, hybrid, sql_query_terms
+from sparkloom.plans.text_queries import sql_sentences, sql_tokens
 from sparkloom.tables import stored, table, texts
 
 V = "v as (select vec_id as id, label, embedding::double[] as v from embeddings)"
@@ -182,15 +182,30 @@ def packets(spark, sf_dir):
     return both.select(F.col("session").alias("request"), F.col("message_id").alias("packet_id"), (F.col("created_at") == F.col("now")).alias("required"), F.lit(10).alias("priority"), F.least(F.lit(1.0), F.length("content") / 200.0).alias("relevance"), F.exp(-age / 30).alias("recency"), X.token_estimate("content").cast("long").alias("tokens"))
 
 
-@query()
+PACKETS = f"""
+first as (select distinct on (message_id) message_id, lower(trim(session_id)) as request, created_at, content from session_messages
+  where message_id is not null and session_id is not null and created_at is not null order by message_id, ingested_at, coalesce(role, ''), session_id),
+own as (select *, max(created_at) over (partition by request) as now from first where content is not null),
+packets as (select request, message_id as packet_id, created_at = now as required, least(1.0::double, length(content) / 200.0::double) as relevance, ({sql_tokens("content")})::bigint as tokens,
+  0.7::double * least(1.0::double, length(content) / 200.0::double) + 0.3::double * exp(-((epoch_us(now) - epoch_us(created_at)) / 86400000000.0::double) / 30) + 10::double / 1000 as value from own),
+listed as (select request, list({{'id': packet_id, 'n': tokens}} order by required desc, case when required then 10::double else value end desc, packet_id) as l from packets group by request),
+sums as (select request, list_reduce(list_prepend([0::bigint], list_transform(l, lambda x: [x.n])), lambda a, b: list_append(a, case when list_sum(a) + b[1] <= 304 then b[1] else 0 end)) as taken, l from listed),
+chosen as (select request, l[i].id as packet_id, l[i].n as tokens, taken[i + 1] = l[i].n as kept, list_sum(taken)::bigint as used from sums, unnest(range(1, len(l) + 1)) as r(i))"""
+
+
+@query(f"with {PACKETS} select request, packet_id, kept, used from chosen")
 def context_selection(spark, sf_dir):
     """The messages of each session that fit a prompt of 400 tokens."""
     return C.select(packets(spark, sf_dir), 400).select("request", "packet_id", "kept", "used")
 
 
-@query()
+@query(
+    f"""with {PACKETS} select request, count(*) as packets, sum(kept::int) as kept, sum(c.tokens) as tokens, coalesce(sum(c.tokens) filter (kept), 0) as kept_tokens, round(avg(relevance) filter (kept), 9) as mean_relevance,
+ sum((not kept and required)::int) as lost, round(case when sum(c.tokens) > 0 then coalesce(sum(c.tokens) filter (kept), 0) / sum(c.tokens) else 0 end, 9) as ratio from chosen c join packets using (request, packet_id) group by request"""
+)
 def context_quality(spark, sf_dir):
-    return C.quality(C.select(packets(spark, sf_dir), 400))
+    out = C.quality(C.select(packets(spark, sf_dir), 400))
+    return out.withColumn("mean_relevance", F.round("mean_relevance", 9)).withColumn("ratio", F.round("ratio", 9))
 
 
 @query(
@@ -217,7 +232,13 @@ def grounded_chunks(spark, sf_dir):
     return chunks.join(parents, "parent_chunk_id").select("chunk_id", F.round(X.lexical_fraction(X.query_terms("text"), "source"), 9).alias("share"))
 
 
-@query()
+@query(
+    f"""with c as (select distinct chunk_id, parent_chunk_id, text from chunks where text is not null), p as (select distinct parent_chunk_id, lower(coalesce(text, '')) as source from parent_chunks),
+ s as (select chunk_id, source, {sql_sentences("c.text")} as s from c join p using (parent_chunk_id)),
+ e as (select chunk_id, source, (i - 1)::int as claim_no, s[i] as claim, {sql_query_terms("s[i]")} as terms from s, unnest(range(1, len(s) + 1)) as r(i)),
+ f as (select *, case when len(terms) > 0 then len(list_filter(terms, lambda t: contains(source, t))) / len(terms) else 0 end as share from e)
+ select chunk_id, claim_no, claim, round(share, 9) as share from f where share < 0.5"""
+)
 def unsupported_claims(spark, sf_dir):
     """Sentences of chunks that their parents do not support."""
     chunks = table(spark, sf_dir, "chunks").where("text is not null").select("chunk_id", "parent_chunk_id", F.col("text").alias("summary")).distinct()

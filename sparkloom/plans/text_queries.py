@@ -60,7 +60,13 @@ def text_quality(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", F.round(T.quality_score("text"), 9).alias("score"))
 
 
-@query()
+@query(
+    rf"""with t as (select doc_id, length(text) as n_chars, {sql_strip("text")} as t from documents where text is not null), c as (select doc_id, n_chars, length(t) as n,
+ length(regexp_replace(t, '[^\x{{e000}}-\x{{f8ff}}\x{{0f00}}-\x{{0fff}}]', '', 'g')) as rare, length(regexp_replace(t, '[^\x{{0530}}-\x{{1cff}}\x{{a000}}-\x{{abff}}]', '', 'g')) as exotic,
+ length(regexp_replace(t, '[^\x{{e000}}-\x{{f8ff}}\x{{0f00}}-\x{{0fff}}\x{{0}}-\x{{8}}\x{{e}}-\x{{1b}}\x{{fffd}}]', '', 'g')) as bad3,
+ length(regexp_replace(t, '[^{WS}\x{{c}}\x{{21}}-\x{{7e}}{HAN}\x{{3040}}-\x{{30ff}}\x{{ac00}}-\x{{d7af}}\x{{ff00}}-\x{{ffef}}\p{{Nd}}\x{{2010}}-\x{{2027}}\x{{2030}}-\x{{205e}}\x{{3001}}-\x{{303f}}\x{{b7}}]', '', 'g')) as good from t)
+ select doc_id, n_chars from c where n >= 40 and (rare / n > 0.03 or exotic / n > 0.08 or good / (n + 2 * bad3) < 0.62)"""
+)
 def garbled_documents(spark, sf_dir):
     return texts(spark, sf_dir).where(T.is_garbled("text")).select("doc_id", F.length("text").alias("n_chars"))
 
@@ -165,7 +171,16 @@ def text_urls(spark, sf_dir):
     return rows.select("doc_id", T.canonical_url("url").alias("url")).distinct()
 
 
-@query()
+def sql_entities(x: str) -> str:
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{sign}')"
+    return x
+
+
+@query(
+    rf"""with d as (select doc_id, text, regexp_replace(regexp_replace(text, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?i)<(?:br|/p|/div|/tr|/li|/h[1-6])\b[^>]*>', chr(10), 'g') as t from documents where contains(lower(source_type), 'htm'))
+ select doc_id, regexp_replace({sql_strip("regexp_replace(t, '<[^>]+>', ' ', 'g')")}, '[ \t]+', ' ', 'g') as text, {sql_collapse(sql_entities("regexp_replace(text, '<[^>]+>', '', 'g')"))} as flat from d"""
+)
 def html_plain(spark, sf_dir):
     """Web pages of the corpus as text, with their first heading."""
     docs = texts(spark, sf_dir).where(F.lower("source_type").contains("htm"))
