@@ -3,6 +3,7 @@ import random
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -293,3 +294,49 @@ def test_late_interaction(spark):
     got = {(r["query_id"], r["id"]): r["score"] for r in R.late_interaction(found, queries, docs, 9).collect()}
     assert got[1, 1] == pytest.approx(1.0) and got[1, 5] == pytest.approx(0.5) and got[1, 2] == got[1, 3] == 0.0
     assert len(got) == 10 and all(got[2, d] == 0.0 for d in range(1, 6))
+
+
+def test_bm25_in_blocks_and_small_parts_keeps_ties(spark, monkeypatch):
+    """Blocks of queries, parts of few rows and lookups of few pairs give what all pairs give; copies of a text rank by id."""
+    words = [f"w{i}" for i in range(12)]
+    texts_ = [" ".join(words[(i * j + i // 7) % 12] for j in range(1, 2 + i % 6)) for i in range(90)]
+    docs = spark.createDataFrame([(i, texts_[i % 45] if i else None, None) for i in range(90)], "doc_id long, text string, title string")
+    whole = sorted(map(tuple, R.bm25(docs, R.query_set(docs, 10), 90).collect()))
+    assert len(whole) > 9 * 30
+    monkeypatch.setattr(R, "CELLS", 64)
+    monkeypatch.setattr(R, "PAIRS", 5)
+    out = sorted(map(tuple, R.bm25(docs, R.query_set(docs, 10), 4, block=2).collect()))
+    assert out == [r for r in whole if r[3] <= 4]
+    by_query = {q: sorted((-s, i) for p, i, s, _ in whole if p == q) for q, *_ in whole}
+    assert all([i for _, i in found] == [i for q, i, _, _ in sorted(whole, key=lambda r: r[3]) if q == p] for p, found in by_query.items())
+
+
+def test_sparse_search_shuffles_no_pair_per_match(spark):
+    """Every document matches every query; what meets in a shuffle are the best rows of the tasks."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('alpha beta gamma ', id % 50) as text", "'' as title")
+    found = R.bm25(docs, R.query_set(docs), 5)
+    assert found.count() == 30 * 5
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_hash_vectors_need_no_object_per_word():
+    """Lists of (bucket, sign) arrive as Arrow columns; null and empty lists give zeros."""
+    buckets = pa.array([None, [], [{"bucket": 3, "sign": 1.0}, {"bucket": 3, "sign": 1.0}, {"bucket": 383, "sign": -1.0}]] * 2, pa.list_(pa.struct([("bucket", pa.int32()), ("sign", pa.float64())])))
+    out = R.spread.func(buckets.slice(2)).to_pylist()
+    assert [sum(map(abs, v)) == 0 for v in out] == [False, True, True, False]
+    assert [(i, x) for i, x in enumerate(out[3]) if x] == [(3, 2.0), (383, -1.0)]
+
+
+def test_equal_texts_have_equal_cosines():
+    """Copies of a text tie to the last bit wherever they stand among the rows, so that their ids decide."""
+    rng = np.random.default_rng(3)
+    own, queries = rng.integers(-9, 10, (7, 384)).astype(float), rng.integers(-9, 10, (5, 384)).astype(float)
+    rows = np.repeat(own, 300, axis=0)[rng.permutation(2100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2100)), pa.array(rows.tolist(), pa.list_(pa.float64())), pa.nulls(2100, pa.string())], names=["id", "vector", "group"])
+    asked = R.Asked([(i, q.tolist(), None) for i, q in enumerate(queries)])
+    (out,) = asked.best([batch], 2100, 0.0, "all", pa.string())
+    for q in range(5):
+        got = [(i, s) for p, i, s in zip(*(out.column(c).to_pylist() for c in ("query_id", "id", "score")), strict=True) if p == q]
+        assert all(s == (x := int(rows[i] @ queries[q])) / float(int(rows[i] @ rows[i]) * int(queries[q] @ queries[q])) ** 0.5 and x > 0 for i, s in got)
+        assert got == sorted(got, key=lambda r: (-r[1], r[0]))
