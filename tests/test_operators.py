@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkloom.functions import vectors as V
 from sparkloom.operators import blocks as B
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tables as O
@@ -320,12 +321,16 @@ def test_sparse_search_shuffles_no_pair_per_match(spark):
     assert "Join" not in plan and "MapInArrow" in plan
 
 
-def test_hash_vectors_need_no_object_per_word():
-    """Lists of (bucket, sign) arrive as Arrow columns; null and empty lists give zeros."""
-    buckets = pa.array([None, [], [{"bucket": 3, "sign": 1.0}, {"bucket": 3, "sign": 1.0}, {"bucket": 383, "sign": -1.0}]] * 2, pa.list_(pa.struct([("bucket", pa.int32()), ("sign", pa.float64())])))
-    out = R.spread.func(buckets.slice(2)).to_pylist()
-    assert [sum(map(abs, v)) == 0 for v in out] == [False, True, True, False]
-    assert [(i, x) for i, x in enumerate(out[3]) if x] == [(3, 2.0), (383, -1.0)]
+def test_hash_vectors_hash_each_word_once(spark):
+    """Vectors are the sums of the buckets and signs of all words; null and wordless texts give zeros."""
+    docs = spark.createDataFrame([(1, "One two, TWO three_4 十六 Σίσυφος"), (2, None), (3, "?!"), (4, "two " * 9)], "doc_id long, text string")
+    got = {r["id"]: r["vector"] for r in R.hash_vectors(docs).collect()}
+    for r in docs.select("doc_id", V.hash_buckets(F.coalesce("text", F.lit(""))).alias("b")).collect():
+        want = np.zeros(384)
+        for x in r["b"]:
+            want[x["bucket"]] += x["sign"]
+        assert got[r["doc_id"]] == want.tolist()
+    assert not any(got[2] + got[3]) and sum(map(abs, got[4])) == 9
 
 
 def test_equal_texts_have_equal_cosines():
