@@ -18,6 +18,10 @@ ENDED = ["completed", "cancelled", "obsolete", "expired"]
 TYPE_BONUS = {"preference": 0.05, "decision": 0.05}
 #: Shared terms, as a share of the shorter list, that make two items one topic; weight of relevance against likeness.
 SAME_TOPIC, MMR_WEIGHT = 0.65, 0.7
+#: Classes of memories in a slice, two of which a task compares.
+SLICE = 16384
+#: Tasks at most in which slices meet; a task may hold several pairs of slices, one after the other.
+TASKS = 10000
 
 
 def half_life() -> Column:
@@ -99,30 +103,62 @@ def conflicts(memories: DataFrame) -> DataFrame:
 def related(memories: DataFrame, least: int = 3) -> DataFrame:
     """memory_id, class_id, links: of every active memory the class of those with the same words and type, named by its least id, and how many other memories of its type share ``least`` words or more with it.
 
-    Classes meet, not their copies. Of two lists of words, each sorted by rarity,
-    that share ``least``, the first shared word stands in both before the last
-    ``least`` - 1; so only these are joined, a pair is kept at its first shared
-    word, and the most common words, which end the lists, join nothing. Memories
-    with less words have no links; those without content are left out.
+    Classes meet, not their copies, in slices of SLICE by hash, every two of a type
+    once. A task counts the shared words of one class with a whole slice by the
+    lists of those that hold each word, so no pair leaves it; what is shuffled are
+    the slices and a number per class and pair of slices. Memories with less words
+    have no links; those without content are left out.
     """
     active = memories.where("content is not null and status = 'active' and memory_id is not null")
     one = active.groupBy("memory_id").agg(F.max_by(F.struct("memory_type", "content"), F.struct("updated_at", "content")).alias("m")).select("memory_id", "m.*")
     worded = stored(one.select("memory_id", F.coalesce("memory_type", F.lit("")).alias("kind"), F.array_sort(F.array_distinct(X.matches(F.lower("content"), "[a-z][a-z0-9_.+-]{2,}"))).alias("words")))
     classes = stored(worded.groupBy("kind", "words").agg(F.min("memory_id").alias("class_id"), F.count("*").alias("copies")))
-    each = classes.where(F.size("words") >= least).select("kind", "class_id", F.explode("words").alias("word"))
-    df = each.groupBy("kind", "word").agg(F.count("*").alias("df"))
-    ranked = each.join(df, ["kind", "word"]).groupBy("kind", "class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("ranked"))
-    ranked = stored(ranked.join(classes.select("class_id", "kind", "copies"), ["kind", "class_id"]))
-    first = ranked.select("*", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - (least - 1))).alias("word"))
-    a, b = first.alias("a"), first.alias("b")
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.class_id") != F.col("b.class_id")))
-    both = F.array_intersect("a.ranked", "b.ranked")  # in the order of rarity
-    links = met.where((F.size(both) >= least) & (F.get(both, F.lit(0)) == F.col("a.word"))).groupBy("a.kind", "a.class_id").agg(F.sum("b.copies").alias("others"))
+    ready = classes.where(F.size("words") >= least)
+    slices = ready.groupBy("kind").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    ready = ready.join(slices, "kind").withColumn("own", F.pmod(F.xxhash64("class_id"), "slices").cast("int"))
+    pairs = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    meet = pairs.select("kind", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("right"), "class_id", "copies", "words")
+    # small data and long work: a task for each two slices, not one for so many bytes
+    groups = slices.agg(F.coalesce(F.sum(F.col("slices") * (F.col("slices") + 1) / 2), F.lit(0)).cast("long")).first()[0]
+    meet = meet.repartition(max(1, min(groups, TASKS)), "kind", "a", "b")
+    links = meet.groupBy("kind", "a", "b").applyInArrow(lambda t: sharing(t, least), "kind string, class_id string, others long").groupBy("kind", "class_id").agg(F.sum("others").alias("others"))
     own = F.when(F.size("words") >= least, F.col("copies") - 1).otherwise(0)
     counts = classes.join(links, ["kind", "class_id"], "left").select("kind", "words", "class_id", (own + F.coalesce("others", F.lit(0))).alias("links"))
     return worded.join(counts, ["kind", "words"]).select("memory_id", "class_id", "links")
 
 
+def sharing(table: pa.Table, least: int) -> pa.Table:
+    """kind, class_id, others: the copies of the other slice's classes that share ``least`` words or more with each; of the same slice if there is no other.
+
+    Counted per class of the left: a word's classes on the right are a stretch of one list.
+    """
+    table = table.combine_chunks()
+    right, copies = table["right"].to_numpy(zero_copy_only=False), table["copies"].to_numpy()
+    lists = table["words"].combine_chunks()
+    codes = lists.flatten().dictionary_encode()
+    width, codes, many = len(codes.dictionary), codes.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(right)), many)
+    alone = table["a"][0] == table["b"][0]
+    left, side = np.flatnonzero(~right), np.flatnonzero(~right if alone else right)
+    place = np.zeros(len(right), np.int64)
+    place[side] = np.arange(len(side))
+    there = np.ones(len(row), bool) if alone else right[row]
+    order = np.flatnonzero(there)[np.argsort(codes[there], kind="stable")]
+    holders, first = place[row[order]], np.searchsorted(codes[order], np.arange(width + 1))
+    starts, others, weights = np.concatenate([[0], np.cumsum(many)]), np.zeros(len(right), np.int64), copies[side]
+    back = np.zeros(len(side), np.int64)
+    for i in left:
+        found = [holders[first[c] : first[c + 1]] for c in codes[starts[i] : starts[i + 1]]]
+        hit = np.flatnonzero(np.bincount(np.concatenate(found), minlength=len(side)) >= least)
+        others[i] += weights[hit].sum()
+        back[hit] += copies[i]
+    if alone:  # each class has met itself
+        others -= copies
+    else:
+        others[side] += back
+    return pa.table({"kind": table["kind"], "class_id": table["class_id"], "others": pa.array(others)})
+
+
 def search(queries: DataFrame, text: str, memories: DataFrame, k: int = 5) -> DataFrame:
     """query_id, id (memory_id), score, rank: active memories by the share of the query's terms that they hold, then recency and confidence.
 

@@ -345,3 +345,18 @@ def test_equal_texts_have_equal_cosines():
         got = [(i, s) for p, i, s in zip(*(out.column(c).to_pylist() for c in ("query_id", "id", "score")), strict=True) if p == q]
         assert all(s == (x := int(rows[i] @ queries[q])) / float(int(rows[i] @ rows[i]) * int(queries[q] @ queries[q])) ** 0.5 and x > 0 for i, s in got)
         assert got == sorted(got, key=lambda r: (-r[1], r[0]))
+
+
+def test_related_memories_meet_in_slices(spark, monkeypatch):
+    """Slices of a few classes give the links of one; no join makes pairs of memories that share a common word."""
+    from sparkloom.operators import memory as M
+
+    words = ["the", "plan", "for", "week", "tea", "oslo", "rain"]
+    rows = [(f"m{i:03}", ["fact", "task"][i % 2], " ".join(w for j, w in enumerate(words) if (i * 37 >> j) & 1), "active", i) for i in range(150)]
+    frame = spark.createDataFrame(rows, "memory_id string, memory_type string, content string, status string, updated_at long")
+    sets = {r[0]: (r[1], frozenset(r[2].split())) for r in rows}
+    want = {a: sum(b != a and k == kind and len(own & o) >= 3 for b, (k, o) in sets.items()) for a, (kind, own) in sets.items()}
+    monkeypatch.setattr(M, "SLICE", 9)
+    out = M.related(frame)
+    assert {r["memory_id"]: r["links"] for r in out.collect()} == want
+    assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
