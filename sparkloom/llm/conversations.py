@@ -4,22 +4,33 @@ Messages are numbered inside their session without ever sorting a session in
 one task. Every message is then linked to the one that it most likely answers.
 Candidate parents are scored by time, mentions and shared words, at any
 distance: the latest message before of each speaker (every other of that speaker
-is further off in time), all messages that share a word which is telling in the
-session, the message that reply_to names, and those whose id or handle the text
-mentions. Links form trees; their roots are found inside blocks first, then over
+is further off in time), all messages that share a word, the message that reply_to
+names, and those whose id or handle the text mentions. Links form trees; their roots are found inside blocks first, then over
 blocks by pointer doubling. A conversation is judged by its trees.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ordered import with_running
 from sparkloom.tables import stored
 
-#: A word that no more than so many messages of a session hold is telling there; commoner ones are no evidence for any link.
+#: Messages of a session meet word by word if no word is held by more than so many of them; else every two are compared.
 TELLING = 8
+#: Turns of a slice, every two of which are compared in one task; rows of it at a time; words that so many pairs share, so many at a time, are counted as a product of matrices.
+SLICE = 2048
+ROWS = 256
+DENSE = 64
+COLUMNS = 256
+#: Unit of the weights of words: sums of up to 8,192 are exact.
+GRAIN = 2.0**-40
 #: Length of the blocks in which the links are first followed.
 BLOCK = 64
 #: A link scores by nearness in time (half after HALF_TIME_S), shared telling words, mention, change of speaker, and
@@ -36,6 +47,8 @@ SPEAKERS = {
     "tool": ["tool", "function", "工具", "函数", "plugin", "tool_result", "tool result", "tool_call", "tool call", "tool_response", "tool response", "function_call", "function call", "werkzeug", "outil", "herramienta", "observation", "ipython"],
 }
 
+USER, ASSISTANT = 0, 1  # places in SPEAKERS
+
 #: White space and other characters that show nothing.
 UNSEEN = r"[\p{Z}\p{C}\sᅟᅠ⠀ㅤﾠ︀-️͏]+"
 
@@ -76,8 +89,8 @@ def records(messages: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds turn_no, from 1 within the session by created_at, then message_id (messages without a time come first), and what came before.
 
-    last holds, for each kind of speaker, the turn and time of the latest message
-    before: user, assistant, and other (system, tool, unknown). prior is the
+    last holds, for each speaker (unknown included), time and id of the latest
+    message before. prior is the
     speaker of the latest message before that is neither of system nor of tool:
     null for none, unknown for one of no known speaker.
     """
@@ -85,10 +98,10 @@ def numbered(rows: DataFrame) -> DataFrame:
     speaker = F.coalesce("speaker", F.lit("unknown"))
     at = F.struct("created_at", "message_id", speaker.alias("speaker"))
     of = lambda test: F.when(test, at)
-    kinds = {"user": speaker == "user", "assistant": speaker == "assistant", "other": ~speaker.isin("user", "assistant"), "talk": ~speaker.isin("system", "tool")}
+    kinds = {k: speaker == k for k in (*SPEAKERS, "unknown")} | {"talk": ~speaker.isin("system", "tool")}
     # a time that is null sorts first in structs as in rows
     out = with_running(rows, ["session"], order, {"before": F.lit(1)}, {k: of(test) for k, test in kinds.items()})
-    last = F.array_compact(F.array("user", "assistant", "other"))
+    last = F.array_compact(F.array(*SPEAKERS, "unknown"))
     return out.select(*rows.columns, (F.col("before") + 1).cast("int").alias("turn_no"), F.col("assistant.created_at").alias("answered_at"), F.col("assistant.message_id").alias("answered_id"), last.alias("last"), F.col("talk.speaker").alias("prior"))
 
 
@@ -96,29 +109,30 @@ def word_hashes(text: str) -> Column:
     """Distinct hashes of the words of a text; of scripts without spaces, of character pairs."""
     plain = F.lower(F.col(text))
     words = F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}_.-]*[\p{L}\p{N}][\p{L}\p{N}_.-]*?(?=[^\p{L}\p{N}_.-]|[.-](?:\s|$)|$)|[\p{IsHan}]{2}"), F.lit(0))
-    return F.transform(F.array_distinct(F.coalesce(words, F.array().cast("array<string>"))), lambda w: F.hash(w))
+    return F.array_distinct(F.transform(F.array_distinct(F.coalesce(words, F.array().cast("array<string>"))), lambda w: F.hash(w)))
 
 
 def handles(text: str) -> Column:
     """Hashes of what a text mentions: handles after an @, and ids of messages."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?<![\p{L}\p{N}._%+-])@[\p{L}\p{N}_-]{2,}|msg_[0-9a-z]{4,}"), F.lit(0))
-    return F.transform(F.array_distinct(F.coalesce(words, F.array().cast("array<string>"))), lambda w: F.hash(w))
+    return F.array_distinct(F.transform(F.array_distinct(F.coalesce(words, F.array().cast("array<string>"))), lambda w: F.hash(w)))
 
 
-def sharing(each: DataFrame, most: int) -> DataFrame:
-    """session, turn_no, to, shared: pairs of messages of a session that share words of (session, turn_no, word) that at most ``most`` messages hold.
+def weighed(each: DataFrame) -> DataFrame:
+    """session, word, n, first, last, weight: the words of (session, turn_no, word) that two messages of a session or more hold.
 
     A word counts 1 / (n - 1) if n messages of the session hold it, and less the
-    more messages of all sessions do.
-
-    Words are counted first, summed before the shuffle, so that a common one is
-    gone before any of its messages meet; what is left are groups of ``most`` rows
-    at most, whatever the length of the session.
+    more messages of all sessions do. Weights are multiples of GRAIN, so that sums
+    don't depend on their order.
     """
     counted = stored(each.groupBy("session", "word").agg(F.count("*").alias("n"), F.min("turn_no").alias("first"), F.max("turn_no").alias("last")))
     sessions = counted.groupBy("word").agg(F.sum("n").alias("all"))
-    counted = counted.where(F.col("n").between(2, most)).join(sessions, "word").withColumn("weight", 1 / ((F.col("n") - 1) * F.log2(F.col("all"))))
-    counted = stored(counted.drop("all"))
+    weight = 1 / ((F.col("n") - 1) * F.log2(F.col("all")))
+    return stored(counted.where("n > 1").join(sessions, "word").withColumn("weight", F.round(weight / GRAIN) * GRAIN).drop("all"))
+
+
+def sharing(each: DataFrame, counted: DataFrame) -> DataFrame:
+    """session, turn_no, to, shared: pairs of messages of a session that share words of (session, turn_no, word) that weighed() has counted; for words of few messages each."""
     two = counted.where("n = 2").select("session", F.col("last").alias("turn_no"), F.col("first").alias("to"), "weight")
     more = each.join(counted.where("n > 2").select("session", "word", "weight"), ["session", "word"])
     lists = more.groupBy("session", "word").agg(F.array_sort(F.collect_list("turn_no")).alias("turns"), F.max("weight").alias("weight"))
@@ -139,33 +153,194 @@ def score_of(own: dict[str, Column], parent: Column, shared: Column, named: Colu
     return near * (WEIGHTS["time"] + WEIGHTS["turn"] * turn) + WEIGHTS["overlap"] * overlap + WEIGHTS["mention"] * named + WEIGHTS["open"] * F.coalesce(unanswered, F.lit(False)).cast("int")
 
 
+class Slices:
+    """Messages of slices in columns: whole record batches, of which groups of rows are compared."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.rows = rows
+        number = lambda c: rows.column(c).to_numpy(zero_copy_only=False).astype(float)
+        self.at, self.answered, self.size, self.floor = (number(c) for c in ("at", "answered", "size", "floor"))
+        self.speaker = rows.column("speaker").to_numpy(zero_copy_only=False)
+        self.ids, self.answered_ids = rows.column("message_id").to_pylist(), rows.column("answered_id").to_pylist()
+        self.lists = {c: (rows.column(c).offsets.to_numpy(), rows.column(c).values.to_numpy()) for c in ("words", "weights", "names")}
+
+    def key(self, at: float, message_id: str) -> tuple[float, str]:
+        return (-np.inf if np.isnan(at) else at, message_id)
+
+    def behind(self, own: np.ndarray, other: range) -> np.ndarray:
+        """The place in ``other`` from which on messages come after the latest answer before each of ``own``."""
+        keys = [self.key(self.at[i], self.ids[i]) for i in other]
+        return np.array([0 if self.answered_ids[i] is None else bisect_right(keys, self.key(self.answered[i], self.answered_ids[i])) for i in own], int)
+
+    def words_of(self, name: str, rows: np.ndarray):
+        """The words of rows as flat arrays: place among the rows, word, weight (1 for names)."""
+        ends, flat = self.lists[name]
+        many = ends[rows + 1] - ends[rows]
+        pick = np.repeat(ends[rows] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.repeat(np.arange(len(rows)), many), flat[pick], self.lists["weights"][1][pick] if name == "words" else np.ones(len(pick))
+
+    def best(self, own: range, other: range, same: bool):
+        """For each of ``own`` with a candidate in ``other`` that can be its likeliest parent: its row, that of the candidate, and the score. ``same`` if both are one slice."""
+        theirs = np.array(other)
+        held = {name: Held(*self.words_of(name, theirs)[:2], len(theirs)) for name in ("words", "names")}
+        for first in range(own.start, own.stop, ROWS):
+            mine = np.arange(first, min(first + ROWS, own.stop))
+            start, answers = np.full(len(mine), len(other)), self.speaker[mine] == ASSISTANT
+            start[answers] = self.behind(mine[answers], other)
+            if not same:
+                row, word, weight = self.words_of("words", mine)
+                most = np.bincount(row, weight * held["words"].has(word), minlength=len(mine))
+                near = HALF_TIME_S / (np.maximum(self.at[mine] - self.at[theirs].max(), 0) / 1e6 + HALF_TIME_S)
+                most = np.minimum(0.5, most / np.sqrt(np.maximum(self.size[mine] * self.size[theirs].min(), 1)))
+                named = np.diff(self.lists["names"][0])[mine] > 0
+                most = np.where(np.isnan(near), 1, near) * (WEIGHTS["time"] + WEIGHTS["turn"]) + WEIGHTS["overlap"] * most + WEIGHTS["mention"] * named + WEIGHTS["open"] * (start < len(other))
+                can = ~(most * (1 + 1e-9) < self.floor[mine])
+                mine, start = mine[can], start[can]
+            if not len(mine):
+                continue
+            gap = np.abs(self.at[mine][:, None] / 1e6 - self.at[theirs] / 1e6)
+            score = HALF_TIME_S / (np.where(np.isnan(gap), HALF_TIME_S, gap) + HALF_TIME_S)
+            a, b = self.speaker[mine][:, None], self.speaker[theirs]
+            score *= WEIGHTS["time"] + WEIGHTS["turn"] * ((a != b) & (a >= 0))
+            score += WEIGHTS["overlap"] * np.minimum(0.5, held["words"].shared(*self.words_of("words", mine), len(mine)) / np.sqrt(np.maximum(np.outer(self.size[mine], self.size[theirs]), 1)))
+            score += WEIGHTS["mention"] * (held["names"].shared(*self.words_of("names", mine), len(mine)) > 0)
+            score += WEIGHTS["open"] * ((b == USER) & (np.arange(len(theirs)) >= start[:, None]))
+            if same:
+                score[theirs >= mine[:, None]] = -np.inf
+            # the latest of equal ones
+            place = len(theirs) - 1 - score[:, ::-1].argmax(axis=1)
+            score = score[np.arange(len(mine)), place]
+            found = score > -np.inf
+            yield mine[found], theirs[place[found]], score[found]
+
+
+class Held:
+    """The words of a slice of n messages."""
+
+    def __init__(self, row: np.ndarray, word: np.ndarray, n: int):
+        self.n = n
+        self.words, self.own = np.unique(word, return_inverse=True)
+        self.row = row[np.argsort(self.own, kind="stable")]
+        self.own = np.sort(self.own)
+        self.many = np.bincount(self.own, minlength=len(self.words))
+        self.start = np.cumsum(self.many) - self.many
+
+    def has(self, word: np.ndarray) -> np.ndarray:
+        return np.isin(word, self.words)
+
+    def shared(self, row: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """The weights that n other messages share with those of the slice."""
+        known = self.has(word)
+        row, weight, place = row[known], weight[known], np.searchsorted(self.words, word[known])
+        if not len(row):
+            return np.zeros((n, self.n))
+        large = (np.bincount(place, minlength=len(self.words)) * self.many > DENSE)[place]
+        r, p = row[~large], place[~large]
+        cells = np.repeat(r * self.n, self.many[p]) + self.row[np.repeat(self.start[p] - np.cumsum(self.many[p]) + self.many[p], self.many[p]) + np.arange(self.many[p].sum())]
+        out = np.bincount(cells, np.repeat(weight[~large], self.many[p]), minlength=n * self.n).reshape(n, self.n).astype(float)
+        r, w, p = row[large], weight[large], place[large]
+        every = np.unique(p)
+        for i in range(0, len(every), COLUMNS):
+            part = every[i : i + COLUMNS]
+            of, to = np.isin(p, part), np.isin(self.own, part)
+            a, b = np.zeros((n, len(part))), np.zeros((len(part), self.n))
+            a[r[of], np.searchsorted(part, p[of])] = w[of]
+            b[np.searchsorted(part, self.own[to]), self.row[to]] = 1
+            out += a @ b
+        return out
+
+
+def compared(rows: DataFrame, slice_: int) -> DataFrame:
+    """session, turn_no, best: for the messages of ``rows`` the likeliest parent of all that come before in the session.
+
+    Every two slices of a session meet once, in one task, which compares all their
+    messages, but for those whose likeliest parent so far (floor) scores more than
+    any message of the slice can.
+    """
+    of = F.floor((F.col("turn_no") - 1) / slice_).cast("int")
+    last = rows.groupBy("session").agg(F.max(of).alias("slices"))
+    rows = rows.withColumn("own", of)
+    earlier = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("a", F.col("own")).withColumn("side", F.lit(0))
+    later = rows.join(last, "session").where("own < slices").withColumn("a", F.explode(F.sequence(F.col("own") + 1, F.col("slices")))).withColumn("b", F.col("own")).withColumn("side", F.lit(1)).drop("slices")
+    keys = ["session", "a", "b"]
+    meet = earlier.unionByName(later).drop("own").repartition(*keys).sortWithinPartitions(*keys, "side", "turn_no")
+
+    def groups(batches):
+        rest = None
+        for batch in (b for b in batches if b.num_rows):
+            whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            new = pa.compute.not_equal(whole["session"][1:], whole["session"][:-1]).to_numpy(zero_copy_only=False)
+            for k in keys[1:]:
+                new = new | (np.diff(whole[k].to_numpy()) != 0)
+            ends = [0, *(np.flatnonzero(new) + 1).tolist()]
+            if ends[-1]:
+                yield whole.slice(0, ends[-1]), ends
+            rest = whole.slice(ends[-1])
+        if rest is not None and rest.num_rows:
+            yield rest, [0, rest.num_rows]
+
+    def best(batches):
+        for whole, ends in groups(batches):
+            # a slice of a list column keeps its offsets into the whole, which Slices needs
+            slices, side, out = Slices(whole), whole["side"].to_numpy(), []
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                mid = lo + int(np.searchsorted(side[lo:hi], 1))
+                same = whole["a"][lo].as_py() == whole["b"][lo].as_py()
+                out += slices.best(range(lo, mid), range(lo, hi) if same else range(mid, hi), same)
+            if out:
+                own, to, score = (np.concatenate(x) for x in zip(*out, strict=True))
+                own, to = pa.array(own), pa.array(to)
+                yield pa.RecordBatch.from_arrays([whole["session"].take(own), whole["turn_no"].take(own), pa.array(score), whole["created_at"].take(to), whole["message_id"].take(to)], names=["session", "turn_no", "score", "created_at", "message_id"])
+
+    found = meet.mapInArrow(best, f"session string, turn_no int, score double, created_at {rows.schema['created_at'].dataType.simpleString()}, message_id string")
+    return found.select("session", "turn_no", F.struct("score", "created_at", "message_id").alias("best"))
+
+
 OWN = ("created_at", "speaker", "size", "answered_at", "answered_id")
 
 
-def linked(rows: DataFrame) -> DataFrame:
+def linked(rows: DataFrame, telling: int = TELLING, slice_: int = SLICE) -> DataFrame:
     """session, turn_no, parent_turn, told: the turn of the message that each one most likely answers, null for roots; told if reply_to names it.
 
     ``rows`` is a stored numbered() table. All candidates are earlier. Without a
     shared word or a mention only the latest message of each speaker can be the
     likeliest parent, as all others of that speaker score less by time; these are
-    in the row itself. Messages that share something meet in sharing().
+    in the row itself. In sessions none of whose words more than ``telling``
+    messages hold, those that share something meet in sharing(); in all others
+    every two messages are compared.
     """
     slim = stored(rows.select("session", "turn_no", "message_id", "speaker", "created_at", "reply_to", "answered_at", "answered_id", "last", word_hashes("content").alias("words"), handles("content").alias("names")))
     slim = slim.withColumn("size", F.size("words"))
     own = {k: F.col(k) for k in OWN}
     scored = F.transform("last", lambda c: F.struct(score_of(own, F.struct(c["created_at"].alias("created_at"), c["message_id"].alias("message_id"), c["speaker"].alias("speaker"), F.lit(1).alias("size")), F.lit(0), F.lit(0)).alias("score"), c["created_at"].alias("created_at"), c["message_id"].alias("message_id")))
     nearest = slim.select("session", "turn_no", F.array_max(scored).alias("best"))
-    words = sharing(slim.select("session", "turn_no", F.explode("words").alias("word")), TELLING)
+    said = slim.select("session", "turn_no", F.explode("words").alias("word"))
     quoted = slim.select("session", "turn_no", F.explode("names").alias("word"))
     # who quotes an id means its message; a handle is shared by those who speak of it
     ids = slim.select("session", "turn_no", F.hash(F.lower("message_id")).alias("word")).join(quoted.select("session", "word").distinct(), ["session", "word"], "left_semi")
-    names = sharing(quoted.unionByName(ids), TELLING)
+    quoted = quoted.unionByName(ids).distinct()
+    said_n, quoted_n = weighed(said), weighed(quoted)
+    whole = stored(said_n.unionByName(quoted_n).where(F.col("n") > telling).select("session").distinct())
+
+    words = sharing(said, said_n.join(whole, "session", "left_anti"))
+    names = sharing(quoted, quoted_n.join(whole, "session", "left_anti"))
     pairs = words.select("session", "turn_no", "to", "shared", F.lit(0).alias("named")).unionByName(names.select("session", "turn_no", "to", F.lit(0.0).alias("shared"), F.lit(1).alias("named")))
     pairs = pairs.groupBy("session", "turn_no", "to").agg(F.max("shared").alias("shared"), F.max("named").alias("named"))
-    parents = slim.select("session", F.col("turn_no").alias("to"), F.struct("created_at", "message_id", "speaker", "size").alias("c"))
+    parents = slim.select("session", F.col("turn_no").alias("to"), F.struct("created_at", "message_id", F.coalesce("speaker", F.lit("unknown")).alias("speaker"), "size").alias("c"))
     met = pairs.join(slim.select("session", "turn_no", *OWN), ["session", "turn_no"]).join(parents, ["session", "to"])
-    telling = met.select("session", "turn_no", F.struct(score_of(own, F.col("c"), F.col("shared"), F.col("named")).alias("score"), "c.created_at", "c.message_id").alias("best"))
-    best = nearest.unionByName(telling).groupBy("session", "turn_no").agg(F.max("best").alias("best")).where(F.col("best.score") >= MIN_SCORE)
+    linking = met.select("session", "turn_no", F.struct(score_of(own, F.col("c"), F.col("shared"), F.col("named")).alias("score"), "c.created_at", "c.message_id").alias("best"))
+
+    inside = lambda each, counted: each.join(counted.join(whole, "session", "left_semi").select("session", "word", "weight"), ["session", "word"])
+    held = inside(said, said_n).select("session", "turn_no", "word", "weight", F.lit(False).alias("name")).unionByName(inside(quoted, quoted_n).select("session", "turn_no", "word", "weight", F.lit(True).alias("name")))
+    lists = held.groupBy("session", "turn_no").agg(F.collect_list(F.when(~F.col("name"), F.struct("word", "weight"))).alias("w"), F.collect_list(F.when(F.col("name"), F.col("word"))).alias("names"))
+    lists = lists.select("session", "turn_no", F.col("w.word").alias("words"), F.col("w.weight").alias("weights"), "names")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+    code = F.coalesce(*[F.when(F.col("speaker") == s, i) for i, s in enumerate(SPEAKERS)], F.lit(-1)).alias("speaker")
+    full = slim.join(whole, "session", "left_semi").withColumn("floor", F.array_max(scored)["score"]).select("session", "turn_no", "message_id", "created_at", code, micros("created_at").alias("at"), "size", micros("answered_at").alias("answered"), "answered_id", "floor")
+    full = full.join(lists, ["session", "turn_no"], "left")
+    full = full.select(*[c for c in full.columns if c not in lists.columns[2:]], *[F.coalesce(c, F.array().cast(full.schema[c].dataType)).alias(c) for c in lists.columns[2:]])
+
+    best = nearest.unionByName(linking).unionByName(compared(stored(full), slice_)).groupBy("session", "turn_no").agg(F.max("best").alias("best")).where(F.col("best.score") >= MIN_SCORE)
     likely = best.select("session", "turn_no", F.col("best.message_id").alias("message_id"), F.lit(False).alias("told"))
     asked = slim.where("reply_to is not null").select("session", "turn_no", F.col("reply_to").alias("message_id"), F.lit(True).alias("told"))
     place = slim.select("session", "message_id", F.col("turn_no").alias("to"))

@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import pytest
@@ -128,6 +129,58 @@ def test_far_parents(spark):
     assert (links[103], links[104], links[105]) == (1, 2, 1)
 
 
+def test_words_and_handles_that_many_messages_hold(spark):
+    """However many messages hold a word or a handle, it tells for a link."""
+    rows = [row(i, "s", "user", "zanzibar ledger", minute=i) for i in range(1, 11)]
+    rows += [row(i, "s", "user", f"talk{i}", minute=10 + i / 1000) for i in range(11, 31)]
+    rows += [row(31, "s", "user", "zanzibar ledger", minute=10.1)]
+    rows += [row(i, "t", "user", f"hi @ann{'' if i < 61 else 'a'} {i}", minute=i) for i in range(51, 62)] + [row(62, "t", "user", "so @ann", minute=62)]
+    links = {(r["session"], r["turn_no"]): r["parent_turn"] for r in C.linked(C.numbered(C.records(spark.createDataFrame(rows, SCHEMA)))).collect()}
+    assert (links["s", 31], links["t", 12]) == (10, 10)
+
+
+def test_links_against_every_pair(spark):
+    """Any way of comparing gives the parents that the scores of all pairs give."""
+    rng = random.Random(7)
+    rows = []
+    for s, n in enumerate([30, 30, 7, 90]):
+        for k in range(n):
+            words = [f"w{int(40 * rng.random() ** 3)}" for _ in range(rng.randint(0, 6))] + ["@bo"] * (rng.random() < 0.3) + [f"m{len(rows) - rng.randint(1, max(1, k)):04d}"] * (k > 3 and rng.random() < 0.1)
+            rows.append(row(len(rows), f"s{s}", rng.choice(["user", "assistant", "tool", "?"]), " ".join(words), minute=0.3 * k // rng.choice([1, 2]), created=rng.random() < 0.95))
+    rows = [(r[0].replace("m", "msg_"), r[1], r[2], r[3].replace("m0", "msg_0"), *r[4:]) for r in rows]
+    df = C.stored(C.numbered(C.records(spark.createDataFrame(rows, SCHEMA))))
+    slim = df.withColumn("words", C.word_hashes("content")).withColumn("names", C.handles("content")).collect()
+    groups = {}
+    for r in slim:
+        groups.setdefault(r["session"], {})[r["turn_no"]] = r
+    every, want = {}, {}
+    for g in groups.values():
+        for w in {w for m in g.values() for w in m["words"]}:
+            every[w] = every.get(w, 0) + sum(w in m["words"] for m in g.values())
+    sql_hash = {r["message_id"]: r["h"] for r in df.select("message_id", F.hash(F.lower("message_id")).alias("h")).collect()}
+    micros = lambda t: (t - T0) / datetime.timedelta(seconds=1)
+    for s, g in groups.items():
+        quoted = {w for m in g.values() for w in m["names"]}
+        names = {t: {*m["names"], *({sql_hash[m["message_id"]]} & quoted)} for t, m in g.items()}
+        for t, m in g.items():
+            best = None
+            for e in range(1, t):
+                p = g[e]
+                gap = abs(micros(m["created_at"]) - micros(p["created_at"])) if m["created_at"] and p["created_at"] else C.HALF_TIME_S
+                shared = sum(1 / ((sum(w in x["words"] for x in g.values()) - 1) * math.log2(every[w])) for w in set(m["words"]) & set(p["words"]))
+                overlap = min(0.5, shared / max(1, len(m["words"]) * len(p["words"])) ** 0.5)
+                turn = m["speaker"] is not None and m["speaker"] != p["speaker"]
+                answered = max((x for x in range(1, t) if g[x]["speaker"] == "assistant"), default=0)
+                behind = m["speaker"] == "assistant" and p["speaker"] == "user" and e > answered
+                score = C.HALF_TIME_S / (gap + C.HALF_TIME_S) * (1 + 0.75 * turn) + 12 * overlap + 4 * bool(names[t] & names[e]) + 12 * behind
+                if best is None or score >= best[0] - 1e-9:
+                    best = (score, e)
+            want[s, t] = best and best[1]
+    for telling, slice_ in ((8, 2048), (8, 16), (0, 7), (1000, 5)):
+        links = {(r["session"], r["turn_no"]): r["parent_turn"] for r in C.linked(df, telling, slice_).collect()}
+        assert links == want, (telling, slice_)
+
+
 def test_long_chains_and_empty(spark):
     links = spark.range(1, 1001).select(F.lit("s").alias("session"), F.col("id").cast("int").alias("turn_no"), F.when(F.col("id") > 1, F.col("id") - 1).cast("int").alias("parent_turn"))
     assert C.rooted(links, block=16).where("root_turn <> 1").count() == 0
