@@ -13,6 +13,7 @@ from sparkloom.functions import vectors as V
 from sparkloom.operators import blocks as B
 from sparkloom.operators import retrieval as R
 from sparkloom.operators import tables as O
+from sparkloom import plans
 from sparkloom.operators.ordered import with_neighbours
 from sparkloom.sources import files
 
@@ -72,6 +73,33 @@ def test_dense_brute_force(spark):
         assert [r["id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
 
 
+def test_dense_of_whole_numbers_brute_force(spark):
+    """Cosines of whole numbers, whose dot products are taken in single precision, are exact: equal vectors tie by id; norms too large for it are summed as before."""
+    for scale in (3, 3_000_000):
+        x = np.random.default_rng(4).integers(-scale, scale + 1, (300, 12)).astype(float)
+        x[7], x[201], x[9] = x[3], 2 * x[3], 0
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+        queries = df.where("id in (3, 9, 100, 150)").withColumnRenamed("id", "query_id")
+        got = {}
+        for r in R.dense(df, queries, 6, 0.08).orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+        for q in (3, 9, 100, 150):
+            n = (x * x).sum(axis=1) * (x[q] @ x[q])
+            s = np.maximum(x @ x[q], 0) / np.sqrt(np.where(n > 0, n, 1))
+            want = [(i, s[i]) for i in sorted(range(300), key=lambda i: (-s[i], i)) if s[i] > 0.08][:6]
+            assert [i for i, _ in got.get(q, [])] == [i for i, _ in want] and np.allclose([v for _, v in got.get(q, [])], [v for _, v in want], rtol=1e-14), (scale, q)
+
+
+def test_texts_are_tokenized_for_results_only(spark, data):
+    """Reranking and best sentences choose the texts of the results before they work on them."""
+    docs = spark.createDataFrame([(0, "a", "alpha beta"), (1, "b", "alpha")], "doc_id long, title string, text string")
+    found = spark.createDataFrame([(0, 1, 1.0, 1)], "query_id long, id long, score double, rank int")
+    for out in (R.rerank(found, R.query_set(docs), docs), plans.QUERIES["best_sentences"](spark, data)):
+        lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        semi = [i for i, line in enumerate(lines) if "LeftSemi" in line]
+        assert semi and all("regexp" not in line and "split(" not in line for line in lines[semi[0] : semi[0] + 3])
+
+
 def test_bm25_ranks_rare_terms_first(spark):
     docs = spark.createDataFrame([(0, None, "alpha beta"), (1, "alpha", "gamma gamma"), (2, None, "beta beta beta"), (3, None, None), (4, "x", ""), (5, None, "delta delta")], "doc_id long, title string, text string")
     out = R.bm25(docs, R.query_set(docs), 5).orderBy("rank").collect()
