@@ -1,6 +1,7 @@
 import io
 import random
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -340,6 +341,17 @@ def test_bm25_in_blocks_and_small_parts_keeps_ties(spark, monkeypatch):
     assert all([i for _, i in found] == [i for q, i, _, _ in sorted(whole, key=lambda r: r[3]) if q == p] for p, found in by_query.items())
 
 
+def test_blocks_of_sparse_search_store_no_counts(spark):
+    """Each further block of queries leaves its results on disk, not the counts of its terms in all rows."""
+    tables = Path(spark.conf.get("spark.checkpoint.dir"), "tables")
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('alpha w', id % 9, ' v', id % 50) as text", "'' as title")
+    there = set(tables.glob("*"))
+    out = R.bm25(docs, R.query_set(docs, 10), 5, block=4)
+    assert out.count() == 30 * 5 and out.select("query_id").distinct().count() == 30
+    columns = [spark.read.parquet(str(t)).columns for t in set(tables.glob("*")) - there]
+    assert sum("rank" in c for c in columns) == 8 and not any("tf" in c for c in columns)
+
+
 def test_sparse_search_shuffles_no_pair_per_match(spark):
     """Every document matches every query; what meets in a shuffle are the best rows of the tasks."""
     docs = spark.range(3000).selectExpr("id as doc_id", "concat('alpha beta gamma ', id % 50) as text", "'' as title")
