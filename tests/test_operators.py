@@ -146,6 +146,21 @@ def test_dense_in_blocks(spark, monkeypatch):
     assert strip(one) == strip(many)
 
 
+def test_blocks_of_dense_search_shuffle_no_rows(spark):
+    """Further blocks of queries read the rows again; vectors meet in no join, and what is stored are the best rows and the queries."""
+    tables = Path(spark.conf.get("spark.checkpoint.dir"), "tables")
+    rows = spark.range(500).selectExpr("id", "array(1D, id % 9, id % 7) as vector", "id % 3 as label")
+    queries = rows.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    for how, of in (("all", None), ("own", "label"), ("each", "label")):
+        there = set(tables.glob("*"))
+        found = R.nearest(rows, queries, 4, 0.0, how, of, block=12)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in plan and "Join" not in plan and "Generate" not in plan
+        assert found.count() == 50 * 4 * (3 if how == "each" else 1)
+        made = [spark.read.parquet(str(t)) for t in set(tables.glob("*")) - there]
+        assert sum(t.count() for t in made if "vector" in t.columns) == 50 and sum("score" in t.columns for t in made) == 5
+
+
 def test_fusion_and_diversity(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, id long, rank int")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, id long, rank int")
