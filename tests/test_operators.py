@@ -341,6 +341,11 @@ def test_late_interaction(spark):
     assert len(got) == 10 and all(got[2, d] == 0.0 for d in range(1, 6))
 
 
+def test_late_interaction_searches_once(spark, data):
+    plan = plans.QUERIES["late_interaction"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "MapInArrow" not in plan
+
+
 def test_bm25_in_blocks_and_small_parts_keeps_ties(spark, monkeypatch):
     """Blocks of queries, parts of few rows and lookups of few pairs give what all pairs give; copies of a text rank by id."""
     words = [f"w{i}" for i in range(12)]
